@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import fingerprint, langid, mtree, packing
+from factloom.llm import fingerprint, langid, licenses, line_dedup, mixing, mtree, packing
 from factloom.llm.common import load
 
 
@@ -15,6 +15,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Targets of the mix: weights of domains and languages; sources of a leaf count alike.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+
+
+def mix_levels() -> dict:
+    """Domain (the source's number modulo 4), language, source."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"([0-9]+)$", 1)
+    domain = F.concat(F.lit("d"), F.when(number == "", 0).otherwise(F.substring(number, -4, 4).try_cast("int") % 4).cast("string"))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -22,6 +33,25 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.margin", "p.rejected")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(load(spark, sf_dir, "documents"))
+    places = F.col("base_places")
+    return found.select("doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup_lines(docs)
+    cut_lines = F.aggregate("chunks_cut", F.lit(0).cast("long"), lambda n, c: n + c["n_lines"])
+    return found.select("doc_id", F.size("chunks_cut").cast("long").alias("n_chunks_cut"), cut_lines.alias("n_lines_cut"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, share=0.75, max_epochs=3, seed=7)
+    return found.select("doc_id", "lang", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_take").alias("taken"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint.compare_neighbours(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2(F.encode("edited_text", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -54,10 +84,110 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP3_SQL = """
+WITH templates(t, label, txt, k) AS (VALUES
+%s
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+), tw AS (
+  SELECT t, unnest(string_split(txt, ' ')) AS w, unnest(range(len(string_split(txt, ' ')))) AS p FROM templates
+), df AS (
+  SELECT w, count(*) AS n FROM (SELECT DISTINCT w FROM tw)
+  JOIN (SELECT doc_id, unnest(list_distinct(words)) AS w FROM d) USING (w) GROUP BY w
+), rare AS (
+  SELECT * FROM (
+    SELECT t, w, min(p) AS p, row_number() OVER (PARTITION BY t ORDER BY coalesce(any_value(n), 0), w) AS r
+    FROM tw LEFT JOIN df USING (w) GROUP BY t, w) WHERE r <= 2
+), dw AS (
+  SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM d
+), starts AS (
+  SELECT doc_id, t, i - p AS s FROM dw JOIN rare USING (w) GROUP BY doc_id, t, i - p
+  HAVING count(*) = (SELECT max(r) FROM rare x WHERE x.t = rare.t)
+), counted AS (
+  SELECT s.doc_id, s.t, s.s, count(*) AS size, count(*) FILTER (d.words[s.s + p + 1] = w AND s.s + p >= 0) AS same,
+    bool_and(d.words[s.s + p + 1] = w AND s.s + p >= 0) FILTER (p >= ka AND p < ka + kn) AS keyed
+  FROM starts s JOIN d USING (doc_id) JOIN tw USING (t)
+  JOIN (SELECT t, len(string_split(rtrim(split_part(' ' || txt || ' ', ' ' || k || ' ', 1)), ' ')) - 1 AS ka, len(string_split(k, ' ')) AS kn FROM templates) USING (t)
+  GROUP BY ALL
+), m AS (
+  SELECT *, label FROM counted JOIN templates USING (t) WHERE keyed AND same * 5 >= size * 4
+), a AS (
+  SELECT doc_id, count(*) FILTER (t < 4) AS n_base, min(s) FILTER (t < 4) AS first_word, max(s) FILTER (t < 4) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (t < 4) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(same / size) AS score
+  FROM m GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN a USING (doc_id)
+""" % ",\n".join(f"({n}, '{t.label}', '{t.words}', '{t.key}')" for n, t in enumerate([*licenses.BASE, *licenses.NOTICES]))
+
+OP5_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents
+), h AS (
+  SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) % 2147483647 AS h FROM l
+), e AS (
+  SELECT *, ((h + (coalesce(lag(h) OVER w, 0) * 31) % 2147483647) % 2147483647) % 2 = 0 AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), c AS (
+  SELECT doc_id, i, line, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e
+), k AS (
+  SELECT doc_id, chunk, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS text FROM c GROUP BY doc_id, chunk
+), f AS (
+  SELECT *, n_lines >= 2 AND row_number() OVER (PARTITION BY text, n_lines >= 2 ORDER BY doc_id, chunk) > 1 AS cut FROM k
+)
+SELECT doc_id, count(*) FILTER (cut) AS n_chunks_cut, CAST(coalesce(sum(n_lines) FILTER (cut), 0) AS BIGINT) AS n_lines_cut,
+  sha256(coalesce(string_agg(text, chr(10) ORDER BY chunk) FILTER (NOT cut), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+OP8_SQL = """
+WITH d AS (
+  SELECT doc_id, text, lang, source, coalesce(source, '(null)') AS s, coalesce(lang, '(null)') AS l,
+    'd' || coalesce(TRY_CAST(right(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1), 4) AS INT) % 4, 0) AS dom,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+')) AS n
+  FROM documents
+), leaves AS (
+  SELECT dom, l, s, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) * 3 AS BIGINT) AS capacity FROM d GROUP BY ALL
+), root AS (SELECT CAST(floor(sum(tokens) * CAST(0.75 AS DOUBLE)) AS BIGINT) AS budget FROM leaves),
+n1 AS (
+  SELECT *, CAST(CASE dom WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS DOUBLE) AS w FROM (SELECT dom, sum(capacity) AS capacity FROM leaves GROUP BY dom), root
+), b1 AS (
+  SELECT dom, CAST(least(capacity, floor(w * max(CAST(budget - before AS DOUBLE) / weights) OVER ())) AS BIGINT) AS budget FROM (
+    SELECT *, coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+      sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM n1 WINDOW o AS (ORDER BY capacity / w, w, dom))
+), n2 AS (
+  SELECT *, CAST(CASE l WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 2 ELSE 1 END AS DOUBLE) AS w
+  FROM (SELECT dom, l, sum(capacity) AS capacity FROM leaves GROUP BY dom, l) JOIN b1 USING (dom)
+), b2 AS (
+  SELECT dom, l, CAST(least(capacity, floor(w * max(CAST(budget - before AS DOUBLE) / weights) OVER (PARTITION BY dom))) AS BIGINT) AS budget FROM (
+    SELECT *, coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+      sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM n2 WINDOW o AS (PARTITION BY dom ORDER BY capacity / w, w, l))
+), n3 AS (
+  SELECT leaves.*, b2.budget, CAST(1 AS DOUBLE) AS w FROM leaves JOIN b2 USING (dom, l)
+), b3 AS (
+  SELECT dom, l, s, tokens, CAST(least(capacity, floor(w * max(CAST(budget - before AS DOUBLE) / weights) OVER (PARTITION BY dom, l))) AS BIGINT) AS budget FROM (
+    SELECT *, coalesce(sum(capacity) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+      sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM n3 WINDOW o AS (PARTITION BY dom, l ORDER BY capacity / w, w, s))
+), p AS (
+  SELECT *, CASE WHEN tokens > 0 THEN budget // greatest(tokens, 1) ELSE 0 END AS whole FROM b3
+), o AS (
+  SELECT d.*, whole, budget - whole * tokens AS rest, sum(n) OVER (PARTITION BY dom, l, s ORDER BY md5('7|' || whole || '|' || doc_id), text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before
+  FROM d JOIN p USING (dom, l, s)
+)
+SELECT doc_id, lang, source, CAST(unnest(range(whole)) AS INTEGER) AS epoch, n AS n_tokens, n AS taken FROM o
+UNION ALL
+SELECT doc_id, lang, source, CAST(whole AS INTEGER) AS epoch, n AS n_tokens, CAST(least(n, rest - before) AS BIGINT) AS taken FROM o WHERE before < rest
+"""
+
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_license_scan": op3_license_scan,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_mixing": op8_mixing,
     "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
     "op9_mtree_top_k": op9_mtree_top_k,
 }
-ORACLES = {"op9_mtree_top_k": OP9_SQL}
+ORACLES = {"op3_license_scan": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op9_mtree_top_k": OP9_SQL}
