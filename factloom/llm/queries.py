@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import fingerprint, langid, licenses, line_dedup, mixing, mtree, packing
+from factloom.llm import fingerprint, langid, licenses, line_dedup, minhash, mixing, mtree, packing
 from factloom.llm.common import load
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), size=2, threshold=80)
+
+
 #: Targets of the mix: weights of domains and languages; sources of a leaf count alike.
 MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
 
@@ -181,7 +185,30 @@ UNION ALL
 SELECT doc_id, lang, source, CAST(whole AS INTEGER) AS epoch, n AS n_tokens, CAST(least(n, rest - before) AS BIGINT) AS taken FROM o WHERE before < rest
 """
 
+OP1_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), both_sets AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS c
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY ALL
+), links AS (
+  SELECT u, v FROM both_sets WHERE 100 * c >= 80 * (nu + nv - c)
+), two AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+r AS (
+  WITH RECURSIVE x(node, seen) AS (
+    SELECT doc_id, doc_id FROM s UNION SELECT x.node, two.v FROM x JOIN two ON two.u = x.seen
+  ) SELECT node, min(seen) AS component_id FROM x GROUP BY node
+)
+SELECT s.doc_id, len(s) AS n_shingles, component_id, component_id = s.doc_id AS kept FROM s JOIN r ON r.node = s.doc_id
+"""
+
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_license_scan": op3_license_scan,
     "op5_line_dedup": op5_line_dedup,
@@ -190,4 +217,4 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op9_mtree_top_k": op9_mtree_top_k,
 }
-ORACLES = {"op3_license_scan": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op9_mtree_top_k": OP9_SQL}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op3_license_scan": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op9_mtree_top_k": OP9_SQL}
