@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import fingerprint, langid, licenses, line_dedup, minhash, mixing, mtree, packing
+from factloom.llm import fingerprint, langid, lattice, licenses, line_dedup, minhash, mixing, mtree, packing, suffix_dedup
 from factloom.llm.common import load
 
 
@@ -43,6 +43,18 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op4_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held = langid.held_out(F.col("doc_id"), 5, 1)
+    found = lattice.score(docs, ~held, tokenizer_path("piece_bpe_32k.model"))
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_substrings(load(spark, sf_dir, "documents"), length=400, keep_first=False)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     found = line_dedup.dedup_lines(docs)
@@ -213,6 +225,8 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op5_line_dedup": op5_line_dedup,
     "op8_mixing": op8_mixing,
+    "op4_lattice_scores": op4_lattice_scores,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
     "op9_mtree_top_k": op9_mtree_top_k,
