@@ -15,45 +15,61 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 class ChunkEncoder:
-    """Token ids of whole texts, from a bounded cache of white-space separated chunks.
+    """Token ids of whole texts, from bounded caches of white-space separated chunks and of words.
 
-    The tokenizer never merges across white space, so a text's ids are those of its chunks in
-    order. Unknown chunks are encoded together, and the ids dealt to chunks by their offsets.
+    The tokenizer never merges across white space, nor across the words that its own pattern cuts
+    a chunk into, so a text's ids are those of its words in order. Chunks of ASCII and Latin-1
+    characters are lower-cased and cut here; unknown words are encoded together, and the ids dealt out
+    by the mark that ends a word. Other chunks are encoded one by one. A full cache becomes the
+    old generation, from which chunks still in use are taken over.
     """
 
-    def __init__(self, path: str, cache_size: int = 400_000):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str, cache_size: int = 250_000):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.cache_size = Tokenizer.from_file(path), {}, cache_size
-
-    def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 2000):
-            part = chunks[at : at + 2000]
-            starts = np.cumsum([0, *(len(c) + 1 for c in part)])
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            where = np.array([a for a, _ in found.offsets], np.int64)
-            cuts = np.searchsorted(where, starts)
-            raw = ids.tobytes()
-            for chunk, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()):
-                self.cache[chunk] = raw[4 * a : 4 * b]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.array([t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])])
+        self.simple = regex.compile("[!-~\u00a1-\u00ff]+").fullmatch
+        #: Fixed value: the pattern by which the tokenizer's file cuts words.
+        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.new, self.old, self.words, self.cache_size = {}, {}, {}, cache_size
+
+    def _learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 200):
+            part = words[at : at + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer cuts words in another way than its file says")
+            raw, start = ids.tobytes(), 0
+            for word, stop in zip(part, stops.tolist()):
+                self.words[word] = raw[start:stop]
+                start = stop
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.words) > 2 * self.cache_size:
+            self.words.clear()
+        parts = {}
+        for chunk in chunks:
+            if chunk in self.old:
+                self.new[chunk] = self.old[chunk]
+            elif self.simple(chunk) and "<|" not in chunk:
+                parts[chunk] = self.cut(chunk.lower())
+            else:
+                self.new[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self._learn_words([w for w in dict.fromkeys(w for ws in parts.values() for w in ws) if w not in self.words])
+        for chunk, ws in parts.items():
+            self.new[chunk] = b"".join(map(self.words.__getitem__, ws))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for text in texts:
-            chunks = text.split()
-            try:
-                out.append(b"".join(map(self.cache.__getitem__, chunks)))
-            except KeyError:
-                if len(self.cache) > self.cache_size:
-                    self.cache.clear()
-                self._learn([c for c in dict.fromkeys(chunks) if c not in self.cache])
-                out.append(b"".join(map(self.cache.__getitem__, chunks)))
-        return out
+        chunks = [text.split() for text in texts]
+        if len(self.new) > self.cache_size:
+            self.old, self.new = self.new, {}
+        known = self.new
+        self._learn({c for cs in chunks for c in cs if c not in known})
+        return [b"".join(map(known.__getitem__, cs)) for cs in chunks]
 
 
 def _tier(n: int) -> int:
@@ -169,9 +185,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_length: int
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(doc_id, encoder.encode([text.as_py() or ""])[0] + end)
-                if len(packer.rows) >= 2000:
+            for at in range(0, batch.num_rows, 32):
+                part = batch.slice(at, 32)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode([x or "" for x in part.column(1).to_pylist()])):
+                    packer.add(doc_id, ids + end)
+                if len(packer.rows) >= 1000:
                     yield out()
         packer.flush(True)
         yield out()
