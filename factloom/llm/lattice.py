@@ -57,50 +57,55 @@ class Pieces:
             todo = todo[~hit & (self.ids[at[todo]] >= 0)]
         return out
 
-    def _arcs(self, points: np.ndarray, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """From position i of words of one length: (length, piece or -1, log probability) of each arc."""
-        n = points.shape[1]
-        h = np.zeros(len(points), np.uint64)
-        for length in range(1, min(self.longest, n - i) + 1):
-            h = h * PRIME + points[:, i + length - 1].astype(np.uint64) + np.uint64(1)
-            piece = self.find(h)
-            logp = np.where(piece >= 0, self.logp[piece], -np.inf)
-            if length == 1 and (piece < 0).any():
-                unknown, where = np.unique(points[piece < 0, i], return_inverse=True)
-                cost = np.array([sum(self.logp[self.byte[b]] for b in chr(c).encode("utf-8", "surrogatepass")) for c in unknown.tolist()])
-                logp[piece < 0] = cost[where]
-            yield length, piece, logp
-
-    def forward(self, points: np.ndarray) -> np.ndarray:
+    def _arcs(self, points: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """All arcs of words (rows) of one length, by start: start, end, rows that have it, pieces or -1, log probabilities."""
+        n, arcs = points.shape[1], []
+        codes = points.T.astype(np.uint64) + np.uint64(1)
+        for i in range(n):
+            h = codes[i]
+            for length in range(1, min(self.longest, n - i) + 1):
+                if length > 1:
+                    h = h * PRIME + codes[i + length - 1]
+                piece = self.find(h)
+                rows = np.flatnonzero(piece >= 0) if length > 1 else np.arange(len(points))
+                if not len(rows):
+                    continue
+                piece = piece[rows]
+                logp = self.logp[piece]
+                if length == 1 and (piece < 0).any():
+                    unknown, where = np.unique(points[piece < 0, i], return_inverse=True)
+                    cost = np.array([sum(self.logp[self.byte[b]] for b in chr(c).encode("utf-8", "surrogatepass")) for c in unknown.tolist()])
+                    logp[piece < 0] = cost[where]
+                arcs.append((i, i + length, rows, piece, logp))
+        return arcs
+
+    def forward(self, points: np.ndarray, arcs: list | None = None) -> np.ndarray:
         """Log of the sum over all segmentations of a prefix, for words (rows) of one length."""
-        n = points.shape[1]
-        alpha = np.full((n + 1, len(points)), -np.inf)
+        alpha = np.full((points.shape[1] + 1, len(points)), -np.inf)
         alpha[0] = 0
-        for i in range(n):
-            for length, _, logp in self._arcs(points, i):
-                np.logaddexp(alpha[i + length], alpha[i] + logp, out=alpha[i + length])
+        for i, j, rows, _, logp in arcs if arcs is not None else self._arcs(points):
+            alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + logp)
         return alpha
 
     def expect(self, points: np.ndarray, weights: np.ndarray, totals: np.ndarray) -> None:
         """Add to totals how often the words' segmentations are expected to use each piece."""
-        n = points.shape[1]
-        alpha = self.forward(points)
-        beta = np.full((n + 1, len(points)), -np.inf)
-        beta[n] = 0
-        for i in range(n - 1, -1, -1):
-            for length, piece, logp in self._arcs(points, i):
-                through = logp + beta[i + length]
-                np.logaddexp(beta[i], through, out=beta[i])
-                share = np.exp(alpha[i] + through - alpha[n]) * weights
-                used = piece >= 0
-                totals += np.bincount(piece[used], share[used], len(totals))
-                if length == 1 and not used.all():
-                    for c, s in zip(points[~used, i].tolist(), share[~used].tolist()):
-                        for b in chr(c).encode("utf-8", "surrogatepass"):
-                            totals[self.byte[b]] += s
+        arcs = self._arcs(points)
+        alpha = self.forward(points, arcs)
+        beta = np.full(alpha.shape, -np.inf)
+        beta[-1] = 0
+        for i, j, rows, piece, logp in reversed(arcs):
+            through = logp + beta[j, rows]
+            beta[i, rows] = np.logaddexp(beta[i, rows], through)
+            share = np.exp(alpha[i, rows] + through - alpha[-1, rows]) * weights[rows]
+            used = piece >= 0
+            np.add.at(totals, piece[used], share[used])
+            if j == i + 1 and not used.all():
+                for c, s in zip(points[rows[~used], i].tolist(), share[~used].tolist()):
+                    for b in chr(c).encode("utf-8", "surrogatepass"):
+                        totals[self.byte[b]] += s
 
     @staticmethod
-    def by_length(words: list[str], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def by_length(words: list[str], most: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Row numbers and code points of words of equal length, marked as word starts, in blocks."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
