@@ -121,6 +121,36 @@ def _may_link(threshold: int, slack: float):
     return sizes & (estimate("x.sig", "y.sig") >= threshold / 100 - slack)
 
 
+SKETCH = 400
+
+
+def sketches(rows: DataFrame, size: int) -> DataFrame:
+    """(doc_id, text) to the SKETCH smallest 32-bit shingle hashes; ``top`` is null if they are all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            parts = []
+            for text in batch.column(1).cast(pa.binary()):
+                x = shingle_set(text.as_py(), size, hashes)
+                parts.append(np.unique(((x >> np.uint64(32)).astype(np.int64) - (1 << 31)).astype(np.int32)))
+            tops = [int(x[SKETCH - 1]) if len(x) > SKETCH else None for x in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[:SKETCH] for x in parts], pa.list_(pa.int32())), pa.array(tops, pa.int32())], names=["doc_id", "sketch", "top"])
+
+    return rows.mapInArrow(run, "doc_id long, sketch array<int>, top int")
+
+
+def _sketches_link(threshold: int, slack: float):
+    """Whether the sketches leave a similarity of threshold % possible. If both hold all shingles, nothing is
+    estimated; else both are compared up to the smaller top, where they are whole."""
+    both = F.size(F.array_intersect("x.sketch", "y.sketch"))
+    whole = both * 100 >= (F.size("x.sketch") + F.size("y.sketch") - both) * threshold
+    top = F.least("x.top", "y.top")
+    a, b = (F.filter(c, lambda v: v <= top) for c in ("x.sketch", "y.sketch"))
+    some = F.size(F.array_intersect(a, b))
+    return F.when(top.isNull(), whole).otherwise(some * 100 >= (F.size(a) + F.size(b) - some) * (threshold - 100 * slack))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
     """The (u, v) of pairs whose whole shingle sets have 100 * |both| >= threshold * |either|."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
@@ -144,7 +174,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Dat
     return met.mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, slack: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, slack: float = 0.15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked where 100 * |both| >= threshold * |either| for their sets of ``size``-word
@@ -157,8 +187,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, slack:
     is missed in all with a chance of 3 in a million. In each band's bucket, members first meet two hubs; then the
     members outside of the bucket's largest component meet the others of other components. So a
     bucket of n copies costs O(n) pairs, and none that could join two components is left out. A
-    candidate goes on if its b-bit estimate is above threshold - slack (five standard deviations),
-    and counts if the whole sets agree.
+    candidate goes on if its b-bit estimate is above threshold - slack (five standard deviations)
+    and, among the last ones, if sketches of up to 400 shingles allow it; it counts if the whole sets agree.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(sign(rows, size), "signed")
@@ -184,9 +214,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, slack:
     of = members.select("key", "doc_id").join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     sizes = of.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("key", "most")
-    still = materialize(of.join(largest, "key").join(marks, "doc_id"), "still")
+    still = materialize(of.join(largest, "key"), "still")
+    sketched = sketches(texts.join(broadcast_if_small(still.select("doc_id").distinct()), "doc_id", "left_semi"), size)
+    still = materialize(still.join(marks, "doc_id").join(sketched, "doc_id"), "still")
     x, y = still.where("root <> most").alias("x"), still.alias("y")
-    cross = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _may_link(threshold, slack)
+    cross = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _may_link(threshold, slack) & _sketches_link(threshold, 0.09)
     rest = x.join(y, cross).select(F.least("x.doc_id", "y.doc_id").alias("u"), F.greatest("x.doc_id", "y.doc_id").alias("v")).distinct()
     more = materialize(rest, "rest")
     if not more.isEmpty():
