@@ -2,6 +2,317 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factloom.functions import text as T
+from factloom.functions import values as V
+from factloom.operators import extract, knowledge as K
+from factloom.sources import tables as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 FLAGSHIP = "review_flagship"
+
+#: The views of ``factloom.sources.tables`` in SQL.
+VIEWS = {
+    "facts": "SELECT o_orderkey AS fact_id, o_custkey AS entity_id, o_orderpriority AS field_name, o_totalprice AS value, (o_orderkey * 37 % 101) / 100.0::DOUBLE AS confidence, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'P' THEN 'rejected' ELSE 'pending' END AS status, o_orderdate AS created_at FROM orders",
+    "entities": "SELECT c_custkey AS entity_id, c_name AS display_name, c_mktsegment AS entity_type, c_nationkey AS nation_id FROM customer",
+    "evidence": "SELECT l_orderkey AS fact_id, l_linenumber AS line_no, l_suppkey AS source_id, l_partkey AS part_id, l_shipdate AS created_at, l_discount AS confidence FROM lineitem",
+    "sources": "SELECT s_suppkey AS source_id, s_name AS source_name, s_nationkey AS nation_id FROM supplier",
+    "cases": "SELECT event_id AS case_id, user_id AS entity_id, event_type AS fact_type, (event_id * 37 % 101) / 100.0::DOUBLE AS confidence, ['PENDING','ASSIGNED','IN_REVIEW','COMPLETED','CANCELLED'][CAST(event_id % 5 AS INT) + 1] AS status, ts AS created_at, value FROM events",
+    "docs": "SELECT doc_id, text, source, sha256(coalesce(text, '')) AS content_hash FROM documents",
+}
+
+
+def query(sql: str | None = None, *views: str):
+    """Register a query under its function's name, with its SQL over the named views."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = (f"WITH {', '.join(f'{v} AS ({VIEWS[v]})' for v in views)} " if views else "") + sql
+        return f
+
+    return add
+
+
+def _patterns_sql(patterns: tuple[extract.Pattern, ...]) -> str:
+    part = "SELECT doc_id, '{k}' AS fact_type, unnest(regexp_extract_all(text, '{r}', {g})) AS value, CAST({c} AS DOUBLE) AS confidence FROM documents"
+    return " UNION ALL ".join(part.format(k=p.fact_type, r=p.regex.replace("'", "''"), g=p.group, c=p.confidence) for p in patterns)
+
+
+PATTERNS_SQL = _patterns_sql(extract.UNIVERSAL)
+
+
+@query(PATTERNS_SQL)
+def candidate_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return extract.all_matches(S.documents(spark, d)).drop("ord")
+
+
+@query()
+def quality_gate(spark: SparkSession, d: str) -> DataFrame:
+    return extract.gate(extract.all_matches(S.documents(spark, d))).select("doc_id", "fact_type", "value_norm", "confidence", "reject_reason")
+
+
+@query(f"SELECT doc_id, fact_type, value, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, fact_type, lower(value) ORDER BY value) AS r FROM ({PATTERNS_SQL})) WHERE r = 1")
+def candidate_dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    found = extract.all_matches(S.documents(spark, d))
+    return extract.first_wins(found, [F.col("doc_id"), F.col("fact_type"), F.lower("value")], [F.col("value")]).drop("ord")
+
+
+@query()
+def review_flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Documents to review cases: patterns, gate, first-wins, priority, the best of each bucket."""
+    good = extract.gate(extract.all_matches(S.documents(spark, d))).where("reject_reason is null")
+    once = extract.first_wins(good, [F.col("doc_id"), F.col("fact_type"), F.lower("value_norm")], [F.col("ord")])
+    rows = once.select(F.col("doc_id").alias("entity_id"), F.col("ord").alias("case_id"), "fact_type", F.col("value_norm").alias("value"), "confidence", K.priority_strict(F.col("confidence")).alias("priority"), F.lit(None).cast("timestamp").alias("created_at"))
+    return K.bucket_top_k(rows).select("entity_id", "fact_type", "value", "confidence", "priority", "bucket", "rank")
+
+
+@query("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+')) AS n_words, length(coalesce(text, '')) AS n_chars, coalesce(text, '') <> '' AS has_text FROM documents")
+def content_helpers(spark: SparkSession, d: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return S.documents(spark, d).select("doc_id", F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long").alias("n_words"), F.length(text).cast("long").alias("n_chars"), (text != "").alias("has_text"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)passport|reisepass') OR regexp_matches(text, '(?i)[A-Z0-9<]{30,44}') THEN 'passport' WHEN regexp_matches(text, '(?i)rechnung|invoice') THEN 'invoice' WHEN regexp_matches(text, '(?i)kontoauszug|bank statement') THEN 'bank_statement' WHEN regexp_matches(text, '(?i)gehaltsabrechnung|payslip') THEN 'payslip' WHEN regexp_matches(text, '(?i)arbeitsvertrag|employment contract') THEN 'employment_contract' WHEN regexp_matches(text, '(?i)personalausweis|identity card') THEN 'id_card' WHEN regexp_matches(text, '(?i)aufenthaltstitel|residence permit') THEN 'residence_permit' END AS kind FROM documents")
+def doc_type_regex(spark: SparkSession, d: str) -> DataFrame:
+    return S.documents(spark, d).select("doc_id", extract.kind_by_regex(F.col("text")).alias("kind"))
+
+
+@query("WITH s AS (SELECT doc_id, contains(lower(text), 'license')::INT + contains(lower(text), 'licensed')::INT + contains(lower(text), 'released')::INT AS a, contains(text, '@')::INT + contains(lower(text), 'mail')::INT AS b, contains(text, ' | ')::INT AS c, contains(lower(text), 'rights')::INT + contains(lower(text), 'copyright')::INT + contains(lower(text), 'terms')::INT AS e FROM documents) SELECT doc_id, CASE greatest(a, b, c, e) WHEN 0 THEN 'other' WHEN a THEN 'license' WHEN b THEN 'mail' WHEN c THEN 'list' ELSE 'legal' END AS kind FROM s")
+def doc_type_score(spark: SparkSession, d: str) -> DataFrame:
+    return S.documents(spark, d).select("doc_id", extract.kind_by_score(F.col("text")).alias("kind"))
+
+
+@query("SELECT content_hash, min(doc_id) AS first_id, count(*) AS copies FROM docs GROUP BY content_hash", "docs")
+def doc_dedup_hash(spark: SparkSession, d: str) -> DataFrame:
+    return S.documents(spark, d).groupBy("content_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+
+
+@query(f"SELECT doc_id, count(*) AS n, round(avg(confidence), 4) AS mean_confidence, count(DISTINCT fact_type) AS n_types, count(*) < 6 AS few FROM ({PATTERNS_SQL}) GROUP BY doc_id")
+def extraction_summary(spark: SparkSession, d: str) -> DataFrame:
+    found = extract.all_matches(S.documents(spark, d))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.count_distinct("fact_type").alias("n_types"), (F.count("*") < 6).alias("few"))
+
+
+@query("SELECT status, field_name, count(*) AS n FROM facts GROUP BY ALL", "facts")
+def facts_by_status(spark: SparkSession, d: str) -> DataFrame:
+    return S.facts(spark, d).groupBy("status", "field_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT fact_id, entity_id, field_name, confidence FROM facts WHERE status IN ('pending', 'accepted') AND confidence >= 0.5 AND created_at >= TIMESTAMP '1995-01-01' AND created_at < TIMESTAMP '1997-01-01'", "facts")
+def facts_filtered(spark: SparkSession, d: str) -> DataFrame:
+    f = S.facts(spark, d)
+    return f.where(F.col("status").isin("pending", "accepted") & (F.col("confidence") >= 0.5) & (F.col("created_at") >= "1995-01-01") & (F.col("created_at") < "1997-01-01")).select("fact_id", "entity_id", "field_name", "confidence")
+
+
+@query("SELECT entity_id, count(*) FILTER (o) AS pending, count(*) FILTER (status IN ('COMPLETED', 'ACCEPTED')) AS accepted, count(*) FILTER (status IN ('CANCELLED', 'REJECTED')) AS rejected, count(*) FILTER (o AND s) AS visible, count(*) FILTER (o AND NOT s) AS hidden FROM (SELECT *, status NOT IN ('COMPLETED', 'CANCELLED', 'ACCEPTED', 'REJECTED') AS o, confidence >= 0.5 AND fact_type NOT IN ('review_candidate', 'bic') AS s FROM cases) GROUP BY entity_id", "cases")
+def review_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return K.review_metrics(S.cases(spark, d))
+
+
+@query("SELECT entity_id, case_id, bucket, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY entity_id, bucket ORDER BY confidence DESC, created_at DESC, case_id) AS INT) AS rank FROM (SELECT *, CASE WHEN confidence >= 0.9 AND confidence < 1.01 THEN 0 WHEN confidence >= 0.8 AND confidence < 0.9 THEN 1 WHEN confidence >= 0.7 AND confidence < 0.8 THEN 2 WHEN confidence >= 0.6 AND confidence < 0.7 THEN 3 WHEN confidence >= 0.5 AND confidence < 0.6 THEN 4 WHEN confidence < 0.5 THEN 5 END AS bucket FROM cases)) WHERE rank <= 20 AND bucket IS NOT NULL", "cases")
+def review_buckets_topk(spark: SparkSession, d: str) -> DataFrame:
+    return K.bucket_top_k(S.cases(spark, d)).select("entity_id", "case_id", "bucket", "rank")
+
+
+@query("SELECT case_id, CASE WHEN confidence < 0.4 THEN 'HIGH' WHEN confidence < 0.6 THEN 'NORMAL' ELSE 'LOW' END AS strict, CASE WHEN confidence < 0.6 THEN 'HIGH' WHEN confidence < 0.8 THEN 'NORMAL' ELSE 'LOW' END AS lenient, confidence < 0.75 AS needs_review FROM cases", "cases")
+def priority_from_confidence(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("confidence")
+    return S.cases(spark, d).select("case_id", K.priority_strict(c).alias("strict"), K.priority_lenient(c).alias("lenient"), (c < 0.75).alias("needs_review"))
+
+
+@query("SELECT entity_id, case_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY CASE WHEN confidence < 0.4 THEN 2 WHEN confidence < 0.6 THEN 3 ELSE 4 END, created_at, case_id) AS INT) AS place FROM cases WHERE status NOT IN ('COMPLETED', 'CANCELLED')", "cases")
+def review_queue_order(spark: SparkSession, d: str) -> DataFrame:
+    open_cases = S.cases(spark, d).where(~F.col("status").isin("COMPLETED", "CANCELLED"))
+    w = Window.partitionBy("entity_id").orderBy(K.priority_rank(K.priority_strict(F.col("confidence"))), "created_at", "case_id")
+    return open_cases.select("entity_id", "case_id", F.row_number().over(w).alias("place"))
+
+
+@query("SELECT DISTINCT fact_type FROM cases WHERE status = 'PENDING' AND confidence >= 0.5 UNION ALL SELECT 'All'", "cases")
+def fact_types_distinct(spark: SparkSession, d: str) -> DataFrame:
+    c = S.cases(spark, d).where((F.col("status") == "PENDING") & (F.col("confidence") >= 0.5)).select("fact_type").distinct()
+    return c.unionByName(spark.range(1).select(F.lit("All").alias("fact_type")))
+
+
+@query("SELECT (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM facts WHERE status = 'accepted') AS accepted, (SELECT count(*) FROM facts WHERE status = 'pending') AS pending, (SELECT count(DISTINCT entity_id) FROM facts) AS with_facts, (SELECT count(*) FROM cases WHERE status = 'PENDING') AS open_cases", "entities", "facts", "cases")
+def health_counts(spark: SparkSession, d: str) -> DataFrame:
+    f = S.facts(spark, d).agg(F.count_if(F.col("status") == "accepted").alias("accepted"), F.count_if(F.col("status") == "pending").alias("pending"), F.count_distinct("entity_id").alias("with_facts"))
+    return S.entities(spark, d).agg(F.count("*").alias("entities")).crossJoin(f).crossJoin(S.cases(spark, d).agg(F.count_if(F.col("status") == "PENDING").alias("open_cases")))
+
+
+@query("SELECT entity_id, CASE WHEN coalesce(pending, 0) > 5 THEN 'review' WHEN coalesce(accepted, 0) = 0 THEN 'upload' WHEN coalesce(pending, 0) > 0 THEN 'check' ELSE 'ready' END AS step FROM entities LEFT JOIN (SELECT entity_id, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'accepted') AS accepted FROM facts GROUP BY entity_id) USING (entity_id)", "entities", "facts")
+def next_step(spark: SparkSession, d: str) -> DataFrame:
+    f = S.facts(spark, d).groupBy("entity_id").agg(F.count_if(F.col("status") == "pending").alias("p"), F.count_if(F.col("status") == "accepted").alias("a"))
+    p, a = F.coalesce("p", F.lit(0)), F.coalesce("a", F.lit(0))
+    return S.entities(spark, d).join(f, "entity_id", "left").select("entity_id", F.when(p > 5, "review").when(a == 0, "upload").when(p > 0, "check").otherwise("ready").alias("step"))
+
+
+@query("SELECT entity_id, field_name, fact_id, value, confidence FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY confidence DESC, created_at, fact_id) AS r FROM facts WHERE status = 'accepted') WHERE r = 1", "facts")
+def profile_best_fact(spark: SparkSession, d: str) -> DataFrame:
+    return K.best_fact(S.facts(spark, d).where("status = 'accepted'"), ["entity_id", "field_name"]).select("entity_id", "field_name", "fact_id", "value", "confidence")
+
+
+FIELDS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(f"SELECT entity_id, CAST(count(DISTINCT field_name) AS INT) AS n_covered, round(count(DISTINCT field_name) / 5.0::DOUBLE, 4) AS completeness FROM facts WHERE field_name IN ({', '.join(repr(f) for f in FIELDS)}) GROUP BY entity_id", "facts")
+def profile_completeness(spark: SparkSession, d: str) -> DataFrame:
+    return K.completeness(S.facts(spark, d), FIELDS).where("n_covered > 0").select("entity_id", "n_covered", "completeness")
+
+
+@query("SELECT count(*) AS n FROM (SELECT entity_id FROM facts WHERE status = 'accepted' UNION SELECT entity_id FROM cases)", "facts", "cases")
+def profile_union_count(spark: SparkSession, d: str) -> DataFrame:
+    return S.facts(spark, d).where("status = 'accepted'").select("entity_id").union(S.cases(spark, d).select("entity_id")).distinct().agg(F.count("*").alias("n"))
+
+
+@query("SELECT e.entity_id, n_name AS nation, r_name AS region, count(f.fact_id) AS facts FROM entities e JOIN nation ON nation_id = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN facts f ON f.entity_id = e.entity_id AND f.status = 'accepted' GROUP BY ALL", "entities", "facts")
+def connected_entities(spark: SparkSession, d: str) -> DataFrame:
+    f = S.facts(spark, d).where("status = 'accepted'").groupBy("entity_id").agg(F.count("*").alias("k"))
+    e = S.entities(spark, d).join(S.read(spark, d, "nation"), F.col("nation_id") == F.col("n_nationkey")).join(S.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return e.join(f, "entity_id", "left").select("entity_id", F.col("n_name").alias("nation"), F.col("r_name").alias("region"), F.coalesce("k", F.lit(0)).alias("facts"))
+
+
+@query("SELECT source_id, source_name, count(*) AS n, min(created_at) AS first_at, max(confidence) AS best FROM evidence JOIN sources USING (source_id) GROUP BY ALL", "evidence", "sources")
+def evidence_by_document(spark: SparkSession, d: str) -> DataFrame:
+    return S.evidence(spark, d).join(S.sources(spark, d), "source_id").groupBy("source_id", "source_name").agg(F.count("*").alias("n"), F.min("created_at").alias("first_at"), F.max("confidence").alias("best"))
+
+
+@query("SELECT a.entity_id AS group_id, a.field_name, a.fact_id AS left_id, b.fact_id AS right_id, CASE WHEN s < 0.6 THEN s / 2 ELSE s END AS score FROM facts a JOIN facts b ON a.entity_id = b.entity_id AND a.field_name = b.field_name AND a.fact_id < b.fact_id, LATERAL (SELECT least(a.confidence, b.confidence) AS s)", "facts")
+def entity_pair_matches(spark: SparkSession, d: str) -> DataFrame:
+    return K.resolve(S.facts(spark, d), "entity_id", "fact_id", F.least("a.confidence", "b.confidence")).select("group_id", "field_name", "left_id", "right_id", "score")
+
+
+@query("SELECT entity_id, round(avg(confidence), 6) AS score FROM facts GROUP BY entity_id", "facts")
+def weighted_score(spark: SparkSession, d: str) -> DataFrame:
+    return K.weighted_score(S.facts(spark, d), ["entity_id"]).select("entity_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT entity_id, field_name, value AS canonical_value FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY confidence DESC, created_at, fact_id) AS r FROM facts) WHERE r = 1", "facts")
+def canonical_values(spark: SparkSession, d: str) -> DataFrame:
+    return K.best_fact(S.facts(spark, d), ["entity_id", "field_name"]).select("entity_id", "field_name", F.col("value").alias("canonical_value"))
+
+
+@query("SELECT entity_id, field_name, count(DISTINCT value) AS n_values, len(list(DISTINCT fact_id)) AS n_facts FROM facts GROUP BY ALL HAVING count(DISTINCT value) > 1", "facts")
+def conflict_details(spark: SparkSession, d: str) -> DataFrame:
+    return K.conflicts(S.facts(spark, d), ["entity_id", "field_name"]).select("entity_id", "field_name", "n_values", F.size("fact_ids").cast("long").alias("n_facts"))
+
+
+@query("SELECT fact_id, entity_id, field_name FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY created_at, fact_id) AS r FROM facts WHERE status = 'pending') p WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM facts a WHERE a.status = 'accepted' AND a.entity_id = p.entity_id AND a.field_name = p.field_name)", "facts")
+def dedup_fact_keys(spark: SparkSession, d: str) -> DataFrame:
+    f = S.facts(spark, d)
+    return K.new_rows(f.where("status = 'pending'"), f.where("status = 'accepted'"), ["entity_id", "field_name"], [F.col("created_at"), F.col("fact_id")]).select("fact_id", "entity_id", "field_name")
+
+
+@query("SELECT fact_id, line_no FROM evidence e WHERE EXISTS (SELECT 1 FROM facts f WHERE f.fact_id = e.fact_id AND status = 'accepted' AND confidence >= 0.9)", "evidence", "facts")
+def kept_links_semijoin(spark: SparkSession, d: str) -> DataFrame:
+    return S.evidence(spark, d).join(S.facts(spark, d).where((F.col("status") == "accepted") & (F.col("confidence") >= 0.9)), "fact_id", "left_semi").select("fact_id", "line_no")
+
+
+@query("SELECT fact_id, CASE WHEN confidence >= 0.9 AND n > 3 THEN 'auto' WHEN n > 0 THEN 'case' ELSE 'rejected' END AS outcome FROM (SELECT fact_id, any_value(f.confidence) AS confidence, count(e.line_no) AS n FROM facts f LEFT JOIN evidence e USING (fact_id) WHERE status = 'pending' GROUP BY fact_id)", "facts", "evidence")
+def acceptance_split(spark: SparkSession, d: str) -> DataFrame:
+    n = S.evidence(spark, d).groupBy("fact_id").agg(F.count("*").alias("n"))
+    f = S.facts(spark, d).where("status = 'pending'").join(n, "fact_id", "left")
+    return f.select("fact_id", F.when((F.col("confidence") >= 0.9) & (F.col("n") > 3), "auto").when(F.col("n") > 0, "case").otherwise("rejected").alias("outcome"))
+
+
+@query("SELECT case_id AS job_id FROM cases WHERE status IN ('PENDING', 'ASSIGNED') ORDER BY CAST(value AS INT) DESC, created_at, case_id LIMIT 10", "cases")
+def lease_order(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("status") == "PENDING", "pending").when(F.col("status") == "ASSIGNED", "retrying").otherwise("done")
+    jobs = S.cases(spark, d).select(F.col("case_id").alias("job_id"), status.alias("status"), F.round("value").cast("int").alias("priority"), "created_at", F.col("created_at").alias("available_at"))
+    return K.lease(jobs, F.lit("2100-01-01").cast("timestamp"), 10).select("job_id")
+
+
+@query("SELECT job_id, n, CASE WHEN c THEN 'ABORT' WHEN r THEN 'RETRY' WHEN v THEN 'ESCALATE' ELSE 'ABORT' END AS decision FROM (SELECT entity_id AS job_id, count(*) AS n, bool_or(confidence < 0.01) AS c, bool_or(status = 'ASSIGNED') AS r, bool_or(status = 'IN_REVIEW') AS v FROM cases GROUP BY entity_id)", "cases")
+def recovery_decision(spark: SparkSession, d: str) -> DataFrame:
+    c = S.cases(spark, d)
+    return K.recovery(c.select(F.col("entity_id").alias("job_id"), F.when(F.col("confidence") < 0.01, "CRITICAL").otherwise("ERROR").alias("severity"), (F.col("status") == "ASSIGNED").alias("is_retryable"), (F.col("status") == "IN_REVIEW").alias("requires_review")))
+
+
+@query("SELECT fact_type, count(*) AS total, count(*) FILTER (confidence < 0.1) AS critical, count(*) FILTER (confidence >= 0.1 AND confidence < 0.5) AS error, count(*) FILTER (confidence >= 0.5) AS warning FROM cases GROUP BY fact_type", "cases")
+def failure_summary(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("confidence")
+    return S.cases(spark, d).groupBy("fact_type").agg(F.count("*").alias("total"), F.count_if(c < 0.1).alias("critical"), F.count_if((c >= 0.1) & (c < 0.5)).alias("error"), F.count_if(c >= 0.5).alias("warning"))
+
+
+@query("SELECT entity_id, case_id, entry_hash, lag(entry_hash) OVER (PARTITION BY entity_id ORDER BY created_at, case_id) AS previous_hash FROM (SELECT entity_id, case_id, created_at, sha256(fact_type || '|' || case_id) AS entry_hash FROM cases)", "cases")
+def audit_chain_links(spark: SparkSession, d: str) -> DataFrame:
+    c = S.cases(spark, d).withColumn("entry_hash", F.sha2(F.concat_ws("|", "fact_type", F.col("case_id").cast("string")), 256))
+    return c.select("entity_id", "case_id", "entry_hash", F.lag("entry_hash").over(Window.partitionBy("entity_id").orderBy("created_at", "case_id")).alias("previous_hash"))
+
+
+@query("SELECT fact_id, date_diff('day', DATE '1998-08-01', CAST(created_at AS DATE)) + 60 AS days, CASE WHEN date_diff('day', DATE '1998-08-01', CAST(created_at AS DATE)) + 60 <= 30 THEN 'critical' ELSE 'warning' END AS severity FROM facts WHERE created_at >= TIMESTAMP '1998-05-01' AND date_diff('day', DATE '1998-08-01', CAST(created_at AS DATE)) + 60 <= 90", "facts")
+def expiry_advisory(spark: SparkSession, d: str) -> DataFrame:
+    f = S.facts(spark, d).where(F.col("created_at") >= "1998-05-01").select("fact_id", F.date_add(F.to_date("created_at"), 60).alias("expires_on"))
+    return K.expiry_advice(f, F.lit("1998-08-01").cast("date")).select("fact_id", F.col("days").cast("long").alias("days"), "severity")
+
+
+@query(f"SELECT entity_id, count(*) FILTER (v IS NOT NULL) AS filled, round(count(*) FILTER (v IS NOT NULL) / 5.0::DOUBLE, 2) AS readiness FROM (SELECT e.entity_id, t.f, max(x.value) AS v FROM entities e CROSS JOIN (SELECT unnest({FIELDS!r}) AS f) t LEFT JOIN facts x ON x.entity_id = e.entity_id AND x.field_name = t.f AND x.status = 'accepted' GROUP BY ALL) GROUP BY entity_id", "entities", "facts")
+def form_preview(spark: SparkSession, d: str) -> DataFrame:
+    template = S.entities(spark, d).select("entity_id", F.explode(F.array(*[F.lit(f) for f in FIELDS])).alias("field_id")).withColumn("required", F.lit(True))
+    mapping = spark.range(1).select(F.explode(F.array(*[F.lit(f) for f in FIELDS])).alias("field_id")).withColumn("fact_type", F.col("field_id"))
+    best = K.best_fact(S.facts(spark, d).where("status = 'accepted'"), ["entity_id", "field_name"]).select("entity_id", F.col("field_name").alias("fact_type"), "value")
+    return K.readiness(K.form_preview(template, mapping, best)).select("entity_id", "filled", "readiness")
+
+
+@query("SELECT entity_id, count(*) AS fact_count, max(value) AS top_value, min(created_at) AS first_at FROM facts WHERE status = 'accepted' GROUP BY entity_id", "facts")
+def report_fact_export(spark: SparkSession, d: str) -> DataFrame:
+    facts = S.facts(spark, d).where("status = 'accepted'")
+    env = facts.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "fact_id", "field_name", "value"))).alias("facts"))
+    return env.select("entity_id", F.size("facts").cast("long").alias("fact_count"), F.array_max(F.transform("facts", lambda x: x["value"])).alias("top_value"), F.get("facts", F.lit(0))["created_at"].alias("first_at"))
+
+
+@query("SELECT fact_id, entity_id, CASE WHEN fact_id % 3 = 0 THEN 'superseded' ELSE status END AS status FROM facts", "facts")
+def upsert_facts(spark: SparkSession, d: str) -> DataFrame:
+    f = S.facts(spark, d).select("fact_id", "entity_id", "status")
+    return K.upsert(f, f.where("fact_id % 3 = 0").withColumn("status", F.lit("superseded")), ["fact_id"], ["entity_id"])
+
+
+@query("SELECT status, CASE WHEN fact_id % 2 = 0 THEN 'accepted' ELSE 'superseded' END AS wanted, (status || '>' || CASE WHEN fact_id % 2 = 0 THEN 'accepted' ELSE 'superseded' END) IN ('pending>accepted', 'pending>rejected', 'accepted>superseded') AS legal, count(*) AS n FROM facts GROUP BY ALL", "facts")
+def fact_transitions(spark: SparkSession, d: str) -> DataFrame:
+    asked = S.facts(spark, d).withColumn("wanted", F.when(F.col("fact_id") % 2 == 0, "accepted").otherwise("superseded"))
+    return K.transitions(asked, [("pending", "accepted"), ("pending", "rejected"), ("accepted", "superseded")], "status", "wanted").groupBy("status", "wanted", "legal").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(hello|hi|hey)\\b') THEN 'greeting' WHEN contains(lower(text), 'profile') THEN 'profile' WHEN contains(lower(text), 'review') THEN 'review' ELSE 'llm' END AS intent FROM conversations")
+def chat_intents(spark: SparkSession, d: str) -> DataFrame:
+    low = F.lower("text")
+    return S.read(spark, d, "conversations").select("conv_id", "turn", F.when(low.rlike(r"\b(hello|hi|hey)\b"), "greeting").when(low.contains("profile"), "profile").when(low.contains("review"), "review").otherwise("llm").alias("intent"))
+
+
+@query("SELECT fact_id, rule, CASE rule WHEN 'range' THEN value BETWEEN 1000 AND 200000 ELSE regexp_full_match(CAST(field_name AS VARCHAR), '[1-5]-[A-Z ]+') END AS passed FROM facts, (SELECT unnest(['range', 'format']) AS rule)", "facts")
+def validation_rules(spark: SparkSession, d: str) -> DataFrame:
+    f = S.facts(spark, d)
+    amounts = K.validate(f.select("fact_id", F.lit("amount").alias("fact_type"), F.col("value").cast("string").alias("value")), [{"rule_id": "range", "kind": "range", "fact_type": "amount", "least": 1000.0, "most": 200000.0}])
+    names = K.validate(f.select("fact_id", F.lit("name").alias("fact_type"), F.col("field_name").alias("value")), [{"rule_id": "format", "kind": "format", "fact_type": "name", "regex": "[1-5]-[A-Z ]+"}])
+    return amounts.unionByName(names).select("fact_id", F.col("rule_id").alias("rule"), "passed")
+
+
+@query("SELECT doc_id, lower(trim(regexp_replace(coalesce(source, ''), '[-\\s_]+', '_', 'g'))) AS source_key FROM documents")
+def normalized_keys(spark: SparkSession, d: str) -> DataFrame:
+    return S.documents(spark, d).select("doc_id", T.normalize_key(F.coalesce("source", F.lit(""))).alias("source_key"))
+
+
+@query()
+def clean_document_lines(spark: SparkSession, d: str) -> DataFrame:
+    return S.documents(spark, d).select("doc_id", F.size(T.clean_lines(F.coalesce("text", F.lit("")))).alias("n_lines"))
+
+
+@query()
+def mrz_line_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return extract.mrz_lines(S.documents(spark, d))
+
+
+@query()
+def signed_audit_entries(spark: SparkSession, d: str) -> DataFrame:
+    c = S.cases(spark, d).withColumn("payload", F.concat_ws("|", F.col("case_id").cast("string"), "fact_type", "status"))
+    return c.select("case_id", V.hmac_sha256(b"key of the audit chain of a test", F.col("payload")).alias("signature"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS hour, count(*) AS n, sum(value) > 0 AS any_value FROM events GROUP BY ALL")
+def hourly_events(spark: SparkSession, d: str) -> DataFrame:
+    return S.read(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), (F.sum("value") > 0).alias("any_value"))
