@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.common import materialize
+from factloom.llm.graph import broadcast_if_small
+
 NULL = "(null)"
 OWN = ("mix_epoch", "mix_tokens", "mix_take")
 
@@ -58,7 +61,8 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
 
     Only counts are shuffled, summed before: per leaf, then per leaf and 4096th of the order. The
     one 4096th of each leaf in which the prefix ends is ordered within itself; a hot leaf never
-    meets in one task. The other rows never move.
+    meets in one task. The other rows never move while the
+    leaves, which are counted, are at most 100,000; beyond that Spark joins them by shuffling.
     """
     n = tokens if tokens is not None else words(F.coalesce(F.col(text_col), F.lit("")))
     names = [f"__l{i}" for i in range(len(levels))]
@@ -69,6 +73,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     plan = budgets(leaves, names, held, wanted, max_epochs)
     plan = plan.select(*names, F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.greatest("tokens", F.lit(1)))).otherwise(0).cast("long").alias("__whole"), "tokens", "budget")
     plan = plan.withColumn("__rest", F.col("budget") - F.col("__whole") * F.col("tokens")).drop("tokens", "budget")
+    plan = broadcast_if_small(materialize(plan, "leaves"), 100_000)
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(NULL))))
     dealt = rows.join(plan, names).withColumn("__order", order).withColumn("__part", F.substring("__order", 1, 3))
 
@@ -76,6 +81,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     up_to = F.sum("in_part").over(Window.partitionBy(*names).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0))
     ends = parts.withColumn("up_to", up_to).where(F.col("up_to") >= F.col("__rest")).groupBy(*names).agg(F.min_by(F.struct("__part", (F.col("up_to") - F.col("in_part")).alias("before")), "__part").alias("e"))
     ends = ends.select(*names, F.col("e.__part").alias("__end"), F.col("e.before").alias("__before"))
+    ends = broadcast_if_small(materialize(ends, "ends"), 100_000)
     dealt = dealt.join(ends, names, "left")
 
     keep = [c for c in docs.columns if c not in OWN]
