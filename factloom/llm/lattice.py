@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,30 @@ PRIME = np.uint64(1_000_003)
 MARK = "▁"  # starts a word in the vocabulary's pieces
 
 
+BITS = 20  # of a slot's number in the table of pieces
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def _table(pieces: tuple[str, ...]) -> tuple[dict[int, int], int, np.ndarray, np.ndarray]:
+    """Numbers of single bytes' pieces, the longest piece, and hashes and numbers by slot; once per process."""
+    byte = {int(p[3:5], 16): i for i, p in enumerate(pieces) if len(p) == 6 and p.startswith("<0x")}
+    plain = [(p, i) for i, p in enumerate(pieces) if p and i not in set(byte.values()) and p not in ("<unk>", "<s>", "</s>")]
+    keys, ids = np.zeros(1 << BITS, np.uint64), np.full(1 << BITS, -1, np.int64)
+    for p, i in plain:
+        h = 0
+        for c in p:
+            h = (h * int(PRIME) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        at = _slot(np.array([h], np.uint64))[0]
+        while ids[at] >= 0:
+            at = (at + 1) % (1 << BITS)
+        keys[at], ids[at] = h, i
+    return byte, max((len(p) for p, _ in plain), default=1), keys, ids
+
+
 class Pieces:
     """A subword vocabulary with log probabilities, looked up by hashes of code points.
 
@@ -25,33 +50,17 @@ class Pieces:
     points cost the product of their UTF-8 bytes' probabilities.
     """
 
-    BITS = 20
-
     def __init__(self, pieces: list[str], logp: np.ndarray):
         self.logp = np.asarray(logp, np.float64)
-        self.byte = {int(p[3:5], 16): i for i, p in enumerate(pieces) if len(p) == 6 and p.startswith("<0x")}
-        plain = [(p, i) for i, p in enumerate(pieces) if p and i not in set(self.byte.values()) and p not in ("<unk>", "<s>", "</s>")]
-        self.longest = max((len(p) for p, _ in plain), default=1)
-        self.keys, self.ids = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int64)
-        for p, i in plain:
-            h = 0
-            for c in p:
-                h = (h * int(PRIME) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-            at = self._slot(np.array([h], np.uint64))[0]
-            while self.ids[at] >= 0:
-                at = (at + 1) % (1 << self.BITS)
-            self.keys[at], self.ids[at] = h, i
-
-    def _slot(self, h: np.ndarray) -> np.ndarray:
-        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        self.byte, self.longest, self.keys, self.ids = _table(tuple(pieces))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers by hash, -1 where there is none."""
-        at = self._slot(h)
+        at = _slot(h)
         out = np.where(self.keys[at] == h, self.ids[at], -1)
         todo = np.flatnonzero((out < 0) & (self.ids[at] >= 0))
         while len(todo):
-            at[todo] = (at[todo] + 1) % (1 << self.BITS)
+            at[todo] = (at[todo] + 1) % (1 << BITS)
             hit = self.keys[at[todo]] == h[todo]
             out[todo[hit]] = self.ids[at[todo[hit]]]
             todo = todo[~hit & (self.ids[at[todo]] >= 0)]
@@ -105,7 +114,7 @@ class Pieces:
                         totals[self.byte[b]] += s
 
     @staticmethod
-    def by_length(words: list[str], most: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def by_length(words: list[str], most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Row numbers and code points of words of equal length, marked as word starts, in blocks."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
@@ -160,6 +169,19 @@ def count_tokens(rows: DataFrame, flush: int = 400_000) -> DataFrame:
     return rows.select("text", "learn").mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have that many rows: words of one length are handled together."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def fit_pieces(words: DataFrame, pieces: list[str], rounds: int = 2, prior: float = 0.1) -> np.ndarray:
     """Log probabilities of the vocabulary's pieces by expectation maximisation over all learned
     words with their counts; what the driver gathers has a row for each piece at most."""
@@ -170,7 +192,7 @@ def fit_pieces(words: DataFrame, pieces: list[str], rounds: int = 2, prior: floa
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             model, totals = Pieces(pieces, shared.value), np.zeros(len(pieces))
-            for batch in batches:
+            for batch in _gathered(batches):
                 weights = batch.column(1).to_numpy().astype(np.float64)
                 for rows, points in Pieces.by_length(batch.column(0).to_pylist()):
                     model.expect(points, weights[rows], totals)
@@ -198,7 +220,7 @@ def word_scores(words: DataFrame, pieces: list[str], logp: np.ndarray, total: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces(pieces, shared.value)
-        for batch in batches:
+        for batch in _gathered(batches):
             scores = np.zeros(batch.num_rows)
             for rows, points in Pieces.by_length(batch.column(0).to_pylist()):
                 scores[rows] = model.forward(points)[-1]
