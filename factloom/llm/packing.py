@@ -30,6 +30,8 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.array([t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])])
+        # str.split cuts at these four as well, which are no white space to the tokenizer
+        self.controls, self.spaces = regex.compile("[\x1c-\x1f]").search, regex.compile(r"[^\S\x1c-\x1f]+")
         self.simple = regex.compile("[!-~\u00a1-\u00ff]+").fullmatch
         #: Fixed value: the pattern by which the tokenizer's file cuts words.
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -64,11 +66,12 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [text.split() for text in texts]
+        chunks = [self.spaces.split(text) if self.controls(text) else text.split() for text in texts]
         if len(self.new) > self.cache_size:
             self.old, self.new = self.new, {}
         known = self.new
-        self._learn({c for cs in chunks for c in cs if c not in known})
+        self._learn({c for cs in chunks for c in cs if c not in known} - {""})
+        known.setdefault("", b"")
         return [b"".join(map(known.__getitem__, cs)) for cs in chunks]
 
 

@@ -233,6 +233,19 @@ def test_packing(messy, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_chunk_encoder_equals_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    whole, encoder = Tokenizer.from_file(path), packing.ChunkEncoder(path, cache_size=500)
+    r = random.Random(5)
+    letters = [chr(i) for i in [*range(33, 127), *range(0xA0, 0x100)]] + list("abcdef012 \n\t") + ["'", "'", " ", "日", "😀", "İ", "ǅ", "́", "<|", "\x1c", "\x1f", "\x85", "\x00", "　", "​"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(80))) for _ in range(2000)]
+    for at in range(0, len(texts), 50):
+        for text, ids in zip(texts[at : at + 50], encoder.encode(texts[at : at + 50])):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_mixing(messy, empty):
     levels = {"lang": F.col("lang"), "source": F.col("source")}
     got = mixing.mix(messy, levels, {"lang": {"en": 3.0, "fr": 1.0}}, total=400, max_epochs=2, seed=1)
