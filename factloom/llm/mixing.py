@@ -59,7 +59,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     (null or empty texts) go with the whole epochs and the part before the prefix's end. Rows of equal id
     follow in text order. All columns are kept, ones named like the three are replaced; an empty table gives no rows.
 
-    Only counts are shuffled, summed before: per leaf, then per leaf and 4096th of the order. The
+    Words are counted once, in a written copy of the rows. Only counts are shuffled, summed before: per leaf, then per leaf and 4096th of the order. The
     one 4096th of each leaf in which the prefix ends is ordered within itself; a hot leaf never
     meets in one task. The other rows never move while the
     leaves, which are counted, are at most 100,000; beyond that Spark joins them by shuffling.
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     n = tokens if tokens is not None else words(F.coalesce(F.col(text_col), F.lit("")))
     names = [f"__l{i}" for i in range(len(levels))]
     held = {k: w for k, w in zip(names, (weights.get(x, {}) for x in levels))}
-    rows = docs.drop(*OWN).withColumns({"__n": n} | {k: F.coalesce(c.cast("string"), F.lit(NULL)) for k, c in zip(names, levels.values())})
+    rows = materialize(docs.drop(*OWN).withColumns({"__n": n} | {k: F.coalesce(c.cast("string"), F.lit(NULL)) for k, c in zip(names, levels.values())}), "counted")
     wanted = F.lit(total).cast("long") if total is not None else F.floor(F.col("all_tokens") * F.lit(1.0 if share is None else share)).cast("long")
     leaves = rows.groupBy(*names).agg(F.sum("__n").alias("tokens"))
     plan = budgets(leaves, names, held, wanted, max_epochs)
