@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,16 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str, cache_size: int = 250_000):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.array([t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])])
+        self.simple = re.compile("[!-~\u00a1-\u00ff]+").fullmatch
         # str.split cuts at these four as well, which are no white space to the tokenizer
-        self.controls, self.spaces = regex.compile("[\x1c-\x1f]").search, regex.compile(r"[^\S\x1c-\x1f]+")
-        self.simple = regex.compile("[!-~\u00a1-\u00ff]+").fullmatch
-        #: Fixed value: the pattern by which the tokenizer's file cuts words.
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.spaces = re.compile(r"[^\S\x1c-\x1f]+")
+        #: The pattern by which the tokenizer's file cuts words, its letters and numbers spelled out for lower-cased Latin-1.
+        letter, number = (re.escape("".join(c for c in map(chr, range(256)) if test(c))) for test in (str.isalpha, str.isnumeric))
+        self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\s{letter}{number}]+").findall
         self.new, self.old, self.words, self.cache_size = {}, {}, {}, cache_size
 
     def _learn_words(self, words: list[str]) -> None:
@@ -56,17 +58,19 @@ class ChunkEncoder:
         for chunk in chunks:
             if chunk in self.old:
                 self.new[chunk] = self.old[chunk]
+            elif chunk.isascii() and chunk.isalpha():
+                parts[chunk] = (chunk.lower(),)
             elif self.simple(chunk) and "<|" not in chunk:
                 parts[chunk] = self.cut(chunk.lower())
             else:
                 self.new[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         self._learn_words([w for w in dict.fromkeys(w for ws in parts.values() for w in ws) if w not in self.words])
         for chunk, ws in parts.items():
-            self.new[chunk] = b"".join(map(self.words.__getitem__, ws))
+            self.new[chunk] = self.words[ws[0]] if len(ws) == 1 else b"".join(map(self.words.__getitem__, ws))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [self.spaces.split(text) if self.controls(text) else text.split() for text in texts]
+        chunks = [self.spaces.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split() for text in texts]
         if len(self.new) > self.cache_size:
             self.old, self.new = self.new, {}
         known = self.new
@@ -75,6 +79,12 @@ class ChunkEncoder:
         return [b"".join(map(known.__getitem__, cs)) for cs in chunks]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder per worker process: later tasks start from the words that earlier ones learned."""
+    return ChunkEncoder(path)
+
+
 def _tier(n: int) -> int:
     """The smallest power of two that holds n tokens."""
     return 1 << (n - 1).bit_length()
@@ -177,7 +187,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_length: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId(), max_length, buffer_tokens, step_tokens)
         end = np.array([end_id], "<u4").tobytes()
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
