@@ -142,8 +142,9 @@ def dedup_substrings(docs: DataFrame, length: int = 400, keep_first: bool = True
                 yield _batch([np.concatenate(c) for c in out], FOUND)
 
     found = rows.select("doc_id", "uid", "text").mapInArrow(find, FOUND)
-    again = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    marked = materialize(found.join(again, "key").groupBy("doc_id", "uid").agg(F.collect_list(F.struct("place", "first", "last")).alias("anchors")), "anchors")
+    # written, so that both sides of the join are dealt by plain shuffles, of which a hot key's can be split
+    again = materialize(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    marked = materialize(found.join(again, "key", "left_semi").groupBy("doc_id", "uid").agg(F.collect_list(F.struct("place", "first", "last")).alias("anchors")), "anchors")
     ids = marked.select("doc_id", "uid")
     texts = copies.join(broadcast_if_small(ids), ["doc_id", "uid"], "left_semi")
 
