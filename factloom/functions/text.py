@@ -23,6 +23,11 @@ def normalize_text(c: Column) -> Column:
     return squeeze(F.regexp_replace(out, r"[_\-:;,.()\[\]{}©]+", " "))
 
 
+def normalized_label(label: str) -> str:
+    """A label as normalize_text leaves it."""
+    return " ".join(label.replace("-", " ").lower().split())
+
+
 def normalize_value(fact_type: Column, c: Column) -> Column:
     """Identifiers in upper case without spaces, others squeezed."""
     codes = ("iban", "bic", "passport_number", "document_number", "mrz_line")

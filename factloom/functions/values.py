@@ -85,3 +85,58 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     inner, outer = bytes(b ^ 0x36 for b in k), bytes(b ^ 0x5C for b in k)
     first = F.sha2(F.concat(F.lit(inner), F.encode(message, "UTF-8")), 256)
     return F.sha2(F.concat(F.lit(outer), F.unhex(first)), 256)
+
+
+#: The least and largest plausible amount of a fact type.
+AMOUNT_BOUNDS = {
+    "opening_balance": (-10_000_000.0, 10_000_000.0),
+    "closing_balance": (-10_000_000.0, 10_000_000.0),
+    "total_credits": (0.0, 10_000_000.0),
+    "total_debits": (0.0, 10_000_000.0),
+    "subtotal": (0.0, 10_000_000.0),
+    "vat_amount": (0.0, 2_000_000.0),
+    "total_amount": (0.0, 10_000_000.0),
+    "gross_salary": (100.0, 50_000.0),
+    "annual_gross_salary": (1_200.0, 600_000.0),
+    "net_salary": (100.0, 40_000.0),
+    "annual_net_salary": (1_200.0, 480_000.0),
+    "bonus": (1.0, 100_000.0),
+    "income_tax": (0.0, 20_000.0),
+    "solidarity_surcharge": (0.0, 1_000.0),
+    "church_tax": (0.0, 2_000.0),
+    "health_insurance": (0.0, 2_000.0),
+    "pension_contribution": (0.0, 2_000.0),
+    "unemployment_insurance": (0.0, 500.0),
+    "care_insurance": (0.0, 500.0),
+}
+
+
+def amount_check(fact_type: Column, amount: Column) -> Column:
+    """struct(ok, confidence): whether the amount lies in its type's bounds; types without bounds pass."""
+    low, high = (F.create_map(*[F.lit(x) for k, b in AMOUNT_BOUNDS.items() for x in (k, b[i])])[fact_type] for i in (0, 1))
+    ok = low.isNull() | F.coalesce(amount.try_cast("double").between(low, high), F.lit(False))
+    return F.struct(ok.alias("ok"), F.when(ok, 0.90).otherwise(0.55).alias("confidence"))
+
+
+def balance_sign(c: Column) -> Column:
+    """debit or credit, by a sign at either end or a lone S or H."""
+    t = F.trim(c)
+    return F.when(t.startswith("-") | t.endswith("-") | t.rlike(r"\bS\b"), "debit").when(t.startswith("+") | t.endswith("+") | t.rlike(r"\bH\b"), "credit")
+
+
+def social_security_valid(c: Column) -> Column:
+    return F.coalesce(F.upper(F.regexp_replace(c, r"\s+", "")).rlike(r"^(?:\d{2}[0-3]\d[01]\d[A-Z]\d{3}|[A-Z]\d{8}[A-Z]\d{2})$"), F.lit(False))
+
+
+def human_name(c: Column) -> Column:
+    """At least two capitalised words."""
+    word = "[A-ZÄÖÜ][a-zäöüß]+"
+    return F.coalesce(F.trim(c).rlike(rf"^{word}(?:[\s-]{word})+$"), F.lit(False))
+
+
+def recover_json(c: Column) -> Column:
+    """A JSON object out of a model's answer: without code fences, as a whole or from the first to the last brace; else {}."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(c), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+    is_object = lambda x: F.try_parse_json(x).isNotNull() & F.ltrim(x).startswith("{")
+    inner = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
+    return F.when(is_object(plain), plain).when(F.try_parse_json(plain).isNull() & is_object(inner), inner).otherwise("{}")

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import dates as D
 from factloom.functions import text as T
 from factloom.functions import values as V
-from factloom.operators import extract, knowledge as K
+from factloom.operators import extract, geometry as G, knowledge as K, lifecycle as L
 from factloom.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +34,8 @@ def query(sql: str | None = None, *views: str):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = (f"WITH {', '.join(f'{v} AS ({VIEWS[v]})' for v in views)} " if views else "") + sql
+            with_views = ", ".join(f"{v} AS ({VIEWS[v]})" for v in views)
+            ORACLES[f.__name__] = sql if not views else f"WITH {with_views}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {with_views} {sql}"
         return f
 
     return add
@@ -316,3 +318,137 @@ def signed_audit_entries(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS hour, count(*) AS n, sum(value) > 0 AS any_value FROM events GROUP BY ALL")
 def hourly_events(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), (F.sum("value") > 0).alias("any_value"))
+
+
+@query("SELECT o_orderkey AS fact_id, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m-01') AS month, CAST(o_orderdate AS DATE) < DATE '1996-06-01' AS past, CAST(o_orderdate AS DATE) > DATE '1996-06-01' AS ahead FROM orders")
+def fact_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates in four spellings, read back; months of pay; birth and expiry checks."""
+    o = S.read(spark, d, "orders")
+    shape = lambda f: F.date_format("o_orderdate", f)
+    k = F.col("o_orderkey") % 4
+    day = D.knowledge_date(F.when(k == 0, shape("d.M.yyyy")).when(k == 1, shape("yyyy/MM/dd")).when(k == 2, shape("yyyyMMdd")).otherwise(shape("ddMMyy")))
+    as_of = F.lit("1996-06-01").cast("date")
+    return o.select(F.col("o_orderkey").alias("fact_id"), day.cast("string").alias("day"), D.pay_month(shape("M.yyyy"))["day"].alias("month"), D.birth_date_ok(day, as_of).alias("past"), D.expiry_date_ok(day, as_of).alias("ahead"))
+
+
+@query("SELECT fact_id, value BETWEEN 100 AND 40000 AS ok, CASE WHEN value BETWEEN 100 AND 40000 THEN 0.90 ELSE 0.55 END::DOUBLE AS confidence FROM facts", "facts")
+def amount_checks(spark: SparkSession, d: str) -> DataFrame:
+    return S.facts(spark, d).select("fact_id", V.amount_check(F.lit("net_salary"), F.col("value").cast("string")).alias("c")).select("fact_id", "c.ok", "c.confidence")
+
+
+@query("SELECT event_id, props AS answer FROM events")
+def recovered_json(spark: SparkSession, d: str) -> DataFrame:
+    return S.read(spark, d, "events").select("event_id", V.recover_json(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).alias("answer"))
+
+
+BOXES_SQL = "b AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_suppkey % 20 AS DOUBLE) AS x, CAST(l_partkey % 20 AS DOUBLE) AS y, l_quantity AS w, l_quantity AS h FROM lineitem)"
+
+
+@query(f"WITH {BOXES_SQL}, p AS (SELECT a.k, a.n, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS s, a.x <= b.x AND a.y <= b.y AND a.x + a.w >= b.x + b.w AND a.y + a.h >= b.y + b.h AS c FROM b a JOIN b ON a.k = b.k AND a.n + 1 = b.n) SELECT k AS doc_id, n AS line_no, i / (s - i) AS iou, c AS contains FROM p")
+def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.struct((F.col("l_suppkey") % 20).cast("double").alias("x"), (F.col("l_partkey") % 20).cast("double").alias("y"), F.col("l_quantity").alias("width"), F.col("l_quantity").alias("height")).alias("box"))
+    after = rows.select("l_orderkey", (F.col("l_linenumber") - 1).cast("int").alias("l_linenumber"), F.col("box").alias("next"))
+    a, b = F.col("box"), F.col("next")
+    return rows.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line_no"), G.iou(a, b).alias("iou"), G.contains(a, b).alias("contains"))
+
+
+@query(f"WITH {BOXES_SQL} SELECT k AS doc_id, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS width, max(y + h) - min(y) AS height FROM b GROUP BY k")
+def box_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    box = F.struct((F.col("l_suppkey") % 20).cast("double").alias("x"), (F.col("l_partkey") % 20).cast("double").alias("y"), F.col("l_quantity").alias("width"), F.col("l_quantity").alias("height"))
+    return G.envelope(S.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), box.alias("box")), ["doc_id"]).select("doc_id", "box.*")
+
+
+@query()
+def page_confidences(spark: SparkSession, d: str) -> DataFrame:
+    return G.page_confidence(S.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_discount").alias("conf")))
+
+
+@query("SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM (SELECT conv_id AS doc_id, turn // 2 AS page, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY ALL) GROUP BY doc_id")
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    c = S.read(spark, d, "conversations")
+    return G.page_text(c.select(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 2).alias("page"), F.col("turn").alias("block"), "text"))
+
+
+@query("WITH c AS (SELECT conv_id, turn, split_part(text, ' ', 1) AS value FROM conversations WHERE turn = 0) SELECT c.conv_id AS doc_id, value, count(DISTINCT t.turn) AS n_spans FROM c JOIN conversations t ON c.conv_id = t.conv_id AND contains(upper(t.text), upper(value)) AND trim(value) <> '' GROUP BY ALL")
+def spans_of_values(spark: SparkSession, d: str) -> DataFrame:
+    c = S.read(spark, d, "conversations")
+    first = c.where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.split_part("text", F.lit(" "), F.lit(1)).alias("value")).distinct().withColumn("candidate_id", F.xxhash64("doc_id", "value"))
+    found = G.spans_with_value(first, c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("string").alias("span_id"), "text"))
+    return found.where(F.size("span_ids") > 0).select("doc_id", "value", F.size("span_ids").cast("long").alias("n_spans"))
+
+
+@query()
+def case_states(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's case after all of the user's events, folded in order of time."""
+    action = F.element_at(F.array(*[F.lit(a) for a in ("assign", "start", "escalate", "complete", "cancel")]), (F.col("event_id") % 5 + 1).cast("int"))
+    return L.fold_cases(S.read(spark, d, "events").select(F.col("user_id").alias("case_id"), F.col("ts").alias("at"), action.alias("action")))
+
+
+@query("SELECT was, wanted, (was || '>' || wanted) IN (" + ", ".join(f"'{a}>{b}'" for a, b in L.DOCUMENT_STEPS) + ") AS legal, count(*) AS n FROM (SELECT ['PENDING','PROCESSING','PROCESSED','FAILED'][CAST(event_id % 4 AS INT) + 1] AS was, ['PENDING','PROCESSING','PROCESSED','FAILED'][CAST(user_id % 4 AS INT) + 1] AS wanted FROM events) GROUP BY ALL")
+def document_transitions(spark: SparkSession, d: str) -> DataFrame:
+    state = lambda c: F.element_at(F.array(*[F.lit(x) for x in ("PENDING", "PROCESSING", "PROCESSED", "FAILED")]), (F.col(c) % 4 + 1).cast("int"))
+    asked = S.read(spark, d, "events").select(state("event_id").alias("was"), state("user_id").alias("wanted"))
+    return K.transitions(asked, L.DOCUMENT_STEPS, "was", "wanted").groupBy("was", "wanted", "legal").agg(F.count("*").alias("n"))
+
+
+@query("WITH m AS (SELECT DISTINCT source_id, part_id AS entity_id FROM evidence WHERE source_id NOT IN (SELECT source_id FROM sources WHERE source_id % 2 = 0)), l AS (SELECT o_custkey AS entity_id, o_orderkey AS document_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) SELECT source_id, entity_id, document_id FROM m LEFT JOIN l USING (entity_id)", "evidence", "sources")
+def source_backfill(spark: SparkSession, d: str) -> DataFrame:
+    orders = S.read(spark, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("document_id"), F.col("o_orderdate").alias("created_at"))
+    evidence = S.evidence(spark, d).select("source_id", F.col("part_id").alias("entity_id"))
+    return L.with_sources(evidence, S.sources(spark, d).where("source_id % 2 = 0"), orders).select("source_id", "entity_id", "document_id")
+
+
+@query("SELECT DISTINCT entity_id, case_id % 7 AS document_id, fact_type AS stage FROM cases c WHERE NOT EXISTS (SELECT 1 FROM cases n WHERE n.confidence < 0.05 AND n.entity_id = c.entity_id AND n.case_id % 7 = c.case_id % 7 AND n.fact_type = c.fact_type)", "cases")
+def deferred_noise(spark: SparkSession, d: str) -> DataFrame:
+    c = S.cases(spark, d).select("entity_id", (F.col("case_id") % 7).alias("document_id"), F.lit(None).cast("string").alias("source_id"), F.col("fact_type").alias("stage"), "confidence")
+    return L.deferred_noise(c, c.where("confidence < 0.05").withColumn("status", F.lit("open"))).select("entity_id", "document_id", "stage")
+
+
+@query("SELECT case_id, coalesce(t, 0) + row_number() OVER (PARTITION BY c.entity_id ORDER BY created_at, case_id) AS sequence_number FROM cases c LEFT JOIN (SELECT entity_id, max(fact_id) AS t FROM facts GROUP BY entity_id) f ON c.entity_id = f.entity_id", "cases", "facts")
+def next_sequences(spark: SparkSession, d: str) -> DataFrame:
+    stored = S.facts(spark, d).select("entity_id", F.col("fact_id").alias("sequence_number"))
+    return L.next_sequence(S.cases(spark, d), stored, ["entity_id"], [F.col("created_at"), F.col("case_id")]).select("case_id", "sequence_number")
+
+
+@query("SELECT entity_id, field_name, fact_id FROM facts WHERE status = 'accepted' QUALIFY row_number() OVER (PARTITION BY entity_id, field_name ORDER BY created_at DESC, fact_id DESC) = 1", "facts")
+def profile_latest_fact(spark: SparkSession, d: str) -> DataFrame:
+    return L.latest_accepted(S.facts(spark, d)).select("entity_id", "field_name", "fact_id")
+
+
+@query("SELECT fact_id, NOT EXISTS (SELECT 1 FROM facts a WHERE a.status = 'accepted' AND a.entity_id = f.entity_id AND a.field_name = f.field_name AND CAST(floor(a.value / 20000) AS BIGINT) = CAST(floor(f.value / 20000) AS BIGINT)) AS passed FROM facts f WHERE status = 'pending'", "facts")
+def duplicate_rule(spark: SparkSession, d: str) -> DataFrame:
+    f = S.facts(spark, d).withColumn("value", F.floor(F.col("value") / 20000))
+    return L.duplicate_rule(f.where("status = 'pending'"), f).select("fact_id", "passed")
+
+
+@query("WITH o AS (SELECT entity_id, count(*) AS n, any_value(value) AS v FROM facts WHERE status = 'accepted' AND field_name = '5-LOW' GROUP BY entity_id) SELECT fact_id, coalesce(n > 1, false) AND field_name = '1-URGENT' AS error, CASE WHEN field_name <> '1-URGENT' OR n IS NULL THEN true WHEN n > 1 THEN false ELSE value < v END AS passed FROM facts f LEFT JOIN o ON f.entity_id = o.entity_id WHERE status = 'pending'", "facts")
+def consistency_rule(spark: SparkSession, d: str) -> DataFrame:
+    f = S.facts(spark, d)
+    return L.consistency_rule(f.where("status = 'pending'"), f, "1-URGENT", "5-LOW", "<", "number").select("fact_id", "error", "passed")
+
+
+@query("SELECT fact_id, string_agg(DISTINCT CAST(source_id AS VARCHAR), ',' ORDER BY CAST(source_id AS VARCHAR)) AS evidence_ids, CAST(count(DISTINCT source_id) AS INT) AS n_evidence FROM evidence GROUP BY fact_id", "evidence")
+def evidence_of_facts(spark: SparkSession, d: str) -> DataFrame:
+    links = S.evidence(spark, d).select("fact_id", F.col("source_id").cast("string").alias("evidence_id"))
+    return L.evidence_of_facts(links).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
+
+
+@query("SELECT DISTINCT o_custkey * 3 AS id FROM orders WHERE o_custkey * 3 NOT IN (SELECT entity_id FROM entities)", "entities")
+def manifest_gaps(spark: SparkSession, d: str) -> DataFrame:
+    entries = S.read(spark, d, "orders").select((F.col("o_custkey") * 3).alias("id")).distinct()
+    return L.manifest_gaps(entries, S.entities(spark, d).select(F.col("entity_id").alias("id")))
+
+
+@query("SELECT doc_id, fact_type, trim(regexp_replace(value, '\\s+', ' ', 'g')) AS value, CAST(confidence AS DOUBLE) AS confidence FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{p.fact_type}' AS fact_type, regexp_extract(replace(text, chr(10), ' '), '{p.regex}') AS value, {p.confidence} AS confidence FROM documents" for p in extract.FALLBACK) + ") WHERE value <> ''")
+def fallback_facts(spark: SparkSession, d: str) -> DataFrame:
+    return extract.fallback_matches(S.documents(spark, d)).drop("ord")
+
+
+@query()
+def contextual_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return extract.contextual_matches(S.documents(spark, d))
+
+
+@query()
+def self_declared_facts(spark: SparkSession, d: str) -> DataFrame:
+    return extract.self_declared(S.read(spark, d, "conversations").where("role = 'user'")).select("conv_id", "turn", "fact_type", "value", "confidence")
