@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import materialize
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast only if df, counted, has at most that many (narrow) rows; else Spark shuffles."""
-    return F.broadcast(df) if df.count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000, size: Column | None = None) -> DataFrame:
+    """Hint a broadcast only if df, counted, has at most that many (narrow) rows; else Spark shuffles.
+
+    Rows that hold lists are counted by ``size``, their number of entries.
+    """
+    n = df.count() if size is None else df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= rows else df
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -256,5 +256,5 @@ def dedup_substrings(docs: DataFrame, length: int = 400, keep_first: bool = True
                     kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, spans_type)], names=names)
 
-    done = copies.join(broadcast_if_small(gone, 200_000), ["doc_id", "uid"], "left").select("doc_id", "text", "hits").mapInArrow(remove, KEPT)
+    done = copies.join(broadcast_if_small(gone, 500_000, F.size("hits") + 1), ["doc_id", "uid"], "left").select("doc_id", "text", "hits").mapInArrow(remove, KEPT)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
