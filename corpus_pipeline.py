@@ -21,9 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of chunks of lines; a document of which nothing is left goes."""
-    found = line_dedup.dedup_lines(docs).where((F.size("chunks_cut") == 0) | (F.trim("text") != ""))
-    return found.select(*[F.when(F.size("chunks_cut") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Texts without later copies of passages of lines; a document of which nothing is left goes."""
+    found = line_dedup.dedup_passages(docs).where((F.size("lines_cut") == 0) | (F.trim("text") != ""))
+    return found.select(*[F.when(F.size("lines_cut") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines (operator 5); DataFrame functions only."""
+"""Line dedup by content-defined chunks of lines (operator 5), and of whole passages; DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 MODULUS, BASE = 2_147_483_647, 31
 
+# one-element arrays carry a value into the next lambda, computed once
+once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
 
 def line_chunks(text: Column, window: int = 2, divisor: int = 2) -> Column:
     """The text's chunks in order: an array of struct(text, n_lines).
@@ -29,8 +32,6 @@ def line_chunks(text: Column, window: int = 2, divisor: int = 2) -> Column:
 
         return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (rolling(i - 1) % divisor == 0))
 
-    # one-element arrays carry the lines, their hashes and the ends into the next lambda, each computed once
-    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
     cut = lambda ls, es: F.transform(es, lambda e, i: once(F.coalesce(F.get(es, i - 1), F.lit(0)), lambda a: F.struct(F.array_join(F.slice(ls, a + 1, e - a), "\n").alias("text"), (e - a).alias("n_lines"))))
     return once(lines, lambda ls: once(hashes(ls), lambda hs: once(ends(hs, F.size(ls)), lambda es: cut(ls, es))))
 
@@ -63,3 +64,30 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: i
     out = out.withColumn("__text", F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(left))
     none = F.array().cast("array<struct<text:string,n_lines:int>>")
     return out.select(*[F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c != "chunks_cut"], F.coalesce(gone, none).alias("chunks_cut"))
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without later copies of passages of two or more lines, and array column ``lines_cut``.
+
+    A line goes if it lies in a run of at least two lines that stands at an earlier place too: of
+    a smaller document id, or earlier in the text; the two places may overlap, so of a line
+    repeated many times in a row one is left. Such a run is repeated just where each two
+    neighbouring lines of it are, so runs are found in full length, without boundaries: by SHA-256
+    of two neighbouring lines, the first place of each staying. ``lines_cut`` has the numbers of
+    the lines that went, from 0. Rows of the same id and text are treated alike; those of null id
+    or text stay as they are. All columns are kept (one named lines_cut is replaced). A pair that
+    very many documents share costs a row a task in the counts; its places are joined to one row.
+    """
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("k is not null and t is not null")
+    pairs = once(F.split("t", "\n", -1), lambda ls: F.transform(F.slice(ls, 1, F.size(ls) - 1), lambda x, i: F.unhex(F.sha2(F.concat(x, F.lit("\n"), F.get(ls, i + 1)), 256))))
+    places = rows.select("k", F.xxhash64("t").alias("u"), F.posexplode(pairs).alias("i", "pair"))
+
+    first = places.groupBy("pair").agg(F.min(F.struct("k", "u", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").select("pair", "first")
+    later = places.join(first, "pair").where(F.struct("k", "u", "i") != F.col("first"))
+    cut = later.groupBy("k", "u").agg(F.collect_set("i").alias("at"))  # within one document
+    cut = cut.select(F.col("k").alias("__k"), F.col("u").alias("__u"), F.array_sort(F.array_union("at", F.transform("at", lambda i: i + 1))).alias("__cut"))
+
+    out = docs.withColumn("__k", F.col(id_col)).withColumn("__u", F.xxhash64(text_col)).join(cut, ["__k", "__u"], "left")
+    left = once(F.split(F.col(text_col), "\n", -1), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__cut")), lambda j: F.get(ls, j)), "\n"))
+    out = out.withColumn("__text", F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(left))
+    return out.select(*[F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c != "lines_cut"], F.coalesce("__cut", F.array().cast("array<int>")).alias("lines_cut"))
