@@ -38,12 +38,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     return LanguageModel(tuple((lang, b"\n".join(dict.fromkeys(p for _, p in sorted(found[lang])))[:dictionary_bytes]) for lang in sorted(counts, key=lambda k: (-counts[k], k)) if found[lang]))
 
 
-def classify(text: Column, model: LanguageModel, level: int = 6, short_level: int = 19, short_bytes: int = 400, narrow: float = 0.002, judged_bytes: int = 200) -> Column:
+def classify(text: Column, model: LanguageModel, level: int = 6, short_level: int = 19, short_bytes: int = 400, narrow: float = 0.002, judged_bytes: int = 200, block_bytes: int = 65_536) -> Column:
     """A struct of lang, score, margin and rejected for each whole text.
 
     The language whose dictionary leaves the fewest compressed bytes wins; ties go to the language
     seen more often in training. ``score`` is the winner's share when each byte of difference
     halves a language's weight; ``margin`` is the difference to the second relative to its bytes.
+    Texts are coded in blocks of ``block_bytes``, each against the dictionaries alone, and sizes are
+    sums over the blocks: a long text would else become its own dictionary and its margin fall with length.
     Rejected: a null text, a text without letters (both ``und`` with score 0) and one of at least
     ``judged_bytes`` bytes whose margin is below ``narrow``. Shorter texts give too few bytes to
     judge a margin by. A model of no languages rejects all as ``und``.
@@ -72,7 +74,8 @@ def classify(text: Column, model: LanguageModel, level: int = 6, short_level: in
                 best, score, margin, rejected = "und", 0.0, 0.0, True
             else:
                 raw = text.lower().encode()
-                sizes = [(len(c.compress(raw)), lang) for lang, c in by_size[len(raw) < short_bytes]]
+                blocks = [raw[i : i + block_bytes] for i in range(0, len(raw), block_bytes)]
+                sizes = [(sum(len(c.compress(b)) for b in blocks), lang) for lang, c in by_size[len(raw) < short_bytes]]
                 least, best = min(sizes, key=lambda x: x[0])
                 score = 1 / sum(2.0 ** (least - size) for size, _ in sizes)
                 second = sorted(s for s, _ in sizes)[1] if len(sizes) > 1 else least * 2
