@@ -26,7 +26,7 @@ class ChunkEncoder:
     old generation, from which chunks still in use are taken over.
     """
 
-    def __init__(self, path: str, cache_size: int = 250_000):
+    def __init__(self, path: str, cache_size: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,8 +44,10 @@ class ChunkEncoder:
             part = words[at : at + 200]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stops) != len(part):
-                raise ValueError("the tokenizer cuts words in another way than its file says")
+            if len(stops) != len(part):  # a word that the tokenizer cuts in another way: each by itself
+                for word in part:
+                    self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
             raw, start = ids.tobytes(), 0
             for word, stop in zip(part, stops.tolist()):
                 self.words[word] = raw[start:stop]
