@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODULI = ((2_147_483_647, 1_000_003), (2_147_483_629, 69_069))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64) for _ in MODULI]
-BUCKET_BITS = 7
 
 
 def powers(k: int, n: int) -> np.ndarray:
@@ -76,65 +75,103 @@ class PrefixHash:
         return f"{self.n:x}-" + "".join(f"{int(p[-1]):08x}" for p in self.prefix)
 
 
-def bucket_heads(ids: DataFrame) -> DataFrame:
-    """For every bucket of ids: the id that follows the bucket's last one in descending order.
+def range_bounds(keys: DataFrame, rows_each: int, most: int) -> list[tuple[int, int]]:
+    """(sid, h) keys at which ranges start, in descending sid and ascending h; the first is the first of all.
 
-    ids has the column sid. Buckets are spans of 128 ids; the following id is found with windows
-    over groups of buckets and then over at most 4096 group heads, never over all ids.
+    A draw by a hash of the distinct keys, of about one key for ``rows_each`` rows and ``most`` at
+    most in the mean: the driver never gathers more. No keys give no bounds.
     """
-    lo, hi = ids.agg(F.min("sid"), F.max("sid")).first()
-    if lo is None:
-        return ids.sparkSession.createDataFrame([], "head long, bucket long")
-    up = max(0, ((hi >> BUCKET_BITS) - (lo >> BUCKET_BITS)).bit_length() - 12)
-    buckets = ids.groupBy(F.shiftright("sid", BUCKET_BITS).alias("bucket")).agg(F.max("sid").alias("top")).withColumn("group", F.shiftright("bucket", up))
-    groups = buckets.groupBy("group").agg(F.max("top").alias("group_top"))
-    groups = groups.withColumn("after", F.lead("group_top").over(Window.orderBy(F.desc("group")))).select("group", "after")
-    inner = F.lead("top").over(Window.partitionBy("group").orderBy(F.desc("bucket")))
-    return buckets.withColumn("next", inner).join(groups, "group").select(F.coalesce("next", "after", F.lit(hi)).alias("head"), "bucket")
+    n, first = keys.agg(F.count("*"), F.min(F.struct(F.bitwise_not("sid").alias("sid"), "h"))).first()
+    if not n:
+        return []
+    span = 1 << 40
+    below = int(span * min(1 / rows_each, most / n))
+    drawn = keys.where(F.pmod(F.xxhash64("sid", "h"), F.lit(span)) < below).distinct().collect()
+    return sorted({(r["sid"], r["h"]) for r in drawn} | {(~first["sid"], first["h"])}, key=lambda k: (-k[0], k[1]))
 
 
 FINGERPRINTS = "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+DEALT = "doc_id long, text string, times long, sid long, h long, bucket int, extra int"
 
 
-def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: int = 3) -> DataFrame:
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[f for f, _ in fields])
+
+
+def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: int = 3, rows_each: int = 256, most_ranges: int = 65_536) -> DataFrame:
     """Fingerprints of each whole text, of its edited text, and how alike they and the next text are.
 
     The next document is the one that follows in descending id order (after the last: the first;
-    rows with the same id follow in order of their texts; null ids come last). The edited text has
+    rows with the same id follow in order of their texts' xxHash; null ids come last). The edited text has
     its last floor(n/cut) code points replaced by as many of the next document's first (or all).
     Null text is empty; two empty texts have likeness 1. Every row gives one row; other columns
-    are not read; an empty table gives no rows. Rows are dealt by buckets of 128 ids, so no
-    source or text decides where a row goes, and each text is shuffled once.
+    are not read; an empty table gives no rows.
+
+    Rows are dealt by ranges of that order, which start at keys drawn from the rows (one for
+    ``rows_each`` rows, ``most_ranges`` at most in the mean), so that neither null nor far ids make a range large.
+    A row at which a range starts knows so by its own key and goes to the range before as well: each text is
+    shuffled once, and the first of each range twice. Equal rows are counted before they are
+    shuffled.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("sid", F.coalesce("doc_id", F.lit(-(1 << 62))))
-    heads = bucket_heads(rows.select("sid"))
-    here = rows.withColumns({"bucket": F.shiftright("sid", BUCKET_BITS), "is_head": F.lit(0)})
-    extra = rows.join(heads.withColumnRenamed("head", "sid"), "sid").select("doc_id", "text", "sid", "bucket", F.lit(1).alias("is_head"))
-    dealt = here.select("doc_id", "text", "sid", "bucket", "is_head").unionByName(extra).repartition("bucket").sortWithinPartitions("bucket", "is_head", F.desc("sid"), "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # null ids follow the least one; each id keeps its own place in the order
+    least = rows.agg(F.min("doc_id").alias("m")).first()["m"]
+    h, sid = F.xxhash64("text"), F.coalesce("doc_id", F.lit(max((least if least is not None else 0) - 1, -(1 << 63))))
+    rows = rows.select("doc_id", "text", sid.alias("sid"), h.alias("h"))
+    bounds = range_bounds(rows.select("sid", "h"), rows_each, most_ranges)
+    starts = np.array([(~s, k) for s, k in bounds], [("sid", "<i8"), ("h", "<i8")])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.empty(batch.num_rows, starts.dtype)
+            keys["sid"], keys["h"] = ~batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            one, at, times = np.unique(keys, return_index=True, return_counts=True)
+            # a structured search would be slow: ranks among the bounds and these keys
+            order = np.lexsort((np.r_[np.zeros(len(starts), np.int8), np.ones(len(one), np.int8)], np.r_[starts["h"], one["h"]], np.r_[starts["sid"], one["sid"]]))
+            seen = np.cumsum(order < len(starts))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = seen
+            bucket = rank[len(starts) :] - 1
+            head = starts[bucket] == one
+            all_at, all_times = np.r_[at, at[head]], np.r_[times, times[head]]
+            bucket = np.r_[bucket, (bucket[head] - 1) % len(starts)].astype(np.int32)
+            extra = np.r_[np.zeros(len(at), np.int32), np.ones(int(head.sum()), np.int32)]
+            for i in range(0, len(all_at), 2000):
+                part = pa.array(all_at[i : i + 2000])
+                yield _batch([batch.column(0).take(part), batch.column(1).take(part), all_times[i : i + 2000], batch.column(2).take(part), batch.column(3).take(part), bucket[i : i + 2000], extra[i : i + 2000]], DEALT)
+
+    dealt = rows.mapInArrow(deal, DEALT).repartition("bucket").sortWithinPartitions("bucket", "extra", F.desc("sid"), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # (doc_id, text, hashes, bucket, is_head) of the row that waits for its next one
-        names = [c.split()[0] for c in FINGERPRINTS.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        held = None  # (doc_id, text, times, bucket, extra, hashes) of the row that waits for its next one
         for batch in batches:
-            rows, size = [], 0
-            ids, texts, buckets, flags = (batch.column(i) for i in (0, 1, 3, 4))
-            for i in range(batch.num_rows):
-                text, bucket, is_head = texts[i].as_py(), buckets[i].as_py(), flags[i].as_py()
-                if held and held[4] and is_head and held[3] == bucket:
-                    continue  # a repeated head
+            out, size = [], 0
+            for at in range(batch.num_rows):
+                doc_id, text, times, bucket, extra = (batch.column(k)[at].as_py() for k in (0, 1, 2, 5, 6))
+                if held and held[4] and extra and held[3] == bucket:
+                    continue  # a range's start, from several tasks
                 hashes = PrefixHash(text)
                 if held and not held[4]:
-                    doc_id, old, mine = held[:3]
-                    n = len(old) // cut
-                    edited = old[: len(old) - n] + text[:n]
-                    its = PrefixHash(edited)
-                    rows.append((doc_id, len(old), edited, mine.fingerprint(), its.fingerprint(), mine.likeness(its), mine.likeness(hashes)))
-                    size += len(edited)
-                held = (ids[i].as_py(), text, hashes, bucket, is_head)
-                if size > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
-                    rows, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+                    for row, n in ((_compared(held, held[1], held[5], cut), held[2] - 1), (_compared(held, text, hashes, cut), 1)) if held[2] > 1 else ((_compared(held, text, hashes, cut), 1),):
+                        for _ in range(n):
+                            out.append(row)
+                            size += len(row[2])
+                            if size > 1 << 22:
+                                yield _batch(list(zip(*out)), FINGERPRINTS)
+                                out, size = [], 0
+                held = (doc_id, text, times, bucket, extra, hashes)
+            if out:
+                yield _batch(list(zip(*out)), FINGERPRINTS)
 
     return dealt.mapInArrow(run, FINGERPRINTS)
+
+
+def _compared(row: tuple, after: str, after_hashes: PrefixHash, cut: int) -> tuple:
+    """The result for a row (doc_id, text, .., hashes) that ``after`` follows."""
+    doc_id, text, hashes = row[0], row[1], row[5]
+    n = len(text) // cut
+    edited = text[: len(text) - n] + after[:n]
+    its = PrefixHash(edited)
+    return doc_id, len(text), edited, hashes.fingerprint(), its.fingerprint(), hashes.likeness(its), hashes.likeness(after_hashes)
