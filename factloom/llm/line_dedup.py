@@ -1,10 +1,13 @@
-"""Line dedup by content-defined chunks of lines (operator 5), and of whole passages; DataFrame functions only."""
+"""Line dedup by content-defined chunks of lines, grown to whole runs (operator 5); DataFrame functions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import materialize
+from factloom.llm.graph import broadcast_if_small
+
 MODULUS, BASE = 2_147_483_647, 31
 
 # one-element arrays carry a value into the next lambda, computed once
@@ -36,58 +39,72 @@ def line_chunks(text: Column, window: int = 2, divisor: int = 2) -> Column:
     return once(lines, lambda ls: once(hashes(ls), lambda hs: once(ends(hs, F.size(ls)), lambda es: cut(ls, es))))
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with later copies of repeated chunks cut out of the text, and array column ``chunks_cut``.
-
-    A chunk of at least ``min_lines`` lines that stands anywhere else too, byte for byte, stays
-    only at its first place: the smallest document id, then the earliest chunk. ``chunks_cut``
-    lists the chunks (text, n_lines) that went. Rows of the same id are taken as the same document
-    and treated alike; those of null id, text or without such chunks stay as they are (an empty
-    array, null text stays null). All columns are kept (one named chunks_cut is replaced). Hash
-    counts choose the candidates, then their bytes are compared; both are summed before they are shuffled, so a
-    passage that very many documents share costs a row a task.
-    """
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("k is not null and t is not null")
-    found = rows.select("k", F.posexplode(line_chunks(F.col("t"), window, divisor)).alias("i", "c")).where(F.col("c.n_lines") >= min_lines)
-    places = found.select("k", "i", F.col("c.text").alias("chunk"), F.xxhash64("c.text").alias("h"))
+def _interior(ranges: Column) -> Column:
+    """Numbers of the pairs of neighbouring lines that lie in ranges of struct(a, n)."""
+    return F.flatten(F.transform(ranges, lambda g: F.sequence(g["a"], g["a"] + g["n"] - 2)))
 
-    several = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    candidates = places.join(several, "h")
-    first = candidates.groupBy("h", "chunk").agg(F.min(F.struct("k", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "chunk", "first")
-    later = candidates.join(first, ["h", "chunk"]).where(F.struct("k", "i") != F.col("first"))
-    cut = later.groupBy("k").agg(F.collect_set("i").alias("cut"))  # within one document
 
-    out = docs.withColumn("__k", F.col(id_col)).join(cut.select(F.col("k").alias("__k"), F.col("cut").alias("__cut")), "__k", "left")
-    out = out.withColumn("__chunks", F.when(F.col("__cut").isNotNull(), F.transform(line_chunks(F.col(text_col), window, divisor), lambda c, i: F.struct(c["text"].alias("text"), c["n_lines"].alias("n_lines"), F.array_contains("__cut", i).alias("cut")))))
-    left = F.array_join(F.transform(F.filter("__chunks", lambda c: ~c["cut"]), lambda c: c["text"]), "\n")
-    gone = F.transform(F.filter("__chunks", lambda c: c["cut"]), lambda c: F.struct(c["text"].alias("text"), c["n_lines"].alias("n_lines")))
-    out = out.withColumn("__text", F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(left))
-    none = F.array().cast("array<struct<text:string,n_lines:int>>")
-    return out.select(*[F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c != "chunks_cut"], F.coalesce(gone, none).alias("chunks_cut"))
+def _pairs(text: Column, without: Column) -> Column:
+    """struct(i, pair) for each two neighbouring lines i and i + 1: SHA-256 of both; pairs numbered in ``without`` are left out."""
 
+    def of(ls: Column) -> Column:
+        at = F.when(F.size(ls) > 1, F.array_except(F.sequence(F.lit(0), F.size(ls) - 2), without)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("i"), F.unhex(F.sha2(F.concat(F.get(ls, i), F.lit("\n"), F.get(ls, i + 1)), 256)).alias("pair")))
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without later copies of passages of two or more lines, and array column ``lines_cut``.
+    return once(F.split(text, "\n", -1), of)
+
+
+def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without later copies of repeated runs of lines, and array column ``chunks_cut``.
 
     A line goes if it lies in a run of at least two lines that stands at an earlier place too: of
-    a smaller document id, or earlier in the text; the two places may overlap, so of a line
-    repeated many times in a row one is left. Such a run is repeated just where each two
-    neighbouring lines of it are, so runs are found in full length, without boundaries: by SHA-256
-    of two neighbouring lines, the first place of each staying. ``lines_cut`` has the numbers of
-    the lines that went, from 0. Rows of the same id and text are treated alike; those of null id
-    or text stay as they are. All columns are kept (one named lines_cut is replaced). A pair that
-    very many documents share costs a row a task in the counts; its places are joined to one row.
+    a smaller document id, then of a smaller hash of the text, then earlier in the text. The two places may overlap, so of a line
+    repeated many times in a row one is left. ``chunks_cut`` lists the runs that went, (text, n_lines).
+
+    Content-defined chunks of at least ``min_lines`` lines are the candidates: hash counts choose
+    those that stand anywhere else, then their bytes are compared, and all but the first place go.
+    A passage's ends lie in chunks with other lines, so what is left is matched by pairs of
+    neighbouring lines, which grows every match to its full length and finds runs too short to
+    hold a chunk: of each pair that is there more than once, the first place stays.
+
+    Rows of the same id and text are taken as the same document and treated alike, those of the
+    same id and another text are other documents; rows of null id or text stay as they are (an
+    empty array). All columns are kept (one named chunks_cut is replaced); an empty table gives no rows. Chunks and pairs
+    are summed before they are shuffled, so that a passage which very many documents share costs a row a task;
+    its places meet a written table of first places, in a join that Spark can split.
     """
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("k is not null and t is not null")
-    pairs = once(F.split("t", "\n", -1), lambda ls: F.transform(F.slice(ls, 1, F.size(ls) - 1), lambda x, i: F.unhex(F.sha2(F.concat(x, F.lit("\n"), F.get(ls, i + 1)), 256))))
-    places = rows.select("k", F.xxhash64("t").alias("u"), F.posexplode(pairs).alias("i", "pair"))
-
-    first = places.groupBy("pair").agg(F.min(F.struct("k", "u", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").select("pair", "first")
-    later = places.join(first, "pair").where(F.struct("k", "u", "i") != F.col("first"))
-    cut = later.groupBy("k", "u").agg(F.collect_set("i").alias("at"))  # within one document
-    cut = cut.select(F.col("k").alias("__k"), F.col("u").alias("__u"), F.array_sort(F.array_union("at", F.transform("at", lambda i: i + 1))).alias("__cut"))
-
-    out = docs.withColumn("__k", F.col(id_col)).withColumn("__u", F.xxhash64(text_col)).join(cut, ["__k", "__u"], "left")
-    left = once(F.split(F.col(text_col), "\n", -1), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__cut")), lambda j: F.get(ls, j)), "\n"))
-    out = out.withColumn("__text", F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(left))
-    return out.select(*[F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c != "lines_cut"], F.coalesce("__cut", F.array().cast("array<int>")).alias("lines_cut"))
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("k is not null and t is not null").withColumn("u", F.xxhash64("t"))
+    chunks = line_chunks(F.col("t"), window, divisor)
+    starts = lambda cs: F.transform(cs, lambda c, i: F.struct(F.aggregate(F.slice(cs, 1, i), F.lit(0), lambda n, x: n + x["n_lines"]).alias("a"), c["n_lines"].alias("n"), c["text"].alias("chunk")))
+    found = rows.select("k", "u", F.explode(once(chunks, lambda cs: F.filter(starts(cs), lambda c: c["n"] >= min_lines))).alias("c"))
+    places = found.select("k", "u", "c.a", "c.n", "c.chunk", F.xxhash64("c.chunk").alias("h"))
+
+    several = materialize(places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "several")
+    candidates = places.join(broadcast_if_small(several), "h", "left_semi")
+    first = candidates.groupBy("h", "chunk").agg(F.min(F.struct("k", "u", "a")).alias("first"), F.count("*").alias("times")).where("times > 1").select("h", "chunk", "first")
+    first = broadcast_if_small(materialize(first, "chunks"), 1 << 24, F.octet_length("chunk") + 40)
+    later = candidates.join(first, ["h", "chunk"]).where(F.struct("k", "u", "a") != F.col("first"))
+    gone = materialize(later.groupBy("k", "u").agg(F.collect_set(F.struct("a", "n")).alias("ranges")), "gone")  # within one document
+
+    none = F.array().cast("array<struct<a:int,n:int>>")
+    known = rows.join(broadcast_if_small(gone, 1_000_000, F.size("ranges") + 2), ["k", "u"], "left").withColumn("ranges", F.coalesce("ranges", none))
+    pairs = known.select("k", "u", F.explode(_pairs(F.col("t"), _interior(F.col("ranges")))).alias("p")).select("k", "u", "p.i", "p.pair")
+    first_pair = pairs.groupBy("pair").agg(F.min(F.struct("k", "u", "i")).alias("first"), F.count("*").alias("times")).where("times > 1").select("pair", "first")
+    first_pair = broadcast_if_small(materialize(first_pair, "pairs"), 200_000)
+    more = pairs.join(first_pair, "pair").where(F.struct("k", "u", "i") != F.col("first")).select("k", "u", F.col("i").alias("a"), F.lit(2).alias("n"))
+    cut = more.unionByName(gone.select("k", "u", F.inline("ranges"))).groupBy("k", "u").agg(F.flatten(F.collect_list(F.sequence("a", F.col("a") + F.col("n") - 1))).alias("cut"))  # within one document
+    cut = materialize(cut.select(F.col("k").alias("__k"), F.col("u").alias("__u"), F.array_sort(F.array_distinct("cut")).alias("__cut")), "cut")
+
+    # texts of which nothing goes are not moved
+    keyed = docs.drop("chunks_cut").withColumns({"__k": F.col(id_col), "__u": F.xxhash64(text_col)})
+    hit = broadcast_if_small(cut.select("__k", "__u"))
+    some = keyed.join(hit, ["__k", "__u"], "left_semi").join(cut, ["__k", "__u"])
+    rest = keyed.join(hit, ["__k", "__u"], "left_anti").drop("__k", "__u").withColumn("chunks_cut", F.array().cast("array<struct<text:string,n_lines:int>>"))
+
+    lines = lambda f: once(F.split(F.col(text_col), "\n", -1), f)
+    at = lambda ls, numbers: F.array_join(F.transform(numbers, lambda j: F.get(ls, j)), "\n")
+    left = lines(lambda ls: at(ls, F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__cut"))))
+    begins, ends = (F.filter("__cut", lambda j: ~F.array_contains("__cut", j + step)) for step in (-1, 1))
+    runs = lines(lambda ls: F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda r: F.struct(at(ls, F.sequence(r["b"], r["e"])).alias("text"), (r["e"] - r["b"] + 1).alias("n_lines"))))
+    some = some.withColumn("chunks_cut", runs).withColumn(text_col, left).select(*docs.drop("chunks_cut").columns, "chunks_cut")
+    return rest.select(*some.columns).unionByName(some)
