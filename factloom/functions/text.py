@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def display(c: Column) -> Column:
+    """Squeezed, without spaces and punctuation at the ends."""
+    return F.trim(F.btrim(F.regexp_replace(c, r"\s+", " "), F.lit(" \t:;,.|")))
+
+
+def straight_text(c: Column) -> Column:
+    """Line feeds for all line breaks, straight quotes, single spaces, nothing at the ends."""
+    out = F.regexp_replace(c, "\r\n?", "\n")
+    for a, b in (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"')):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.btrim(F.regexp_replace(out, "[ \t]+", " "), F.lit(" \n"))
+
+
+def squeeze_lines(c: Column) -> Column:
+    """Single spaces, at most one empty line in a row, nothing at the ends."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n"), F.lit(" \n"))
+
+
 def normalize_key(c: Column) -> Column:
     """Lower case, dashes and spaces to one underscore, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[-\s_]+", "_"), "^_+|_+$", "")
@@ -41,8 +66,9 @@ def clean_lines(c: Column) -> Column:
 
 
 def vowelless(c: Column) -> Column:
-    """At least seven letters and no vowel: what is left of bad OCR."""
-    return (F.length(F.regexp_replace(c, "[^A-Za-zäöüÄÖÜ]", "")) >= 7) & ~F.lower(c).rlike("[aeiouyäöü]")
+    """At least seven letters from a to z and no a, e, i, o, u among them: what is left of bad OCR."""
+    letters = F.regexp_replace(c, "[^A-Za-z]", "")
+    return (F.length(letters) >= 7) & ~letters.rlike("[aeiouAEIOU]")
 
 
 def ocr_repair_digits(c: Column) -> Column:

@@ -11,6 +11,7 @@ from factloom.functions import dates as D
 from factloom.functions import text as T
 from factloom.functions import values as V
 from factloom.operators import extract, geometry as G, knowledge as K, lifecycle as L
+from factloom.sources import records as R
 from factloom.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,8 @@ VIEWS = {
     "docs": "SELECT doc_id, text, source, sha256(coalesce(text, '')) AS content_hash FROM documents",
 }
 
+VIEWS |= {name: R.sql(name) for name in R.RECORDS}
+
 
 def query(sql: str | None = None, *views: str):
     """Register a query under its function's name, with its SQL over the named views."""
@@ -41,34 +44,45 @@ def query(sql: str | None = None, *views: str):
     return add
 
 
-def _patterns_sql(patterns: tuple[extract.Pattern, ...]) -> str:
-    part = "SELECT doc_id, '{k}' AS fact_type, unnest(regexp_extract_all(text, '{r}', {g})) AS value, CAST({c} AS DOUBLE) AS confidence FROM documents"
-    return " UNION ALL ".join(part.format(k=p.fact_type, r=p.regex.replace("'", "''"), g=p.group, c=p.confidence) for p in patterns)
+#: The universal patterns as RE2 writes them: type, pattern, confidence.
+PATTERNS_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS fact_type, unnest(regexp_extract_all(text, '{regex}')) AS value, CAST({confidence} AS DOUBLE) AS confidence FROM texts"
+    for kind, regex, confidence in (
+        ("email", r"(?i)\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b", 0.80),
+        ("iban", r"(?i)\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b", 0.82),
+        ("phone_number", r"(?:\+?\d[\d\s()./-]{7,}\d)", 0.55),
+        ("date", r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", 0.55),
+        ("amount", r"(?i)\b\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{2})\s?(?:EUR|€)", 0.45),
+        ("document_number", r"(?i)\b[A-Z]{1,3}\d{5,10}\b", 0.45),
+    )
+)
 
 
-PATTERNS_SQL = _patterns_sql(extract.UNIVERSAL)
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents and the invented labelled ones, whose ids are negative."""
+    return R.record(spark, d, "texts")
 
 
-@query(PATTERNS_SQL)
+@query(PATTERNS_SQL, "texts")
 def candidate_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return extract.all_matches(S.documents(spark, d)).drop("ord")
+    return extract.all_matches(_texts(spark, d)).drop("ord")
 
 
 @query()
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    return extract.gate(extract.all_matches(S.documents(spark, d))).select("doc_id", "fact_type", "value_norm", "confidence", "reject_reason")
+    return extract.gate(extract.all_matches(_texts(spark, d))).select("doc_id", "fact_type", "value_norm", "confidence", "reject_reason")
 
 
-@query(f"SELECT doc_id, fact_type, value, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, fact_type, lower(value) ORDER BY value) AS r FROM ({PATTERNS_SQL})) WHERE r = 1")
+@query(f"SELECT doc_id, fact_type, value, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, fact_type, lower(value) ORDER BY value) AS r FROM ({PATTERNS_SQL})) WHERE r = 1", "texts")
 def candidate_dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
-    found = extract.all_matches(S.documents(spark, d))
+    found = extract.all_matches(_texts(spark, d))
     return extract.first_wins(found, [F.col("doc_id"), F.col("fact_type"), F.lower("value")], [F.col("value")]).drop("ord")
 
 
 @query()
 def review_flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents to review cases: patterns, gate, first-wins, priority, the best of each bucket."""
-    good = extract.gate(extract.all_matches(S.documents(spark, d))).where("reject_reason is null")
+    good = extract.gate(extract.all_matches(_texts(spark, d))).where("reject_reason is null")
     once = extract.first_wins(good, [F.col("doc_id"), F.col("fact_type"), F.lower("value_norm")], [F.col("ord")])
     rows = once.select(F.col("doc_id").alias("entity_id"), F.col("ord").alias("case_id"), "fact_type", F.col("value_norm").alias("value"), "confidence", K.priority_strict(F.col("confidence")).alias("priority"), F.lit(None).cast("timestamp").alias("created_at"))
     return K.bucket_top_k(rows).select("entity_id", "fact_type", "value", "confidence", "priority", "bucket", "rank")
@@ -80,24 +94,14 @@ def content_helpers(spark: SparkSession, d: str) -> DataFrame:
     return S.documents(spark, d).select("doc_id", F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long").alias("n_words"), F.length(text).cast("long").alias("n_chars"), (text != "").alias("has_text"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)passport|reisepass') OR regexp_matches(text, '(?i)[A-Z0-9<]{30,44}') THEN 'passport' WHEN regexp_matches(text, '(?i)rechnung|invoice') THEN 'invoice' WHEN regexp_matches(text, '(?i)kontoauszug|bank statement') THEN 'bank_statement' WHEN regexp_matches(text, '(?i)gehaltsabrechnung|payslip') THEN 'payslip' WHEN regexp_matches(text, '(?i)arbeitsvertrag|employment contract') THEN 'employment_contract' WHEN regexp_matches(text, '(?i)personalausweis|identity card') THEN 'id_card' WHEN regexp_matches(text, '(?i)aufenthaltstitel|residence permit') THEN 'residence_permit' END AS kind FROM documents")
-def doc_type_regex(spark: SparkSession, d: str) -> DataFrame:
-    return S.documents(spark, d).select("doc_id", extract.kind_by_regex(F.col("text")).alias("kind"))
-
-
-@query("WITH s AS (SELECT doc_id, contains(lower(text), 'license')::INT + contains(lower(text), 'licensed')::INT + contains(lower(text), 'released')::INT AS a, contains(text, '@')::INT + contains(lower(text), 'mail')::INT AS b, contains(text, ' | ')::INT AS c, contains(lower(text), 'rights')::INT + contains(lower(text), 'copyright')::INT + contains(lower(text), 'terms')::INT AS e FROM documents) SELECT doc_id, CASE greatest(a, b, c, e) WHEN 0 THEN 'other' WHEN a THEN 'license' WHEN b THEN 'mail' WHEN c THEN 'list' ELSE 'legal' END AS kind FROM s")
-def doc_type_score(spark: SparkSession, d: str) -> DataFrame:
-    return S.documents(spark, d).select("doc_id", extract.kind_by_score(F.col("text")).alias("kind"))
-
-
 @query("SELECT content_hash, min(doc_id) AS first_id, count(*) AS copies FROM docs GROUP BY content_hash", "docs")
 def doc_dedup_hash(spark: SparkSession, d: str) -> DataFrame:
     return S.documents(spark, d).groupBy("content_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
 
 
-@query(f"SELECT doc_id, count(*) AS n, round(avg(confidence), 4) AS mean_confidence, count(DISTINCT fact_type) AS n_types, count(*) < 6 AS few FROM ({PATTERNS_SQL}) GROUP BY doc_id")
+@query(f"SELECT doc_id, count(*) AS n, round(avg(confidence), 4) AS mean_confidence, count(DISTINCT fact_type) AS n_types, count(*) < 6 AS few FROM ({PATTERNS_SQL}) GROUP BY doc_id", "texts")
 def extraction_summary(spark: SparkSession, d: str) -> DataFrame:
-    found = extract.all_matches(S.documents(spark, d))
+    found = extract.all_matches(_texts(spark, d))
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"), F.count_distinct("fact_type").alias("n_types"), (F.count("*") < 6).alias("few"))
 
 
@@ -184,21 +188,6 @@ def evidence_by_document(spark: SparkSession, d: str) -> DataFrame:
     return S.evidence(spark, d).join(S.sources(spark, d), "source_id").groupBy("source_id", "source_name").agg(F.count("*").alias("n"), F.min("created_at").alias("first_at"), F.max("confidence").alias("best"))
 
 
-@query("SELECT a.entity_id AS group_id, a.field_name, a.fact_id AS left_id, b.fact_id AS right_id, CASE WHEN s < 0.6 THEN s / 2 ELSE s END AS score FROM facts a JOIN facts b ON a.entity_id = b.entity_id AND a.field_name = b.field_name AND a.fact_id < b.fact_id, LATERAL (SELECT least(a.confidence, b.confidence) AS s)", "facts")
-def entity_pair_matches(spark: SparkSession, d: str) -> DataFrame:
-    return K.resolve(S.facts(spark, d), "entity_id", "fact_id", F.least("a.confidence", "b.confidence")).select("group_id", "field_name", "left_id", "right_id", "score")
-
-
-@query("SELECT entity_id, round(avg(confidence), 6) AS score FROM facts GROUP BY entity_id", "facts")
-def weighted_score(spark: SparkSession, d: str) -> DataFrame:
-    return K.weighted_score(S.facts(spark, d), ["entity_id"]).select("entity_id", F.round("score", 6).alias("score"))
-
-
-@query("SELECT entity_id, field_name, value AS canonical_value FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY confidence DESC, created_at, fact_id) AS r FROM facts) WHERE r = 1", "facts")
-def canonical_values(spark: SparkSession, d: str) -> DataFrame:
-    return K.best_fact(S.facts(spark, d), ["entity_id", "field_name"]).select("entity_id", "field_name", F.col("value").alias("canonical_value"))
-
-
 @query("SELECT entity_id, field_name, count(DISTINCT value) AS n_values, len(list(DISTINCT fact_id)) AS n_facts FROM facts GROUP BY ALL HAVING count(DISTINCT value) > 1", "facts")
 def conflict_details(spark: SparkSession, d: str) -> DataFrame:
     return K.conflicts(S.facts(spark, d), ["entity_id", "field_name"]).select("entity_id", "field_name", "n_values", F.size("fact_ids").cast("long").alias("n_facts"))
@@ -215,13 +204,6 @@ def kept_links_semijoin(spark: SparkSession, d: str) -> DataFrame:
     return S.evidence(spark, d).join(S.facts(spark, d).where((F.col("status") == "accepted") & (F.col("confidence") >= 0.9)), "fact_id", "left_semi").select("fact_id", "line_no")
 
 
-@query("SELECT fact_id, CASE WHEN confidence >= 0.9 AND n > 3 THEN 'auto' WHEN n > 0 THEN 'case' ELSE 'rejected' END AS outcome FROM (SELECT fact_id, any_value(f.confidence) AS confidence, count(e.line_no) AS n FROM facts f LEFT JOIN evidence e USING (fact_id) WHERE status = 'pending' GROUP BY fact_id)", "facts", "evidence")
-def acceptance_split(spark: SparkSession, d: str) -> DataFrame:
-    n = S.evidence(spark, d).groupBy("fact_id").agg(F.count("*").alias("n"))
-    f = S.facts(spark, d).where("status = 'pending'").join(n, "fact_id", "left")
-    return f.select("fact_id", F.when((F.col("confidence") >= 0.9) & (F.col("n") > 3), "auto").when(F.col("n") > 0, "case").otherwise("rejected").alias("outcome"))
-
-
 @query("SELECT case_id AS job_id FROM cases WHERE status IN ('PENDING', 'ASSIGNED') ORDER BY CAST(value AS INT) DESC, created_at, case_id LIMIT 10", "cases")
 def lease_order(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("status") == "PENDING", "pending").when(F.col("status") == "ASSIGNED", "retrying").otherwise("done")
@@ -241,18 +223,6 @@ def failure_summary(spark: SparkSession, d: str) -> DataFrame:
     return S.cases(spark, d).groupBy("fact_type").agg(F.count("*").alias("total"), F.count_if(c < 0.1).alias("critical"), F.count_if((c >= 0.1) & (c < 0.5)).alias("error"), F.count_if(c >= 0.5).alias("warning"))
 
 
-@query("SELECT entity_id, case_id, entry_hash, lag(entry_hash) OVER (PARTITION BY entity_id ORDER BY created_at, case_id) AS previous_hash FROM (SELECT entity_id, case_id, created_at, sha256(fact_type || '|' || case_id) AS entry_hash FROM cases)", "cases")
-def audit_chain_links(spark: SparkSession, d: str) -> DataFrame:
-    c = S.cases(spark, d).withColumn("entry_hash", F.sha2(F.concat_ws("|", "fact_type", F.col("case_id").cast("string")), 256))
-    return c.select("entity_id", "case_id", "entry_hash", F.lag("entry_hash").over(Window.partitionBy("entity_id").orderBy("created_at", "case_id")).alias("previous_hash"))
-
-
-@query("SELECT fact_id, date_diff('day', DATE '1998-08-01', CAST(created_at AS DATE)) + 60 AS days, CASE WHEN date_diff('day', DATE '1998-08-01', CAST(created_at AS DATE)) + 60 <= 30 THEN 'critical' ELSE 'warning' END AS severity FROM facts WHERE created_at >= TIMESTAMP '1998-05-01' AND date_diff('day', DATE '1998-08-01', CAST(created_at AS DATE)) + 60 <= 90", "facts")
-def expiry_advisory(spark: SparkSession, d: str) -> DataFrame:
-    f = S.facts(spark, d).where(F.col("created_at") >= "1998-05-01").select("fact_id", F.date_add(F.to_date("created_at"), 60).alias("expires_on"))
-    return K.expiry_advice(f, F.lit("1998-08-01").cast("date")).select("fact_id", F.col("days").cast("long").alias("days"), "severity")
-
-
 @query(f"SELECT entity_id, count(*) FILTER (v IS NOT NULL) AS filled, round(count(*) FILTER (v IS NOT NULL) / 5.0::DOUBLE, 2) AS readiness FROM (SELECT e.entity_id, t.f, max(x.value) AS v FROM entities e CROSS JOIN (SELECT unnest({FIELDS!r}) AS f) t LEFT JOIN facts x ON x.entity_id = e.entity_id AND x.field_name = t.f AND x.status = 'accepted' GROUP BY ALL) GROUP BY entity_id", "entities", "facts")
 def form_preview(spark: SparkSession, d: str) -> DataFrame:
     template = S.entities(spark, d).select("entity_id", F.explode(F.array(*[F.lit(f) for f in FIELDS])).alias("field_id")).withColumn("required", F.lit(True))
@@ -261,13 +231,6 @@ def form_preview(spark: SparkSession, d: str) -> DataFrame:
     return K.readiness(K.form_preview(template, mapping, best)).select("entity_id", "filled", "readiness")
 
 
-@query("SELECT entity_id, count(*) AS fact_count, max(value) AS top_value, min(created_at) AS first_at FROM facts WHERE status = 'accepted' GROUP BY entity_id", "facts")
-def report_fact_export(spark: SparkSession, d: str) -> DataFrame:
-    facts = S.facts(spark, d).where("status = 'accepted'")
-    env = facts.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "fact_id", "field_name", "value"))).alias("facts"))
-    return env.select("entity_id", F.size("facts").cast("long").alias("fact_count"), F.array_max(F.transform("facts", lambda x: x["value"])).alias("top_value"), F.get("facts", F.lit(0))["created_at"].alias("first_at"))
-
-
 @query("SELECT fact_id, entity_id, CASE WHEN fact_id % 3 = 0 THEN 'superseded' ELSE status END AS status FROM facts", "facts")
 def upsert_facts(spark: SparkSession, d: str) -> DataFrame:
     f = S.facts(spark, d).select("fact_id", "entity_id", "status")
@@ -280,12 +243,6 @@ def fact_transitions(spark: SparkSession, d: str) -> DataFrame:
     return K.transitions(asked, [("pending", "accepted"), ("pending", "rejected"), ("accepted", "superseded")], "status", "wanted").groupBy("status", "wanted", "legal").agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(hello|hi|hey)\\b') THEN 'greeting' WHEN contains(lower(text), 'profile') THEN 'profile' WHEN contains(lower(text), 'review') THEN 'review' ELSE 'llm' END AS intent FROM conversations")
-def chat_intents(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    return S.read(spark, d, "conversations").select("conv_id", "turn", F.when(low.rlike(r"\b(hello|hi|hey)\b"), "greeting").when(low.contains("profile"), "profile").when(low.contains("review"), "review").otherwise("llm").alias("intent"))
-
-
 @query("SELECT fact_id, rule, CASE rule WHEN 'range' THEN value BETWEEN 1000 AND 200000 ELSE regexp_full_match(CAST(field_name AS VARCHAR), '[1-5]-[A-Z ]+') END AS passed FROM facts, (SELECT unnest(['range', 'format']) AS rule)", "facts")
 def validation_rules(spark: SparkSession, d: str) -> DataFrame:
     f = S.facts(spark, d)
@@ -299,14 +256,26 @@ def normalized_keys(spark: SparkSession, d: str) -> DataFrame:
     return S.documents(spark, d).select("doc_id", T.normalize_key(F.coalesce("source", F.lit(""))).alias("source_key"))
 
 
-@query()
+@query(
+    r"""SELECT doc_id, CAST(len(list_filter(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '' AND NOT regexp_matches(lower(x), 'https?://|www\.'))) AS INT) AS n_lines FROM documents"""
+)
 def clean_document_lines(spark: SparkSession, d: str) -> DataFrame:
     return S.documents(spark, d).select("doc_id", F.size(T.clean_lines(F.coalesce("text", F.lit("")))).alias("n_lines"))
 
 
-@query()
+@query(
+    r"""WITH l AS (
+      SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, unnest(range(len(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))))) AS i FROM texts
+    ), c AS (
+      SELECT doc_id, i, upper(regexp_replace(line, '\s+', '', 'g')) AS value FROM l WHERE NOT regexp_matches(lower(line), 'https?://|www\.')
+    ), m AS (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord FROM c WHERE regexp_full_match(value, '[A-Z0-9<]{25,44}') AND contains(value, '<')
+    )
+    SELECT doc_id, 'mrz_line' AS fact_type, value, 0.78::DOUBLE AS confidence, ord FROM m WHERE ord < 3""",
+    "texts",
+)
 def mrz_line_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return extract.mrz_lines(S.documents(spark, d))
+    return extract.mrz_lines(_texts(spark, d))
 
 
 @query()
@@ -446,9 +415,20 @@ def fallback_facts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def contextual_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return extract.contextual_matches(S.documents(spark, d))
+    return extract.contextual_matches(_texts(spark, d))
 
 
-@query()
+@query(
+    r"""WITH q AS (SELECT question_id, trim(text) AS t FROM question_rows),
+    n AS (SELECT question_id, 'name' AS fact_type, trim(regexp_replace(regexp_extract(t, '(?i)\b(?:i am|i''m|my name is)\s+([a-z][a-z\s''-]{1,80}?)(?:\s+\d{1,3}\s+years old|\s+and|\s+will|\s+can|\s+save|$)', 1), '\s+', ' ', 'g')) AS value FROM q),
+    a AS (SELECT question_id, 'age' AS fact_type, TRY_CAST(coalesce(nullif(regexp_extract(t, '(?i)\b(\d{1,3})\s+years old\b', 1), ''), regexp_extract(t, '(?i)\bmy age is\s+(\d{1,3})\b', 1)) AS INT) AS age FROM q)
+    SELECT question_id, fact_type, value, 0.5::DOUBLE AS confidence FROM n WHERE value <> ''
+    UNION ALL SELECT question_id, fact_type, CAST(age AS VARCHAR), 0.5::DOUBLE FROM a WHERE age BETWEEN 1 AND 129""",
+    "question_rows",
+)
 def self_declared_facts(spark: SparkSession, d: str) -> DataFrame:
-    return extract.self_declared(S.read(spark, d, "conversations").where("role = 'user'")).select("conv_id", "turn", "fact_type", "value", "confidence")
+    return extract.self_declared(R.record(spark, d, "question_rows")).select("question_id", "fact_type", "value", "confidence")
+
+
+# the other modules of queries register theirs here
+from factloom.plans import classify_queries, knowledge_queries, record_queries, screen_queries  # noqa: E402, F401
