@@ -142,20 +142,22 @@ FROM d LEFT JOIN a USING (doc_id)
 OP5_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents
-), h AS (
-  SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) % 2147483647 AS h FROM l
-), e AS (
-  SELECT *, ((h + (coalesce(lag(h) OVER w, 0) * 31) % 2147483647) % 2147483647) % 2 = 0 AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), p AS (
+  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM l
+), r AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) > 1 AS again FROM p WHERE after IS NOT NULL
 ), c AS (
-  SELECT doc_id, i, line, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e
-), k AS (
-  SELECT doc_id, chunk, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS text FROM c GROUP BY doc_id, chunk
-), f AS (
-  SELECT *, n_lines >= 2 AND row_number() OVER (PARTITION BY text, n_lines >= 2 ORDER BY doc_id, chunk) > 1 AS cut FROM k
+  SELECT l.*, coalesce(a.again, false) OR coalesce(b.again, false) AS cut FROM l
+  LEFT JOIN r a ON a.doc_id = l.doc_id AND a.i = l.i LEFT JOIN r b ON b.doc_id = l.doc_id AND b.i = l.i - 1
+), e AS (
+  SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM c
+), s AS (
+  SELECT doc_id, count(*) FILTER (begins) AS n_chunks_cut, count(*) FILTER (cut) AS n_lines_cut,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT cut), '')) AS kept_sha256
+  FROM e GROUP BY doc_id
 )
-SELECT doc_id, count(*) FILTER (cut) AS n_chunks_cut, CAST(coalesce(sum(n_lines) FILTER (cut), 0) AS BIGINT) AS n_lines_cut,
-  sha256(coalesce(string_agg(text, chr(10) ORDER BY chunk) FILTER (NOT cut), '')) AS kept_sha256
-FROM f GROUP BY doc_id
+SELECT doc_id, coalesce(n_chunks_cut, 0) AS n_chunks_cut, coalesce(n_lines_cut, 0) AS n_lines_cut, kept_sha256
+FROM documents LEFT JOIN s USING (doc_id)
 """
 
 OP8_SQL = """

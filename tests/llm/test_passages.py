@@ -31,20 +31,31 @@ def expected(found):
     return left
 
 
+def runs(text, cut):
+    """The runs of neighbouring numbers in cut, as (text, n_lines)."""
+    out = []
+    for i in cut:
+        if not out or out[-1][-1] != i - 1:
+            out.append([])
+        out[-1].append(i)
+    return [("\n".join(text.split("\n")[j] for j in run), len(run)) for run in out]
+
+
 def test_dedup_passages(spark):
     docs = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows())], "doc_id long, text string, n int").repartition(3)
     want = expected([(r["doc_id"], r["text"], r["u"]) for r in docs.selectExpr("*", "xxhash64(text) AS u").collect()])
-    got = line_dedup.dedup_passages(docs)
-    assert got.columns == ["doc_id", "text", "n", "lines_cut"]
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "n", "chunks_cut"]
     found = got.collect()
     assert len(found) == len(rows())
     for r in found:
         k, t = rows()[r["n"]]
-        assert (r["text"], r["lines_cut"]) == want.get((k, t), (t, []))
+        left, cut = want.get((k, t), (t, []))
+        assert (r["text"], [tuple(c) for c in r["chunks_cut"]]) == (left, runs(t, cut))
     by_n = {r["n"]: r["text"] for r in found}
     assert all(not set(by_n[i].split("\n")) & set(LINES[:7]) for i in range(1, 8)) and by_n[10] == "again"
     assert by_n[rows().index((3, "other\ntext"))] == "other\ntext"
-    assert line_dedup.dedup_passages(docs.limit(0)).count() == 0
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
 def test_pipeline_cuts_whole_passages(spark):
@@ -55,3 +66,10 @@ def test_pipeline_cuts_whole_passages(spark):
     assert got[0]["text"] == rows()[0][1]
     for i in range(1, 8):
         assert not set(got[i]["text"].split("\n")) & set(LINES[:7]) and got[i]["n_chars"] == len(got[i]["text"])
+
+
+def test_another_text_of_the_same_id_stays_whole(spark):
+    """Rows (1, T), (2, T), (2, U): U stands nowhere else."""
+    t, u = "\n".join(f"t {i}" for i in range(40)), "\n".join(f"u {i}" for i in range(40))
+    docs = spark.createDataFrame([(1, t), (2, t), (2, u)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()) == [(1, t), (2, ""), (2, u)]
