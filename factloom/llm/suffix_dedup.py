@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import materialize
@@ -14,7 +14,29 @@ from factloom.llm.graph import broadcast_if_small
 
 GRAM = 96  # bytes of an anchor
 WIDE = 64  # window starts of a segment: they share length - WIDE + 1 bytes
+WORD_GRAM = 8  # words of an anchor
 PRIME = 0x100000001B3 | 1
+NO_ID = -(1 << 63)
+SMALL = 300_000  # rows of a hash that may be broadcast
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _least(h: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The least of each ``wide`` neighbouring hashes, the leftmost of equals, as runs: key, place, first and last."""
+    low, have = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
+    while have * 2 <= wide:
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    if wide > have:
+        low = np.minimum(low[: len(low) - (wide - have)], low[wide - have :])
+    place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+    last = np.append(first[1:] - 1, len(place) - 1)
+    return h[place[first]].view(np.int64), place[first], first, last
 
 
 def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -33,130 +55,176 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         # GRAM is 64 and then 32 bytes
         p32 = pow(PRIME, 32, 1 << 64)
         n = len(text) - GRAM + 1
-        h = halves[64][:n] * np.uint64(p32) + halves[32][64 : 64 + n]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-    wide, have = length - GRAM + 1, 1
-    while have * 2 <= wide:
-        low = np.minimum(low[:-have], low[have:])
-        have *= 2
-    if wide > have:
-        low = np.minimum(low[: len(low) - (wide - have)], low[wide - have :])
-    place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-    last = np.append(first[1:] - 1, len(place) - 1)
-    return h[place[first]].view(np.int64), place[first], first, last
+        h = _mixed(halves[64][:n] * np.uint64(p32) + halves[32][64 : 64 + n])
+    return _least(h, length - GRAM + 1)
+
+
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
 
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n powers of PRIME and of its inverse modulo 2^64, kept between calls."""
+    for k, base in enumerate((PRIME, pow(PRIME, -1, 1 << 64))):
+        while len(_powers[k]) < n:
+            with np.errstate(over="ignore"):
+                _powers[k] = np.concatenate([_powers[k], _powers[k] * np.uint64(pow(base, len(_powers[k]), 1 << 64))])
+    return _powers[0][:n], _powers[1][:n]
 
-def longest_previous(order: np.ndarray, joined: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Which suffixes have an earlier match, where match means a common prefix as long as is asked for.
 
-    ``order`` is the suffix array, ``joined[i]`` tells whether suffixes order[i - 1] and order[i]
-    match, ``places`` are the suffixes' places in the corpus. A suffix's longest previous factor
-    is with its previous or next smaller place in suffix order; matches as long as asked for are runs
-    of the order, in which only the smallest place has none.
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:end], from one array of prefix sums."""
+    up, down = _powers_to(len(values) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1])])
+        return _mixed((sums[ends] - sums[starts]) * down[starts])
+
+
+def word_hashes(text: np.ndarray) -> np.ndarray:
+    """A hash of each word ``[^\\x20\\x09-\\x0D]+``."""
+    inside = np.concatenate([[False], (text != 32) & ((text < 9) | (text > 13)), [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return _spans(text.astype(np.uint64) + np.uint64(1), edges[::2], edges[1::2])
+
+
+def word_anchors(text: np.ndarray, words: int) -> tuple[np.ndarray, ...] | None:
+    """As ``anchors``, of windows of ``words`` words, whatever white space is between them, and the windows'
+    hashes; None if there are too few words."""
+    hashes = word_hashes(text)
+    if len(hashes) < words:
+        return None
+    at = np.arange(len(hashes) + 1)
+    grams = _spans(hashes, at[: -WORD_GRAM], at[WORD_GRAM:])
+    key, place, first, last = _least(grams, words - WORD_GRAM + 1)
+    return key, place, first, last, _spans(hashes, at[:-words], at[words:])
+
+
+def _ranks(joined: np.ndarray, length: int) -> dict[int, np.ndarray]:
+    """For 8, 16, .. and ``length`` bytes: the rank of every position's next bytes, by prefix doubling."""
+    n = len(joined)
+    padded = np.concatenate([joined, np.zeros(8, np.uint8)]).astype(np.uint64)
+    eight = np.zeros(n, np.uint64)
+    for k in range(8):
+        eight = (eight << np.uint64(8)) | padded[k : k + n]
+    size, out = 8, {8: np.unique(eight, return_inverse=True)[1].astype(np.int64)}
+    while size < length:
+        step = min(size, length - size)
+        after = np.zeros(n, np.int64)
+        after[: n - step] = out[size][step:] + 1
+        out[size + step] = np.unique(out[size] * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
+        size += step
+    return out
+
+
+def longest_previous(places: list, common: list[int]) -> list[int]:
+    """The longest previous factor of each suffix, in suffix order.
+
+    ``places`` are the suffixes' places in the corpus and ``common[i]`` is the longest common
+    prefix of suffixes i - 1 and i. The longest earlier match of a suffix is the one with its
+    previous or its next smaller place in suffix order; both are met by one pass over a stack of
+    places that rise.
     """
-    run = np.cumsum(~joined)
-    least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, run, places[order])
-    out = np.zeros(len(order), bool)
-    out[order] = places[order] > least[run]
+    out, stack = [0] * len(places), []
+    for i, place in enumerate(places):
+        low = common[i]
+        while stack and places[stack[-1][0]] > place:
+            j, below = stack.pop()
+            out[j] = max(out[j], low)  # i is the next smaller place of j
+            low = min(low, below)
+        if stack:
+            out[i] = low  # the previous smaller place of i
+        stack.append((i, low))
     return out
 
 
-def _border_masks(keys: np.ndarray, left: np.ndarray, right: np.ndarray, start: np.ndarray, count: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For contents that share a core with others: which windows have a match at all, and an earlier one.
+def repeats(contents: list[bytes], counts: list[int], places: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For contents whose first ``count`` windows of ``length`` bytes are asked for (64 at most), bits of the
+    windows that stand anywhere else in these contents, and of those that stand at an earlier place.
 
-    left and right hold the bytes next to the core. The windows at one distance from it differ in
-    the last bytes of left and the first of right only: they are put in suffix order by those.
+    The contents are joined and their windows put into suffix order, with the longest common
+    prefixes of neighbours; a window has an earlier match if its longest previous factor is as
+    long as a window, and a later one if its longest next factor is.
     """
-    n, any_bits, earlier_bits = len(keys), np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
-    key_bytes = keys.astype(">i8").view(np.uint8).reshape(n, 8)
-    for k in range(WIDE):  # bytes taken from the left
-        rows = np.flatnonzero((start >= k) & (start - count < k))
-        if len(rows) < 2:
-            continue
-        parts = np.hstack([key_bytes[rows], left[rows, WIDE - 1 - k :], right[rows, : WIDE - 1 - k]])
-        strings = np.ascontiguousarray(parts).view(f"V{parts.shape[1]}").ravel()
-        words = np.zeros((len(rows), -(-parts.shape[1] // 8) * 8), np.uint8)
-        words[:, : parts.shape[1]] = parts
-        order = np.lexsort(words.view(">u8").T[::-1])
-        joined = np.concatenate([[False], strings[order[1:]] == strings[order[:-1]]])
-        matched = np.zeros(len(rows), bool)
-        matched[order] = joined | np.append(joined[1:], False)
-        bit = np.uint64(1) << (start[rows] - k).astype(np.uint64)
-        any_bits[rows] |= np.where(matched, bit, np.uint64(0))
-        earlier_bits[rows] |= np.where(longest_previous(order, joined, places[rows]), bit, np.uint64(0))
-    return any_bits, earlier_bits
-
-
-FOUND = "doc_id long, uid long, key long, place long, first long, last long"
-SEGMENTS = "core long, c1 long, c2 long, doc_id long, uid long, at long, start int, count int"
-CONTENTS = "core long, c1 long, c2 long, place long, start int, count int, content binary"
-KEPT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
+    joined = np.frombuffer(b"".join(contents), np.uint8)
+    base = np.cumsum([0, *map(len, contents[:-1])])
+    counts = np.asarray(counts)
+    owner = np.repeat(np.arange(len(contents)), counts)
+    shift = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = base[owner] + shift
+    rank = _ranks(joined, length)
+    # places in the corpus as numbers: of the content's first byte, then of the window
+    key = np.array([p[0] for p in places], np.int64)[owner], np.array([p[1] for p in places], np.int64)[owner] + shift
+    place = np.empty(len(at), np.int64)
+    place[np.lexsort((owner, key[1], key[0]))] = np.arange(len(at))
+    order = np.lexsort((place, rank[length][at]))
+    a, b = at[order[:-1]], at[order[1:]]
+    common = np.zeros(len(a), np.int64)
+    for size in sorted((s for s in rank if s & (s - 1) == 0), reverse=True):
+        i, j = np.minimum(a + common, len(joined) - 1), np.minimum(b + common, len(joined) - 1)
+        common += np.where(rank[size][i] == rank[size][j], size, 0)
+    common = np.where(rank[length][a] == rank[length][b], length, np.minimum(common, length - 1))
+    common = [0, *common.tolist()]
+    before = np.array(longest_previous(place[order].tolist(), common)) >= length
+    after = np.array(longest_previous((-place[order]).tolist(), common)) >= length
+    bits = np.uint64(1) << shift[order].astype(np.uint64)
+    some, earlier = np.zeros(len(contents), np.uint64), np.zeros(len(contents), np.uint64)
+    np.bitwise_or.at(some, owner[order], np.where(before | after, bits, np.uint64(0)))
+    np.bitwise_or.at(earlier, owner[order], np.where(before, bits, np.uint64(0)))
+    return some, earlier
+
+
+FOUND = "uid binary, words boolean, key long, place long, first long, last long"
+SEGMENTS = "core long, c1 long, c2 long, uid binary, doc_id long, m long, at long, start int, count int, windows array<long>"
+FLAGS = "core long, c1 long, c2 long, some long, earlier long"
+KEPT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>, passage_starts long"
 
 
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
     fields = [f.split() for f in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[f for f, _ in fields])
-
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[f for f, _ in fields])
 
-def dedup_substrings(docs: DataFrame, length: int = 400, keep_first: bool = True, batch: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, kept (binary) and spans removed (byte ranges).
-
-    A byte goes if it lies in a string of ``length`` bytes that starts anywhere else too, in
-    another document or its own; with ``keep_first`` the place of smallest document id, then
-    offset, stays. Strings are judged on the input and do not cross documents. Null text is
-    empty; repeated rows are copies of each other, of which keep_first keeps all, as they stand at the
-    same place; null ids count as the smallest id; other columns are not read; an empty table gives no rows.
 
-    Every string is found through its anchor, so only those whose anchor repeats are looked at.
-    They are cut into segments of up to 64 windows that share a core. Segments equal as a whole
-    are counted; those of the same core but different bytes around it are sorted into suffix
-    order, in groups of cores. A group of equal segments is one row for each task, and the core of a
-    passage that many documents share is sorted as its different contents only; cores with more of these than a
-    batch holds are matched by counting their windows.
-    """
-    if length < GRAM + WIDE:
-        raise ValueError(f"length must be at least {GRAM + WIDE}")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("uid", F.xxhash64("text"))
-    copies = rows.select("doc_id", "uid", "text")
+def find_anchors(rows: DataFrame, length: int, passage_words: int) -> DataFrame:
+    """(uid, text) to the anchors of its windows of bytes and of words."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, uids, out, held = b.column(0).to_pylist(), b.column(1).to_pylist(), [[] for _ in range(6)], 0
-            for i, text in enumerate(b.column(2).cast(pa.binary())):
-                raw = text.as_buffer()
-                if raw.size < length:
-                    continue
-                key, place, first, last = anchors(np.frombuffer(raw, np.uint8), length)
-                for col, v in zip(out, (np.full(len(key), ids[i]), np.full(len(key), uids[i]), key, place, first, last)):
-                    col.append(v)
-                held += len(key)
+            uids, out, held = [], [[] for _ in range(5)], 0
+
+            def batch() -> pa.RecordBatch:
+                times = np.array([len(k) for k in out[1]])
+                return _batch([pa.array(uids, pa.binary()).take(pa.array(np.repeat(np.arange(len(uids)), times))), *(np.concatenate(c) for c in out)], FOUND)
+
+            for uid, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                found = [(False, *anchors(raw, length))] if len(raw) >= length else []
+                if passage_words and (own := word_anchors(raw, passage_words)):
+                    found.append((True, *own[:4]))
+                for words, *own in found:
+                    uids.append(uid)
+                    for col, v in zip(out, (np.full(len(own[0]), words), *own)):
+                        col.append(v)
+                    held += len(own[0])
                 if held > 50_000:
-                    yield _batch([np.concatenate(c) for c in out], FOUND)
-                    out, held = [[] for _ in range(6)], 0
+                    yield batch()
+                    uids, out, held = [], [[] for _ in range(5)], 0
             if held:
-                yield _batch([np.concatenate(c) for c in out], FOUND)
+                yield batch()
+
+    return rows.mapInArrow(run, FOUND)
 
-    found = rows.select("doc_id", "uid", "text").mapInArrow(find, FOUND)
-    # written, so that both sides of the join are dealt by plain shuffles, of which a hot key's can be split
-    again = materialize(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
-    marked = materialize(found.join(again, "key", "left_semi").groupBy("doc_id", "uid").agg(F.collect_list(F.struct("place", "first", "last")).alias("anchors")), "anchors")
-    ids = marked.select("doc_id", "uid")
-    texts = copies.join(broadcast_if_small(ids), ["doc_id", "uid"], "left_semi")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cut_segments(marked: DataFrame, length: int, passage_words: int) -> DataFrame:
+    """(uid, doc_id, m, text, anchors) to segments of windows of bytes and to runs of windows of words, with hashes of their contents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
             for i in range(b.num_rows):
-                doc_id, uid, raw = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_buffer().to_pybytes()
-                unsigned, out = [[], [], []], [[], [], []]
-                for a in sorted({(x["place"], x["first"], x["last"]) for x in b.column(3)[i].as_py()}):
-                    place, first, last = a
+                uid, doc_id, m, raw = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py(), b.column(3)[i].as_buffer().to_pybytes()
+                unsigned, out, windows, found = [[], [], []], [[], [], []], [], b.column(4)[i].as_py()
+                for place, first, last in sorted((a["place"], a["first"], a["last"]) for a in found if not a["words"]):
                     low = first
                     while low <= last:
                         j = (place - low) // WIDE  # windows from place - WIDE * j - WIDE + 1 to place - WIDE * j
@@ -168,93 +236,187 @@ def dedup_substrings(docs: DataFrame, length: int = 400, keep_first: bool = True
                         unsigned[2].append(d & 0xFFFFFFFFFFFFFFFF)
                         for col, v in zip(out, (low, core_at - low, high - low + 1)):
                             col.append(v)
+                        windows.append(None)
                         low = high + 1
+                runs = sorted((a["first"], a["last"]) for a in found if a["words"])
+                if runs:
+                    hashes = word_anchors(np.frombuffer(raw, np.uint8), passage_words)[4]
+                    for first, last in runs:
+                        own = hashes[first : last + 1]
+                        d = xxhash.xxh3_128_intdigest(own.tobytes())
+                        for col, v in zip((*unsigned, *out), (0, d >> 64, d & 0xFFFFFFFFFFFFFFFF, first, 0, last - first + 1)):
+                            col.append(v)
+                        windows.append(own.view(np.int64))
                 signed = [np.array(u, np.uint64).view(np.int64) for u in unsigned]
-                yield _batch([*signed, np.full(len(out[0]), doc_id), np.full(len(out[0]), uid), *out], SEGMENTS)
+                n = len(windows)
+                yield _batch([*signed, [uid] * n, np.full(n, doc_id), np.full(n, m), *out, windows], SEGMENTS)
 
-    segments = materialize(texts.join(marked, ["doc_id", "uid"]).select("doc_id", "uid", "text", "anchors").mapInArrow(cut, SEGMENTS), "segments")
-    times = materialize(segments.groupBy("core", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at", "uid")).alias("one"), F.first("start").alias("start"), F.first("count").alias("count")), "contents")
-    per_core = times.groupBy("core").agg(F.count("*").alias("contents")).where("contents > 1")
-    border = times.join(per_core, "core").select("core", "c1", "c2", "contents", "start", "count", F.col("one.doc_id").alias("doc_id"), F.col("one.uid").alias("uid"), F.col("one.at").alias("at"))
-    wanted = border.groupBy("doc_id", "uid").agg(F.collect_list(F.struct("core", "c1", "c2", "contents", "start", "count", "at")).alias("pieces"))
+    return marked.mapInArrow(run, SEGMENTS)
 
-    # the contents of border segments: 63 bytes on both sides of the core, or less
-    pieces = texts.dropDuplicates(["doc_id", "uid"]).join(wanted, ["doc_id", "uid"]).select("doc_id", F.encode("text", "UTF-8").alias("raw"), F.explode("pieces").alias("p"))
-    size = F.col("p.count") - 1 + length
-    contents = materialize(pieces.select("p.core", "p.c1", "p.c2", "p.contents", F.struct("doc_id", "p.at").alias("place"), "p.start", "p.count", F.substring(F.col("raw"), (F.col("p.at") + 1).cast("int"), size.cast("int")).alias("content")), "borders")
+
+def match(contents: DataFrame, length: int, batch: int, width: int = WIDE) -> DataFrame:
+    """Bits of the windows of contents(core, c1, c2, doc_id, at, start, count, content) that others of the same core hold, too.
+
+    Contents of few cores are put into suffix order together. A core with more than ``batch``
+    contents is cut instead: the windows that hold width / 2 bytes more to its left, and the
+    others, become contents of their own, of longer cores, equal ones once. That goes on as long
+    as a core has so many contents, at most until a core is one whole window.
+    """
+    many = materialize(contents.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > batch).select("core"), "hot")
+    small = contents.join(broadcast_if_small(many), "core", "left_anti")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
-        def masks(group: list[tuple]) -> pa.RecordBatch:
-            n = len(group)
-            left, right = np.zeros((n, WIDE - 1), np.uint8), np.zeros((n, WIDE - 1), np.uint8)
-            for i, (_, _, _, _, _, start, _, content) in enumerate(group):
-                a, b = content[:start], content[start + length - WIDE + 1 :]
-                if a:
-                    left[i, WIDE - 1 - len(a) :] = np.frombuffer(a, np.uint8)
-                if b:
-                    right[i, : len(b)] = np.frombuffer(b, np.uint8)
-            order = sorted(range(n), key=lambda i: (group[i][3], group[i][4]))
-            places = np.empty(n, np.int64)
-            places[order] = np.arange(n)
-            get = lambda k: np.array([g[k] for g in group], np.int64)
-            some, earlier = _border_masks(get(0), left, right, get(5), get(6), places)
-            return _batch([get(0), get(1), get(2), some.view(np.int64), earlier.view(np.int64)], "core long, c1 long, c2 long, some long, earlier long")
+        def masks() -> pa.RecordBatch:
+            core, c1, c2, doc_id, at, count, content = zip(*held)
+            some, earlier = repeats(content, count, list(zip(doc_id, at)), length)
+            return _batch([core, c1, c2, some.view(np.int64), earlier.view(np.int64)], FLAGS)
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
                 if len(held) >= batch and row[0] != held[-1][0]:
-                    yield masks(held)
+                    yield masks()
                     held = []
                 held.append(row)
         if held:
-            yield masks(held)
-
-    flags = "core long, c1 long, c2 long, some long, earlier long"
-    small = contents.where(F.col("contents") <= 2 * batch).select("core", "c1", "c2", "place.doc_id", "place.at", "start", "count", "content")
-    sorted_masks = small.repartition("core").sortWithinPartitions("core").mapInArrow(sort, flags)
-    # cores with very many contents: windows are counted by two hashes of their bytes, dealt by these
-    windows = contents.where(F.col("contents") > 2 * batch).select("core", "c1", "c2", "place", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("w"), "content")
-    windows = windows.withColumn("s", F.substring(F.col("content"), F.col("w") + 1, F.lit(length))).select("core", "c1", "c2", "place", "w", F.md5("s").alias("s"))
-    counted = windows.groupBy("core", "s").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1")
-    bit = F.expr("shiftleft(1L, w)")
-    large = windows.join(counted, ["core", "s"]).groupBy("core", "c1", "c2").agg(F.bit_or(bit).alias("some"), F.bit_or(F.when(F.col("place") > F.col("least"), bit).otherwise(0)).alias("earlier"))
-    border_masks = sorted_masks.unionByName(large)
-
-    verdict = times.where("n > 1").select("core", "c1", "c2", "n", "one").join(border_masks, ["core", "c1", "c2"], "full")
-    verdict = verdict.where("n > 1 or some <> 0")
-    hits = segments.join(verdict, ["core", "c1", "c2"])
-    if keep_first:
-        mask = F.when(F.col("n").isNotNull() & (F.struct("doc_id", "at") > F.struct("one.doc_id", "one.at")), F.lit(-1).cast("long")).otherwise(F.coalesce("earlier", F.lit(0).cast("long")))
-    else:
-        mask = F.when(F.col("n").isNotNull(), F.lit(-1).cast("long")).otherwise(F.col("some"))
-    gone = hits.select("doc_id", "uid", F.struct("at", "count", mask.alias("mask")).alias("hit")).where("hit.mask <> 0").groupBy("doc_id", "uid").agg(F.collect_list("hit").alias("hits"))
-    gone = materialize(gone, "removed")
+            yield masks()
+
+    parts = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the bytes are few, the work is not
+    dealt = small.select("core", "c1", "c2", "doc_id", "at", "count", "content").repartition(parts, "core").sortWithinPartitions("core")
+    flags = dealt.mapInArrow(sort, FLAGS)
+    if width == 1 or many.isEmpty():
+        return flags
+
+    half = width // 2
+    hot = contents.join(broadcast_if_small(many), "core", "left_semi")
+    left = hot.where(F.col("start") >= half).select("*", F.lit(0).alias("i0"), F.least("count", F.col("start") - half + 1).alias("n1"), (F.col("start") - half).alias("s1"))
+    right = hot.withColumn("i0", F.greatest(F.lit(0), F.col("start") - half + 1)).where("count > i0").withColumns({"n1": F.col("count") - F.col("i0"), "s1": F.col("start") - F.col("i0")})
+    both = left.withColumn("side", F.lit(1)).unionByName(right.withColumn("side", F.lit(0)))
+    own = F.substring("content", F.col("i0") + 1, F.col("n1") - 1 + length)
+    both = both.withColumn("own", own).withColumn("longer", F.substring("own", F.col("s1") + 1, F.lit(length - half + 1)))
+    both = materialize(both.select("core", "c1", "c2", "doc_id", (F.col("at") + F.col("i0")).alias("at"), "i0", F.col("s1").alias("start"), F.col("n1").alias("count"), F.col("own").alias("content"), F.xxhash64("core", "side", "longer").alias("k0"), F.xxhash64("own").alias("k1"), F.xxhash64("own", F.lit(1)).alias("k2")), "halves")
+    least = F.min(F.struct("doc_id", "at"))
+    once = materialize(both.groupBy("k0", "k1", "k2").agg(least.alias("p"), F.count("*").alias("n"), F.first("start").alias("start"), F.first("count").alias("count"), F.first("content").alias("content")), "halves")
+    below = match(once.select(F.col("k0").alias("core"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), "p.doc_id", "p.at", "start", "count", "content"), length, batch, half)
+    known = once.select("k0", "k1", "k2", "n", "p").join(below.toDF("k0", "k1", "k2", "some", "earlier"), ["k0", "k1", "k2"])
+    back = both.select("core", "c1", "c2", "doc_id", "at", "i0", "count", "k0", "k1", "k2").join(known, ["k0", "k1", "k2"])
+    every = F.expr("shiftleft(1L, count) - 1")
+    some = F.when(F.col("n") > 1, every).otherwise(F.col("some"))
+    earlier = F.when(F.struct("doc_id", "at") > F.col("p"), every).otherwise(F.col("earlier"))
+    shifted = lambda c: F.call_function("shiftleft", c, F.col("i0"))
+    up = back.select("core", "c1", "c2", shifted(some).alias("some"), shifted(earlier).alias("earlier"))
+    return flags.unionByName(up.groupBy("core", "c1", "c2").agg(F.bit_or("some").alias("some"), F.bit_or("earlier").alias("earlier")))
+
+
+def passages(runs: DataFrame) -> DataFrame:
+    """runs(uid, m, c1, c2, windows) to passage_starts of each uid: windows of words that stand anywhere else.
+
+    Runs equal as a whole are one; the windows of these are counted apart, so that also runs that differ at an end meet.
+    """
+    contents = materialize(runs.groupBy("c1", "c2").agg(F.sum("m").alias("n"), F.first("windows").alias("windows")), "runs")
+    windows = contents.select("c1", "c2", F.explode("windows").alias("w"))
+    again = windows.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
+    some = windows.join(again, "w", "left_semi").groupBy("c1", "c2").agg(F.count("*").alias("some"))
+    starts = F.when(F.col("n") > 1, F.size("windows")).otherwise(F.coalesce("some", F.lit(0))).cast("long")
+    flagged = materialize(contents.join(some, ["c1", "c2"], "left").select("c1", "c2", starts.alias("starts")).where("starts > 0"), "flagged")
+    return runs.select("uid", "c1", "c2").join(broadcast_if_small(flagged, SMALL), ["c1", "c2"]).groupBy("uid").agg(F.sum("starts").alias("passage_starts"))
+
+
+def remove(rows: DataFrame, length: int) -> DataFrame:
+    """(doc_id, text, hits, passage_starts) to what is left of each text."""
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, spans_type = ["doc_id", "n_bytes", "kept", "spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, spans_type = [f.split()[0] for f in KEPT.split(", ")], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             for part_at in range(0, b.num_rows, 200):
                 part = b.slice(part_at, 200)
-                sizes, kept, spans = [], [], []
-                for text, hits in zip(part.column(1).cast(pa.binary()), part.column(2).to_pylist()):
-                    raw = text.as_buffer().to_pybytes()
-                    sizes.append(len(raw))
-                    if not hits:
-                        kept.append(raw)
-                        spans.append([])
-                        continue
-                    step = np.zeros(len(raw) + 1, np.int32)
-                    for h in hits:
-                        bits = np.flatnonzero((np.uint64(h["mask"] & 0xFFFFFFFFFFFFFFFF) >> np.arange(h["count"], dtype=np.uint64)) & np.uint64(1)) + h["at"]
-                        np.add.at(step, bits, 1)
-                        np.add.at(step, bits + length, -1)
+                hits, sizes, kept, spans = part.column(2), [], [], []
+                offsets, values = hits.offsets.to_numpy(), hits.values
+                at, count, mask = (values.field(f).to_numpy() for f in ("at", "count", "mask"))
+                for i, text in enumerate(part.column(1).cast(pa.binary())):
+                    raw = np.frombuffer(text.as_buffer(), np.uint8)
+                    own = slice(offsets[i], offsets[i + 1])
+                    bits = (mask[own].astype(np.uint64)[:, None] >> np.arange(WIDE, dtype=np.uint64)) & np.uint64(1)
+                    row, k = np.nonzero(bits & (np.arange(WIDE) < count[own][:, None]))
+                    first = at[own][row] + k
+                    step = np.bincount(first, minlength=len(raw) + 1) - np.bincount(first + length, minlength=len(raw) + 1)
                     out = np.cumsum(step[:-1]) > 0
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]])))
+                    sizes.append(len(raw))
                     spans.append([{"start": a, "end": z} for a, z in zip(edges[::2].tolist(), edges[1::2].tolist())])
-                    kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, spans_type)], names=names)
+                    kept.append(raw[~out].tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, spans_type), part.column(3)], names=names)
+
+    return rows.mapInArrow(run, KEPT)
+
+
+def dedup_substrings(docs: DataFrame, length: int = 400, keep_first: bool = True, passage_words: int = 51, batch: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, kept (binary), spans removed (byte ranges) and passage_starts.
+
+    A byte goes if it lies in a string of ``length`` bytes that starts anywhere else too, in
+    another document or its own; with ``keep_first`` the place of smallest document id, then
+    offset, stays. Strings are judged on the input and do not cross documents. passage_starts
+    counts the places where ``passage_words`` words start that stand in a row anywhere else too,
+    which tells of passages that have so many words in fewer bytes (0: not looked for). Null text is
+    empty; repeated rows are copies of each other, of which keep_first keeps all, as they stand at the
+    same place; null ids count as the smallest id; other columns are not read; an empty table gives no rows.
+
+    Every string is found through its anchor, so only those whose anchor repeats are looked at.
+    They are cut into segments of up to 64 windows that share a core. Segments of equal content
+    are one entry with the first of their places, which is the previous factor of the others; the
+    contents that share a core with different ones are put into suffix order, whose longest
+    previous and next factors tell the windows that match. A group of equal segments is
+    one row for each task, and a core with very many contents is split by longer cores (``match``).
+    """
+    if length < GRAM + WIDE or passage_words and passage_words <= WORD_GRAM:
+        raise ValueError(f"length must be at least {GRAM + WIDE}, passage_words above {WORD_GRAM}")
+    key = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
+    copies = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("doc_id", key.alias("uid"), "text")
 
-    done = copies.join(broadcast_if_small(gone, 500_000, F.size("hits") + 1), ["doc_id", "uid"], "left").select("doc_id", "text", "hits").mapInArrow(remove, KEPT)
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+    # written, so that both sides of the join are dealt by plain shuffles, of which a hot key's can be split
+    found = materialize(find_anchors(copies.select("uid", "text"), length, passage_words), "found")
+    again = materialize(found.groupBy("words", "key").agg(F.count("*").alias("n")).where("n > 1").select("words", "key"), "repeated")
+    marked = materialize(found.join(again, ["words", "key"], "left_semi").groupBy("uid").agg(F.collect_set(F.struct("words", "place", "first", "last")).alias("anchors")), "anchors")
+    ids = broadcast_if_small(marked.select("uid"), SMALL)
+    one = copies.join(ids, "uid", "left_semi").groupBy("uid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("m"), F.first("text").alias("text"))
+    everything = materialize(cut_segments(one.join(marked, "uid").select("uid", "doc_id", "m", "text", "anchors"), length, passage_words), "segments")
+    segments, runs = everything.where("windows is null"), everything.where("windows is not null")
+
+    times = materialize(segments.groupBy("core", "c1", "c2").agg(F.sum("m").alias("n"), F.min(F.struct("doc_id", "at", "uid")).alias("one"), F.first("start").alias("start"), F.first("count").alias("count")), "contents")
+    border = times.join(times.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core"), "core", "left_semi")
+    wanted = border.groupBy("one.uid").agg(F.collect_list(F.struct("core", "c1", "c2", "start", "count", "one.doc_id", "one.at")).alias("pieces"))  # within one text
+    texts = copies.join(broadcast_if_small(wanted.select("uid"), SMALL), "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text"))
+    # 63 bytes on both sides of the core, or less
+    pieces = texts.join(wanted, "uid").select(F.encode("text", "UTF-8").alias("raw"), F.explode("pieces").alias("p"))
+    content = F.substring("raw", (F.col("p.at") + 1).cast("int"), (F.col("p.count") - 1 + length).cast("int"))
+    contents = materialize(pieces.select("p.core", "p.c1", "p.c2", "p.doc_id", "p.at", "p.start", "p.count", content.alias("content")), "borders")
+    flags = match(contents, length, batch)
+
+    verdict = materialize(times.where("n > 1").select("core", "c1", "c2", "n", "one").join(flags, ["core", "c1", "c2"], "full").where("n > 1 or some <> 0"), "verdict")
+    hits = (segments if keep_first else segments.where("m = 1")).drop("windows", "start", "m").join(verdict, ["core", "c1", "c2"])
+    every = F.lit(-1).cast("long")
+    if keep_first:
+        mask = F.when(F.col("n").isNotNull() & (F.struct("doc_id", "at") > F.struct("one.doc_id", "one.at")), every).otherwise(F.coalesce("earlier", F.lit(0).cast("long")))
+    else:
+        mask = F.when(F.col("n").isNotNull(), every).otherwise(F.col("some"))
+    gone = hits.select("uid", F.struct(F.col("at").alias("at"), F.col("count").alias("count"), mask.alias("mask")).alias("hit")).where("hit.mask <> 0").groupBy("uid").agg(F.collect_list("hit").alias("hits"))  # within one text
+    told = materialize(gone.join(passages(runs), "uid", "full"), "removed")
+
+    # of a text that is there more than once all goes, but for the first place if that stays; texts of which nothing goes are not moved
+    several = materialize(everything.where("m > 1").select("uid", F.col("doc_id").alias("first_id")).distinct(), "several")
+    known = copies.join(broadcast_if_small(several, SMALL), "uid", "left")
+    later = F.col("first_id").isNotNull() & (F.octet_length("text") >= length) & ((F.col("doc_id") > F.col("first_id")) if keep_first else F.lit(True))
+    hit = broadcast_if_small(told.where("hits is not null").select("uid", F.lit(True).alias("hit")), SMALL)
+    known = known.withColumn("all_gone", F.coalesce(later, F.lit(False))).join(hit, "uid", "left")
+    some = known.where("hit and not all_gone").drop("hit").join(told, "uid")
+    rest = known.where("hit is null or all_gone")
+    starts = told.where("hits is null" if not keep_first else "passage_starts is not null").select("uid", "passage_starts")
+    rest = rest.join(broadcast_if_small(starts, SMALL), "uid", "left")
+    span = "array<struct<start:bigint,end:bigint>>"
+    size = F.octet_length("text").cast("long")
+    spans = F.when(F.col("all_gone"), F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("end"))).cast(span)).otherwise(F.array().cast(span))
+    zero = F.coalesce("passage_starts", F.lit(0).cast("long")).alias("passage_starts")
+    whole = rest.select("doc_id", size.alias("n_bytes"), F.when(F.col("all_gone"), F.lit(b"")).otherwise(F.encode("text", "UTF-8")).alias("kept"), spans.alias("spans"), zero)
+    done = remove(some.select("doc_id", "text", "hits", zero), length).unionByName(whole)
+    return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
