@@ -20,6 +20,7 @@ MARK = "▁"  # starts a word in the vocabulary's pieces
 
 
 BITS = 20  # of a slot's number in the table of pieces
+LONG = 256  # longer words are handled one by one, all positions together
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -82,14 +83,15 @@ class Pieces:
                 piece = piece[rows]
                 logp = self.logp[piece]
                 if length == 1 and (piece < 0).any():
-                    unknown, where = np.unique(points[piece < 0, i], return_inverse=True)
-                    cost = np.array([sum(self.logp[self.byte[b]] for b in chr(c).encode("utf-8", "surrogatepass")) for c in unknown.tolist()])
-                    logp[piece < 0] = cost[where]
+                    logp[piece < 0] = self._unknown(points[piece < 0, i])
                 arcs.append((i, i + length, rows, piece, logp))
         return arcs
 
     def forward(self, points: np.ndarray, arcs: list | None = None) -> np.ndarray:
         """Log of the sum over all segmentations of a prefix, for words (rows) of one length."""
+        if points.shape[1] > LONG:
+            found = [(len(word), self._arcs_of(word)) for word in points]
+            return np.array([self._walk(n, starts, ends, logp) for n, (starts, ends, _, logp) in found]).T
         alpha = np.full((points.shape[1] + 1, len(points)), -np.inf)
         alpha[0] = 0
         for i, j, rows, _, logp in arcs if arcs is not None else self._arcs(points):
@@ -98,6 +100,15 @@ class Pieces:
 
     def expect(self, points: np.ndarray, weights: np.ndarray, totals: np.ndarray) -> None:
         """Add to totals how often the words' segmentations are expected to use each piece."""
+        if points.shape[1] > LONG:
+            for word, weight in zip(points, weights):
+                n, (starts, ends, piece, logp) = len(word), self._arcs_of(word)
+                alpha, beta = self._walk(n, starts, ends, logp), self._walk(n, n - ends, n - starts, logp)[::-1]
+                share = np.exp(alpha[starts] + logp + beta[ends] - alpha[-1]) * weight
+                used = piece >= 0
+                np.add.at(totals, piece[used], share[used])
+                self._add_bytes(word[starts[~used]], share[~used], totals)
+            return
         arcs = self._arcs(points)
         alpha = self.forward(points, arcs)
         beta = np.full(alpha.shape, -np.inf)
@@ -109,9 +120,47 @@ class Pieces:
             used = piece >= 0
             np.add.at(totals, piece[used], share[used])
             if j == i + 1 and not used.all():
-                for c, s in zip(points[rows[~used], i].tolist(), share[~used].tolist()):
-                    for b in chr(c).encode("utf-8", "surrogatepass"):
-                        totals[self.byte[b]] += s
+                self._add_bytes(points[rows[~used], i], share[~used], totals)
+
+    def _add_bytes(self, points: np.ndarray, shares: np.ndarray, totals: np.ndarray) -> None:
+        for c, s in zip(points.tolist(), shares.tolist()):
+            for b in chr(c).encode("utf-8", "surrogatepass"):
+                totals[self.byte[b]] += s
+
+    def _unknown(self, points: np.ndarray) -> np.ndarray:
+        """Log probabilities of code points that are no piece: of their bytes."""
+        unknown, where = np.unique(points, return_inverse=True)
+        return np.array([sum(self.logp[self.byte[b]] for b in chr(c).encode("utf-8", "surrogatepass")) for c in unknown.tolist()])[where]
+
+    def _arcs_of(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All arcs of one long word: starts, ends, pieces or -1, log probabilities; looked up by length, for all starts together."""
+        codes, n = word.astype(np.uint64) + np.uint64(1), len(word)
+        h, found = codes, []
+        for length in range(1, min(self.longest, n) + 1):
+            if length > 1:
+                h = h[:-1] * PRIME + codes[length - 1 :]
+            piece = self.find(h)
+            at = np.flatnonzero(piece >= 0) if length > 1 else np.arange(n)
+            found.append((at, at + length, piece[at]))
+        starts, ends, piece = (np.concatenate(c) for c in zip(*found))
+        logp = self.logp[piece]
+        if (piece < 0).any():
+            logp[piece < 0] = self._unknown(word[starts[piece < 0]])
+        return starts, ends, piece, logp
+
+    @staticmethod
+    def _walk(n: int, starts: np.ndarray, ends: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """The forward recursion over one long word, position by position."""
+        order = np.argsort(ends, kind="stable")
+        arcs, k, alpha = list(zip(ends[order].tolist(), starts[order].tolist(), logp[order].tolist())), 0, [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            terms = []
+            while k < len(arcs) and arcs[k][0] == j:
+                terms.append(alpha[arcs[k][1]] + arcs[k][2])
+                k += 1
+            most = max(terms)
+            alpha[j] = most + math.log(sum(math.exp(t - most) for t in terms))
+        return np.array(alpha)
 
     @staticmethod
     def by_length(words: list[str], most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -211,9 +260,9 @@ def fit_pieces(words: DataFrame, pieces: list[str], rounds: int = 2, prior: floa
 
 
 def word_scores(words: DataFrame, pieces: list[str], logp: np.ndarray, total: int, unseen: float) -> DataFrame:
-    """Adds ``lattice``: the log10 marginal probability of each word over all its segmentations.
+    """Adds ``lattice``, the log10 marginal probability of each word over all its segmentations, and ``mixed``.
 
-    The lattice has one more arc for a word seen in training, the word as a whole, which weighs
+    For ``mixed`` the lattice has one more arc for a word seen in training, the word as a whole, which weighs
     (1 - unseen) * c / total; segmentations into the vocabulary's pieces weigh ``unseen``.
     """
     shared = words.sparkSession.sparkContext.broadcast(logp)
@@ -226,10 +275,10 @@ def word_scores(words: DataFrame, pieces: list[str], logp: np.ndarray, total: in
                 scores[rows] = model.forward(points)[-1]
             with np.errstate(divide="ignore"):
                 whole = np.log(batch.column(1).to_numpy() * ((1 - unseen) / max(total, 1)))
-            scores = np.logaddexp(scores + math.log(unseen), whole) / math.log(10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=["word", "c", "n", "lattice"])
+            mixed = np.logaddexp(scores + math.log(unseen), whole)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores / math.log(10), pa.float64()), pa.array(mixed / math.log(10), pa.float64())], names=["word", "c", "n", "lattice", "mixed"])
 
-    return words.select("word", "c", "n").mapInArrow(run, "word string, c long, n long, lattice double")
+    return words.select("word", "c", "n").mapInArrow(run, "word string, c long, n long, lattice double, mixed double")
 
 
 def score(docs: DataFrame, learn: Column, vocabulary_path: str, head_words: int = 60_000, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,12 +287,14 @@ def score(docs: DataFrame, learn: Column, vocabulary_path: str, head_words: int
     Tokens are words (A-Z lower-cased) and one end. ``base_score`` is the smoothed unigram's.
     ``score`` is the lattice's: each word's probability is the sum, over all ways to cut it into
     pieces of the given vocabulary, of the pieces' probabilities (bytes for unknown code points),
-    which are learned from all training words, and of its own share of these as a whole. Whole
-    words and pieces are weighed by the share of training tokens seen once only (Good-Turing).
-    The end has its smoothed unigram share, and the words the rest. Returns doc_id, n_tokens, n_known, train_tokens, base_score, score.
+    which are learned from all training words.
+    The end has its smoothed unigram share, and the words the rest. ``mixed_score`` adds each word's
+    own share of the training words as a whole; whole words and pieces are weighed by the share of
+    training tokens seen once only (Good-Turing). ``mean_mixed`` is mixed_score / n_tokens. Returns
+    doc_id, n_tokens, n_known, train_tokens, base_score, score, mixed_score, mean_mixed.
 
-    Null text is empty (the end alone); rows of equal id and text give one row; null ids are one
-    id; other columns are not read; an empty table gives no rows.
+    Null text is empty (the end alone); every row gives one row, null ids stay null, repeated rows
+    are counted and scored alike; other columns are not read; an empty table gives no rows.
 
     Counts and scores of the at most ``head_words`` most frequent words are sent to the tasks, a
     bound that does not grow; all other words are joined by shuffling, so frequent words never
@@ -270,13 +321,13 @@ def score(docs: DataFrame, learn: Column, vocabulary_path: str, head_words: int
         if held + r["k"] > head_words:
             break
         held, least = held + r["k"], r["bits"]
-    head = {r["word"].encode(): (r["c"] > 0, base_of(r["c"]), r["lattice"] + spread) for r in table.where(F.length(F.bin("n")) >= least).toLocalIterator()}
+    head = {r["word"].encode(): (r["c"] > 0, base_of(r["c"]), r["lattice"] + spread, r["mixed"] + spread) for r in table.where(F.length(F.bin("n")) >= least).toLocalIterator()}
     shared = spark.sparkContext.broadcast(head)
-    schema = "word string, doc_id long, h long, times long, n_tokens long, n_known long, base double, lattice double"
+    schema = "word string, doc_id long, h long, times long, n_tokens long, n_known long, base double, lattice double, mixed double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words = shared.value
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -284,7 +335,7 @@ def score(docs: DataFrame, learn: Column, vocabulary_path: str, head_words: int
                 part = batch.slice(at, 500)
                 for doc_id, text, h in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()), part.column(2).to_pylist()):
                     seen = Counter(words_of(text.as_py()))
-                    n, known, base, lattice, tail = 1, int(ends > 0), end_base, end_base, []
+                    n, known, base, lattice, mixed, tail = 1, int(ends > 0), end_base, end_base, end_base, []
                     for word, k in seen.items():
                         n += k
                         found = known_words.get(word)
@@ -294,13 +345,14 @@ def score(docs: DataFrame, learn: Column, vocabulary_path: str, head_words: int
                             known += k * found[0]
                             base += k * found[1]
                             lattice += k * found[2]
-                    for col, values in zip(cols, ([f" {doc_id} {h}".encode(), *(w for w, _ in tail)], [doc_id] * (len(tail) + 1), [h] * (len(tail) + 1), [0, *(k for _, k in tail)], [n] + [0] * len(tail), [known] + [0] * len(tail), [base] + [0.0] * len(tail), [lattice] + [0.0] * len(tail))):
+                            mixed += k * found[3]
+                    for col, values in zip(cols, ([f" {doc_id} {h}".encode(), *(w for w, _ in tail)], [doc_id] * (len(tail) + 1), [h] * (len(tail) + 1), [0, *(k for _, k in tail)], [n] + [0] * len(tail), [known] + [0] * len(tail), [base] + [0.0] * len(tail), [lattice] + [0.0] * len(tail), [mixed] + [0.0] * len(tail))):
                         col += values
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()).cast(pa.string()), *(pa.array(c, t) for c, t in zip(cols[1:], types[1:]))], names=names)
 
     # a document's own row has a key that no word has: rows of documents spread like those of words
     split = rows.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
-    rest = table.where(F.length(F.bin("n")) < least).select("word", "c", F.col("lattice").alias("w"))
+    rest = table.where(F.length(F.bin("n")) < least).select("word", "c", F.col("lattice").alias("w"), F.col("mixed").alias("v"))
     met = split.join(rest, "word", "left")
     base = F.log10((F.col("c") + 0.5) / (tokens + 0.5 * (distinct + 1)))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
@@ -309,7 +361,13 @@ def score(docs: DataFrame, learn: Column, vocabulary_path: str, head_words: int
         (F.sum("n_known") + F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0))).alias("n_known"),
         (F.sum("base") + F.sum(zero(F.col("times") * base))).alias("base_score"),
         (F.sum("lattice") + F.sum(zero(F.col("times") * (F.col("w") + spread)))).alias("score"),
+        (F.sum("mixed") + F.sum(zero(F.col("times") * (F.col("v") + spread)))).alias("mixed_score"),
         F.count_if(F.col("n_tokens") > 0).alias("rows"),
     )
-    share = lambda c: (F.col(c) / F.col("rows"))
-    return summed.select("doc_id", share("n_tokens").cast("long").alias("n_tokens"), share("n_known").cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), share("base_score").alias("base_score"), share("score").alias("score"))
+    # a row for each repeated row, in two steps of at most 65,536
+    step = F.lit(1 << 16)
+    blocks = summed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / step))))
+    each = blocks.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.least(step.cast("long"), F.col("rows") - F.col("block") * step))))
+    share = lambda c: F.col(c) / F.col("rows")
+    whole = lambda c: share(c).cast("long").alias(c)
+    return each.select("doc_id", whole("n_tokens"), whole("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), share("base_score").alias("base_score"), share("score").alias("score"), share("mixed_score").alias("mixed_score"), (F.col("mixed_score") / F.col("n_tokens")).alias("mean_mixed"))
