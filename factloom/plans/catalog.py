@@ -60,7 +60,7 @@ PATTERNS_SQL = " UNION ALL ".join(
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """The documents and the invented labelled ones, whose ids are negative."""
-    return R.record(spark, d, "texts")
+    return S.spread(R.record(spark, d, "texts"))
 
 
 @query(PATTERNS_SQL, "texts")

@@ -14,6 +14,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out anew if its partitions are no more than the cores, else df itself.
+
+    So few are a small table: even then a file of one row group is read by one task, however many
+    partitions there are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def _confidence(key: str) -> F.Column:
     return (F.col(key) * 37 % 101) / 100.0
 
