@@ -82,7 +82,7 @@ def candidate_dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def review_flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents to review cases: patterns, gate, first-wins, priority, the best of each bucket."""
-    good = extract.gate(extract.all_matches(_texts(spark, d))).where("reject_reason is null")
+    good = extract.gate(extract.all_matches(S.spread(S.documents(spark, d).select("doc_id", "text")))).where("reject_reason is null")
     once = extract.first_wins(good, [F.col("doc_id"), F.col("fact_type"), F.lower("value_norm")], [F.col("ord")])
     rows = once.select(F.col("doc_id").alias("entity_id"), F.col("ord").alias("case_id"), "fact_type", F.col("value_norm").alias("value"), "confidence", K.priority_strict(F.col("confidence")).alias("priority"), F.lit(None).cast("timestamp").alias("created_at"))
     return K.bucket_top_k(rows).select("entity_id", "fact_type", "value", "confidence", "priority", "bucket", "rank")

@@ -73,6 +73,17 @@ def test_labelled_tables(spark):
     assert labelled.extract_labelled(docs.where("doc_id > 4"), labelled.INVOICE).count() == 0
 
 
+def test_cards(spark):
+    card = "Personalausweis\nGröße: 172 cm\nAugenfarbe: Blau\nCAN: 12O4I6\nAnschrift: Am Weg 3\nGeburtsort: Ulm"
+    permit = "Art des Aufenthaltstitels: blaue Karte EU\nAusstellungsdatum: 01.02.2020\nI<UTOD231458907<<<<<<<<<<<<<<<\n7408122F1204159UTO<<<<<<<<<<<6\nERIKSSON<<ANNA<MARIA<<<<<<<<<<"
+    docs = spark.createDataFrame([(1, card), (2, permit), (3, "Größe: 30 cm"), (4, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["fact_type"]): (r["value"], r["confidence"], r["source"]) for r in labelled.card_facts(docs, "id_card").collect()}
+    assert got[1, "height"] == ("172cm", 0.80, "label") and got[1, "eye_color"][0] == "blue" and got[1, "can"][0] == "120416" and got[3, "height"] == ("30cm", 0.30, "label")
+    found = {r["fact_type"]: (r["value"], r["confidence"]) for r in labelled.card_facts(docs, "residence_permit").where("doc_id = 2").collect()}
+    assert found["permit_type"] == ("eu_blue_card", 0.80) and found["permit_number"] == ("D23145890", 0.95) and found["surname"] == ("ERIKSSON", 0.95) and found["date_of_issue"] == ("2020-02-01", 0.80)
+    assert (found["date_of_birth"][0], found["date_of_expiry"][0]) == ("1974-08-12", "2012-04-15")
+
+
 def test_resolution(spark):
     rows = [("one", 1, "city", "Ulm", 0.5, 1), ("hard", 1, "iban", "DE1", 0.5, 1), ("hard", 2, "iban", "DE2", 0.9, 2), ("soft", 1, "city", "Berlin", 0.5, 1), ("soft", 2, "city", "berlin", 0.6, 2), ("apart", 1, "city", "Ulm", 0.5, 1), ("apart", 2, "city", "Bonn", 0.5, 2), ("none", 1, "city", "Ulm", 0.5, 1), ("none", 2, "job", "Ulm", 0.5, 2)]
     c = spark.createDataFrame(rows, "group_id string, entity_id long, fact_type string, value string, confidence double, ord long")
