@@ -10,6 +10,7 @@ from factloom.llm.graph import broadcast_if_small
 
 NULL = "(null)"
 OWN = ("mix_epoch", "mix_tokens", "mix_take")
+LEVELS = 3  # of 256 parts each
 
 
 def words(text: Column) -> Column:
@@ -59,9 +60,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     (null or empty texts) go with the whole epochs and the part before the prefix's end. Rows of equal id
     follow in text order. All columns are kept, ones named like the three are replaced; an empty table gives no rows.
 
-    Words are counted once, in a written copy of the rows. Only counts are shuffled, summed before: per leaf, then per leaf and 4096th of the order. The
-    one 4096th of each leaf in which the prefix ends is ordered within itself; a hot leaf never
-    meets in one task. The other rows never move while the
+    Words are counted once, in a written copy of the rows. Only counts are shuffled, summed before: per leaf, then per leaf and
+    256th of the order, then 256th of the one in which the prefix ends, and so on for LEVELS steps; what is ordered
+    is that last part of each leaf, one of 256^LEVELS, so a hot leaf never meets in one task. The other rows never move while the
     leaves, which are counted, are at most 100,000; beyond that Spark joins them by shuffling.
     """
     n = tokens if tokens is not None else words(F.coalesce(F.col(text_col), F.lit("")))
@@ -75,13 +76,19 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: dict[str, dict[str,
     plan = plan.withColumn("__rest", F.col("budget") - F.col("__whole") * F.col("tokens")).drop("tokens", "budget")
     plan = broadcast_if_small(materialize(plan, "leaves"), 100_000)
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(NULL))))
-    dealt = rows.join(plan, names).withColumn("__order", order).withColumn("__part", F.substring("__order", 1, 3))
-
-    parts = dealt.where("__rest > 0").groupBy(*names, "__part", "__rest").agg(F.sum("__n").alias("in_part"))
-    up_to = F.sum("in_part").over(Window.partitionBy(*names).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0))
-    ends = parts.withColumn("up_to", up_to).where(F.col("up_to") >= F.col("__rest")).groupBy(*names).agg(F.min_by(F.struct("__part", (F.col("up_to") - F.col("in_part")).alias("before")), "__part").alias("e"))
-    ends = ends.select(*names, F.col("e.__part").alias("__end"), F.col("e.before").alias("__before"))
-    ends = broadcast_if_small(materialize(ends, "ends"), 100_000)
+    dealt = rows.join(plan, names).withColumn("__order", order).withColumn("__part", F.substring("__order", 1, 2 * LEVELS))
+
+    # where each leaf's prefix ends: the two hex digits of the order in which it does, then the next two, and so on
+    held, ends = dealt.where("__rest > 0").select(*names, "__order", "__n", "__rest"), None
+    for level in range(LEVELS):
+        parts = held.withColumn("__digits", F.substring("__order", 2 * level + 1, 2)).groupBy(*names, "__digits", "__rest").agg(F.sum("__n").alias("in_part"))
+        up_to = F.sum("in_part").over(Window.partitionBy(*names).orderBy("__digits").rowsBetween(Window.unboundedPreceding, 0))
+        found = parts.withColumn("up_to", up_to).where(F.col("up_to") >= F.col("__rest")).groupBy(*names).agg(F.min_by(F.struct("__digits", (F.col("up_to") - F.col("in_part")).alias("before")), "__digits").alias("e"))
+        found = found.select(*names, F.col("e.__digits").alias("__at"), F.col("e.before").alias("__more"))
+        if ends is not None:
+            found = found.join(ends, names).withColumns({"__at": F.concat("__end", "__at"), "__more": F.col("__before") + F.col("__more")}).drop("__end", "__before")
+        ends = broadcast_if_small(materialize(found.toDF(*names, "__end", "__before"), "ends"), 100_000)
+        held = dealt.where("__rest > 0").join(ends, names).where(F.substring("__order", 1, 2 * level + 2) == F.col("__end")).select(*names, "__order", "__n", (F.col("__rest") - F.col("__before")).alias("__rest"))
     dealt = dealt.join(ends, names, "left")
 
     keep = [c for c in docs.columns if c not in OWN]
