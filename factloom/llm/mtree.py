@@ -104,7 +104,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, block: int = 8192, q
 
     vector_col holds arrays of long; rows whose vector or id is null take no part, vectors of other
     lengths than the query's are no candidates, equal vectors tie and go to smaller ids, repeated
-    rows count once each, a query without candidates gives no rows, as does an empty table.
+    rows count once each as candidates and once in all as queries, a query without candidates gives no rows, as does an empty table.
     Returns query_id, rank from 1, vec_id, score. Exact: every block of at most about ``block``
     rows, dealt by a hash of the id, is an M-tree that is built once; each meets every block of queries, and
     gives k rows a query, so that no task holds more than a block and the last step reads k rows
@@ -123,7 +123,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, block: int = 8192, q
 
     shape = "block long, dim int, ids binary, vectors binary"
     data = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block", "dim").applyInPandas(pages, shape)
-    asking = rows.where("asks").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asks))).groupBy("block", "dim").applyInPandas(pages, shape)
+    asking = rows.where("asks").dropDuplicates(["vec_id", "vector"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asks))).groupBy("block", "dim").applyInPandas(pages, shape)
     asking = asking.select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
