@@ -100,7 +100,7 @@ def _batch(columns: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[f for f, _ in fields])
 
 
-def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: int = 3, rows_each: int = 256, most_ranges: int = 65_536) -> DataFrame:
+def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: int = 3, rows_each: int = 64, most_ranges: int = 65_536) -> DataFrame:
     """Fingerprints of each whole text, of its edited text, and how alike they and the next text are.
 
     The next document is the one that follows in descending id order (after the last: the first;
