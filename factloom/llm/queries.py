@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import fingerprint, langid, lattice, licenses, line_dedup, minhash, mixing, mtree, packing, suffix_dedup
 from factloom.llm.common import load
+from factloom.sources.tables import spread
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,7 +39,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(load(spark, sf_dir, "documents"))
+    found = licenses.scan(spread(load(spark, sf_dir, "documents").select("doc_id", "text")))
     places = F.col("base_places")
     return found.select("doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
@@ -47,7 +48,7 @@ def op4_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     held = langid.held_out(F.col("doc_id"), 5, 1)
     found = lattice.score(docs, ~held, tokenizer_path("piece_bpe_32k.model"))
-    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score", "mean_mixed")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    pieces = packing.pack(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
 
 
