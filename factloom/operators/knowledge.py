@@ -64,15 +64,6 @@ def completeness(facts: DataFrame, schema: list[str]) -> DataFrame:
     return got.select("entity_id", F.size("covered").alias("n_covered"), F.round(F.size("covered") / float(len(schema)), 4).alias("completeness"), F.array_except(wanted, "covered").alias("missing"))
 
 
-def resolve(facts: DataFrame, group: str, cluster: str, similarity: Column, least: float = 0.65) -> DataFrame:
-    """Pairs of clusters of a group over shared fields: score, signal; the ones below ``least`` stay apart."""
-    a, b = facts.alias("a"), facts.alias("b")
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.field_name") == F.col("b.field_name")) & (F.col(f"a.{cluster}") < F.col(f"b.{cluster}")))
-    score = F.when(similarity < 0.6, similarity / 2).otherwise(similarity)
-    signal = F.when(score >= 0.9, "STRONG").when(score >= 0.7, "MODERATE").when(score >= 0.4, "WEAK").otherwise("UNKNOWN")
-    return pairs.select(F.col(f"a.{group}").alias("group_id"), F.col("a.field_name").alias("field_name"), F.col(f"a.{cluster}").alias("left_id"), F.col(f"b.{cluster}").alias("right_id"), score.alias("score"), signal.alias("signal"), (score >= least).alias("merged"))
-
-
 def conflicts(facts: DataFrame, keys: list[str]) -> DataFrame:
     """Fields of an entity with several different values, and the facts that hold them."""
     return facts.groupBy(*keys).agg(F.count_distinct("value").alias("n_values"), F.array_sort(F.collect_set("fact_id")).alias("fact_ids")).where("n_values > 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import chat, dashboards, forms
+from factloom.operators import chat, dashboards, forms, knowledge as K
 from factloom.plans.catalog import query
 from factloom.sources.records import record
 
@@ -195,3 +195,32 @@ def form_field_rules(spark: SparkSession, d: str) -> DataFrame:
 )
 def chat_intents(spark: SparkSession, d: str) -> DataFrame:
     return record(spark, d, "question_rows").select("question_id", chat.intent(F.col("text")).alias("intent"))
+
+
+@query(
+    "SELECT fact_id, CASE WHEN NOT (fact_id % 97 BETWEEN 5 AND 90) THEN 'FAILED' WHEN field_name = 'hobby' THEN 'WARNING' ELSE 'PASSED' END AS status FROM fact_rows",
+    "fact_rows",
+)
+def validation_status(spark: SparkSession, d: str) -> DataFrame:
+    """Each fact by two rules: a failed error outweighs a failed warning."""
+    f = record(spark, d, "fact_rows")
+    amounts = K.validate(f.select("fact_id", F.lit("amount").alias("fact_type"), (F.col("fact_id") % 97).cast("string").alias("value")), [{"rule_id": "range", "kind": "range", "fact_type": "amount", "least": 5.0, "most": 90.0}])
+    names = K.validate(f.select("fact_id", F.lit("name").alias("fact_type"), F.col("field_name").alias("value")), [{"rule_id": "format", "kind": "format", "fact_type": "name", "regex": "(?!hobby).*", "severity": "WARNING"}])
+    return K.rollup(amounts.unionByName(names), ["fact_id"])
+
+
+@query(
+    """WITH t(field_id, required) AS (VALUES ('surname', true), ('address', true), ('email', false)), p AS (
+      SELECT e.entity_id, required, v.value FROM entity_rows e CROSS JOIN t LEFT JOIN profile_rows v ON v.entity_id = e.entity_id AND v.field_name = t.field_id
+    ), m AS (SELECT entity_id, count(*) FILTER (required AND value IS NULL) AS missing FROM p GROUP BY entity_id)
+    SELECT entity_id, missing, CASE WHEN missing = 0 THEN 'submitted' ELSE 'draft' END AS state FROM m""",
+    "entity_rows",
+    "profile_rows",
+)
+def form_submissions(spark: SparkSession, d: str) -> DataFrame:
+    """A form of three fields for each entity: it is submitted once its required ones are filled."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field_id"), F.lit(required).alias("required")) for f, required in (("surname", True), ("address", True), ("email", False))])
+    template = record(spark, d, "entity_rows").select("entity_id", F.inline(fields))
+    mapping = spark.createDataFrame([(f, f) for f in ("surname", "address", "email")], "field_id string, fact_type string")
+    facts = record(spark, d, "profile_rows").select("entity_id", F.col("field_name").alias("fact_type"), "value")
+    return forms.submissions(K.form_preview(template, mapping, facts))
