@@ -45,7 +45,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     return LanguageModel(tuple((r["lang"], b"\n".join(parts[r["lang"]])[:dictionary_bytes]) for r in found if r["lang"] in parts))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _coders(dictionaries: tuple[tuple[str, bytes], ...], level: int) -> tuple:
     """A coder for each language, built once in a worker process."""
     import zstandard as zs

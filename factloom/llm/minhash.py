@@ -23,7 +23,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -98,6 +98,7 @@ def sign(rows: DataFrame, size: int) -> DataFrame:
                 bands.append(signer.bands(minima) if len(x) else [])
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sigs, longs), pa.array(bands, longs)], names=[c.split()[0] for c in SIGNED.split(", ")])
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, SIGNED)
 
@@ -170,6 +171,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Dat
                 both = int((held[np.minimum(at, len(held) - 1)] == x).sum()) if len(held) else 0
                 good.append(100 * both >= threshold * (len(x) + len(held) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return met.mapInArrow(run, "u long, v long").distinct()
 
@@ -231,17 +233,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, slack:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(root, "doc_id")).alias("component_id"), F.coalesce(F.coalesce(root, "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one row left of each group of near-duplicates: that of the smallest id.
 
-    Repeated rows of one id leave one row; rows of null id all stay; columns are kept as they are.
+    Repeated rows of one id and text leave one row. Rows of one id and different texts are different
+    documents: all but one of these are known by a large number made from id and text, so that they give way to
+    other ids. Rows of null id all stay, rows without words go only as repeated rows; columns are kept as they are; an empty table gives no rows.
     """
-    gone = near_duplicates(docs, id_col=id_col, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(broadcast_if_small(gone), docs[id_col] == F.col("__gone"), "left_anti")
-    again = left.groupBy(id_col).agg(F.count("*").alias("__n")).where(F.col("__n") > 1).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__again"))
+    key = F.xxhash64(text_col)
+    clash = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(key).alias("__first"), F.max(key).alias("__last")).where("__first <> __last").select("__id", "__first")
+    clash = broadcast_if_small(materialize(clash, "clash"))
+    own = F.col(id_col).cast("long")
+    other = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(id_col, key), 2)
+    known = docs.join(clash, docs[id_col] == F.col("__id"), "left").withColumn("__node", F.when(F.col("__first").isNull() | (key == F.col("__first")), own).otherwise(other)).drop("__id", "__first")
+    gone = near_duplicates(known, id_col="__node", text_col=text_col, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    left = known.join(broadcast_if_small(gone), F.col("__node") == F.col("__gone"), "left_anti")
+    again = left.where("__node is not null").groupBy(F.col("__node").alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again")
+    again = broadcast_if_small(materialize(again, "again"))
     if again.isEmpty():
-        return left
-    several = left.join(again, left[id_col] == F.col("__again")).drop("__again")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(*[F.col(c) for c in docs.columns if c != id_col]))
-    one = several.withColumn("__r", rank).where(F.col("__r") == 1).drop("__r")
-    return left.join(again, left[id_col] == F.col("__again"), "left_anti").unionByName(one)
+        return left.select(*docs.columns)
+    rank = F.row_number().over(Window.partitionBy("__node").orderBy(*[F.col(c) for c in docs.columns if c != id_col]))
+    one = left.join(again, F.col("__node") == F.col("__again")).withColumn("__r", rank).where("__r = 1")
+    return left.join(again, F.col("__node") == F.col("__again"), "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))

@@ -26,7 +26,7 @@ class ChunkEncoder:
     old generation, from which chunks still in use are taken over.
     """
 
-    def __init__(self, path: str, cache_size: int = 120_000):
+    def __init__(self, path: str, cache_size: int = 50_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -208,5 +208,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_length: int
                     yield out()
         packer.flush(True)
         yield out()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
