@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import fingerprint, langid, lattice, licenses, line_dedup, minhash, mixing, mtree, packing, suffix_dedup
+from factloom.llm import fim, fingerprint, langid, lattice, lexical, licenses, line_dedup, minhash, mixing, mtree, packing, pieces, suffix_dedup
 from factloom.llm.common import load
 from factloom.sources.tables import spread
 
@@ -84,6 +84,63 @@ def op9_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    ids = spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", pieces.encode(F.col("text"), path).alias("ids"))
+    found = ids.withColumn("decoded", pieces.decode(F.col("ids"), path))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical.rank(docs, load(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(spread(load(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+), c AS (
+  SELECT count(*) AS n_all, CAST(sum(len(terms)) AS BIGINT) AS l_all FROM d WHERE len(terms) > 0
+), p AS (
+  SELECT doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term, n_all
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_all) // l_all)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || doc_id) AS h FROM documents
+), k AS (
+  SELECT *, len(units) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) for i in range(4)] AS k FROM d
+), c AS (
+  SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR k[3] % 100 >= 90 THEN 'plain'
+      WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k
+), p AS (
+  SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:], '') AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
@@ -233,5 +290,8 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing,
     "op9_mtree_top_k": op9_mtree_top_k,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op3_license_scan": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op9_mtree_top_k": OP9_SQL}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op3_license_scan": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op9_mtree_top_k": OP9_SQL, "op12_lexical_search": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
