@@ -8,6 +8,7 @@ the first that holds decides, and its place in the list and its name stay with t
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -54,7 +55,7 @@ def _families_of_words() -> dict[str, int]:
 def hint_bits(text: Column) -> Column:
     """The families of which a word stands in a lower-case text, as bits; null and empty texts have none."""
     words = _families_of_words()
-    known = F.create_map(*[F.lit(x) for item in words.items() for x in item])
+    known = F.from_json(F.lit(json.dumps(words)), "map<string,bigint>")  # one literal in the plan, not 1,200
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({trie_pattern(list(words))}))"), F.lit(1)))
     return F.coalesce(F.aggregate(found, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(known[w].cast("long"))), F.lit(0))
 
@@ -293,6 +294,11 @@ def first_rule(rules: list[Rule]) -> Column:
     return out
 
 
+def _held(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with further columns, worked out once each: the optimizer doesn't write them out again where later columns or filters use them."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def decide(candidates: DataFrame, as_of: Column) -> DataFrame:
     """Adds field_name, field_rule, date_rule (null for other candidates), is_fact, fact_rule and reject_reason (null for facts).
 
@@ -306,13 +312,14 @@ def decide(candidates: DataFrame, as_of: Column) -> DataFrame:
     target = F.lower(F.trim(F.coalesce(metadata["target_field"], F.lit(""))))
     field = F.when(F.coalesce(metadata["target_field"], F.lit("")) != "", target).otherwise(F.lower(F.trim(text("fact_type"))))
     context = context_text(text("fact_type"), text("raw_value"), text("normalized_value"), text("source_stage"), metadata)
-    rows = candidates.withColumns({"__value": value, "__context": context, "__field": field, "__target": target, "__day": F.coalesce(knowledge_date(text("normalized_value")), knowledge_date(text("raw_value")))})
-    rows = rows.withColumns({"__in_value": hint_bits(F.lower("__value")), "__in_context": hint_bits(F.col("__context"))})
+    new = ("field_name", "field_rule", "date_rule", "is_fact", "fact_rule", "reject_reason")
+    rows = _held(candidates.drop(*new), __value=value, __context=context, __field=field, __target=target, __day=F.coalesce(knowledge_date(text("normalized_value")), knowledge_date(text("raw_value"))))
+    rows = _held(rows, __in_value=hint_bits(F.lower("__value")), __in_context=hint_bits(F.col("__context")))
     s = Signals(F.col("__value"), F.lower("__value"), F.col("__context"), F.col("__in_value"), F.col("__in_context"))
     dated = F.col("__field").isin(*FIELDS["date"]) | F.lower(F.trim(text("fact_type"))).isin(*FIELDS["date"]) | looks_like_date(text("normalized_value"))
     by_date = F.when(dated, first_rule(date_rules(s, F.col("__field"), F.col("__target"), F.col("__day"), as_of)))
-    rows = rows.withColumn("__date", by_date).withColumn("__own", F.when(F.col("__date").isNull(), first_rule(field_rules(s, F.col("__field")))))
-    rows = rows.withColumn("field_name", F.coalesce("__date.result", "__own.result"))
-    rows = rows.withColumn("__fact", first_rule(fact_rules(s, F.col("field_name"), text("fact_type"), text("source_stage"), metadata)))
+    rows = _held(rows, __date=by_date, __own=F.when(~dated, first_rule(field_rules(s, F.col("__field")))))
+    rows = _held(rows, field_name=F.coalesce("__date.result", "__own.result"))
+    rows = _held(rows, __fact=first_rule(fact_rules(s, F.col("field_name"), text("fact_type"), text("source_stage"), metadata)))
     made = {"field_rule": F.coalesce("__own.name", F.lit("date")), "date_rule": F.col("__date.name"), "is_fact": F.col("__fact.result"), "fact_rule": F.col("__fact.number"), "reject_reason": F.when(~F.col("__fact.result"), F.col("__fact.name"))}
     return rows.withColumns(made).drop("__value", "__context", "__field", "__target", "__day", "__in_value", "__in_context", "__date", "__own", "__fact")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import decisions
+from factloom.operators import build, decisions
 from factloom.operators.hints import CONTEXT_KEYS, FIELDS, HINTS, JUNK, LABELS, OTHER_PARTY, PHONE_PREFIXES, TITLES, WEAK_JUNK
 from factloom.plans.catalog import VIEWS, query
 from factloom.sources import candidates as _  # noqa: F401  registers candidate_rows
 from factloom.sources.records import record, sql
+from factloom.sources.tables import spread
 
 VIEWS["candidate_rows"] = sql("candidate_rows")
 #: Today, for the queries.
@@ -17,7 +18,7 @@ AS_OF = "2024-06-15"
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows = record(spark, d, "candidate_rows")
+    rows = spread(record(spark, d, "candidate_rows"))
     keys = {"target_field": "target_field", "line_text": "around", "source": "source", "auto_accept": "auto_accept", "role": "role", "is_person_fact": "is_person", "store_as_knowledge_evidence": "as_evidence"}
     metadata = F.map_filter(F.create_map(*[x for k, c in keys.items() for x in (F.lit(k), F.col(c))]), lambda k, v: v.isNotNull())
     return rows.select("candidate_id", "entity_id", "document_id", "source_id", "fact_type", F.col("value").alias("raw_value"), F.col("value").alias("normalized_value"), "source_stage", "confidence", metadata.alias("metadata"))
@@ -117,3 +118,57 @@ _REASONS = ", ".join(f"'{name}'" for name in ("model_review", "evidence_type", "
 def candidate_decisions(spark: SparkSession, d: str) -> DataFrame:
     found = decisions.decide(candidates(spark, d), F.lit(AS_OF).cast("date"))
     return found.select("candidate_id", "field_name", "field_rule", "date_rule", "is_fact", "fact_rule", "reject_reason")
+
+
+def _built(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return build.build(decisions.decide(candidates(spark, d), F.lit(AS_OF).cast("date")), F.lit(AS_OF).cast("timestamp"))
+
+
+def _id(kind: str, *of: str) -> str:
+    return f"substr(sha256(concat_ws('|', '{kind}', {', '.join(f'CAST({c} AS VARCHAR)' for c in of)})), 1, 32)"
+
+
+_FACT, _EVIDENCE = _id("fact", "candidate_id"), _id("evidence", "candidate_id")
+
+
+@query(f"WITH {_DECISION_SQL} SELECT {_FACT} AS fact_id, entity_id, field_name, value AS canonical_value, value AS display_value, source_stage, confidence FROM decided WHERE kept[2] = 1", "candidate_rows")
+def knowledge_facts(spark: SparkSession, d: str) -> DataFrame:
+    return _built(spark, d)["facts"].drop("created_at")
+
+
+@query(
+    f"""WITH {_DECISION_SQL} SELECT {_EVIDENCE} AS evidence_id, source_id, entity_id, field_name, value AS raw_value, source_stage AS extraction_method, confidence,
+      concat_ws('|', document_id, candidate_id, fact_type, field_name) AS own_metadata,
+      4 + (target_field IS NOT NULL)::INT + (around IS NOT NULL)::INT + (source IS NOT NULL)::INT + (auto_accept IS NOT NULL)::INT + (role IS NOT NULL)::INT + (is_person IS NOT NULL)::INT + (as_evidence IS NOT NULL)::INT AS n_metadata FROM decided""",
+    "candidate_rows",
+)
+def knowledge_evidence(spark: SparkSession, d: str) -> DataFrame:
+    own = F.concat_ws("|", *[F.col("metadata")[k] for k in ("document_id", "candidate_fact_id", "fact_type", "resolved_field_name")])
+    found = _built(spark, d)["evidence"].withColumns({"own_metadata": own, "n_metadata": F.size("metadata")})
+    return found.drop("metadata", "location")
+
+
+@query(f"WITH {_DECISION_SQL} SELECT {_FACT} AS fact_id, {_EVIDENCE} AS evidence_id, 'PRIMARY' AS role FROM decided WHERE kept[2] = 1", "candidate_rows")
+def knowledge_links(spark: SparkSession, d: str) -> DataFrame:
+    return _built(spark, d)["links"]
+
+
+@query(
+    f"""WITH {_DECISION_SQL} SELECT {_id('provenance', 'candidate_id')} AS provenance_id, {_FACT} AS fact_id, entity_id, 1 AS n_steps,
+      CASE source_stage WHEN 'ocr_regex' THEN 'OCR' WHEN 'manual_entry' THEN 'USER' ELSE 'SYSTEM' END AS actor, {_EVIDENCE} AS evidence_id, concat('raw_value=''', value, ''' confidence=', confidence) AS note,
+      concat('Fact ''', field_name, ''' extracted from source ''', source_id, ''' with confidence ', confidence) AS summary FROM decided WHERE kept[2] = 1""",
+    "candidate_rows",
+)
+def knowledge_provenance(spark: SparkSession, d: str) -> DataFrame:
+    step = F.col("decision_chain")[0]
+    return _built(spark, d)["provenance"].select("provenance_id", "fact_id", "entity_id", F.size("decision_chain").alias("n_steps"), step["actor"].alias("actor"), step["evidence_id"].alias("evidence_id"), step["note"].alias("note"), "summary")
+
+
+@query(
+    f"""WITH {_DECISION_SQL}, split AS (SELECT entity_id, fact_type FROM decided GROUP BY ALL HAVING count(DISTINCT value) > 1),
+    held AS (SELECT d.*, count(*) OVER (PARTITION BY entity_id, fact_type) AS n_facts FROM decided d SEMI JOIN split USING (entity_id, fact_type) WHERE kept[2] = 1)
+    SELECT {_id('conflict', 'entity_id', 'fact_type')} AS conflict_id, entity_id, fact_type AS field_name, {_FACT} AS fact_id, n_facts FROM held WHERE n_facts >= 2""",
+    "candidate_rows",
+)
+def knowledge_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return _built(spark, d)["conflict_facts"]

@@ -16,7 +16,7 @@ SUITED = (
 #: Values that suit no or any type.
 VALUES = (
     "", "-", "nr", "surname", "ab", "7", "n/a", "--abc--", "***", "info@firma.example", "x@y.example", "max@kreis.example", "a (b c", "one two three four five six seven eight", "bitte ankreuzen", "a b cd ef gh ij",
-    "01.01.2035", "05.06.2027", "14.02.2025", "1960-01-31", "31.02.2001", "20010203", "99887766", "010203", "Herr Winter", "Dr", "Frau", "Hauptstr. 5", "Lindenallee", "12345 Musterstadt", "Postfach 12, 10115 Berlin",
+    "01.01.2035", "05.06.2027", "14.02.2025", "1960-01-31", "31.02.2001", "20010203", "99887766", "010203", "05.06.2012", "Herr Winter", "Dr", "Frau", "Hauptstr. 5", "Lindenallee", "12345 Musterstadt", "Postfach 12, 10115 Berlin",
     "0361 12345-67", "0800 123456789", "03641/123456", "+49 3641 123456", "123", "12345678901234567", "004-12345678901", "015 12345678", "Sommer AG", "Winter-", "O Connor & Sohn", "Anna Berta Clara Dora", "kundencenter 5",
     "Bergstraße 12 in der Stadt und noch weit mehr hier 3", "Teilnehmer Nord", "abc", "monthly", "A7", "Lehrer: x", "wohnt seit langem im schönen alten Ort 5",
 )
