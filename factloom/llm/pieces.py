@@ -1,10 +1,11 @@
-"""SentencePiece ids of whole texts and texts of ids, from tables of distinct chunks (operator 11)."""
+"""SentencePiece ids of whole texts, from tables of distinct chunks, and texts of ids (operator 11)."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,17 +17,16 @@ MARK = "▁"
 
 
 class ChunkTable:
-    """Ids of distinct chunks and texts of distinct runs of ids, each worked out once.
+    """Distinct chunks with their ids, each segmented once.
 
     A chunk is a run of white-space markers and what follows up to the next one. If no piece of
     the vocabulary goes on with a marker after another character, no merge reaches across chunks, and a
     text's ids are those of its chunks in order. The same holds for a line feed that no piece
     contains. A model for which this can't be told from its pieces, or that rewrites texts, is refused.
-    Entries longer than ``keep_chars`` are worked out where they occur, the others are kept until
-    there are ``keep`` of them.
+    A table of more than ``keep`` chunks or ``keep_chars`` characters starts anew.
     """
 
-    def __init__(self, path: str, keep: int = 100_000, keep_chars: int = 64):
+    def __init__(self, path: str, keep: int = 300_000, keep_chars: int = 8_000_000):
         from sentencepiece import SentencePieceProcessor
 
         self.sp = SentencePieceProcessor(model_file=path)
@@ -34,64 +34,45 @@ class ChunkTable:
         if any(MARK in p.lstrip(MARK) for p in pieces) or MARK not in pieces or self.sp.normalize("ﬁ　x  y ") != f"{MARK}ﬁ　x{MARK * 2}y{MARK}":
             raise ValueError("chunks need a model that keeps texts as they are and whose pieces don't cross white space")
         self.mark_id = self.sp.piece_to_id(MARK)
-        self.marked = np.array([p.startswith(MARK) for p in pieces])
-        self.control = np.array([self.sp.is_control(i) for i in range(len(pieces))])
         lines = not any("\n" in p for p in pieces)
         self.cut = re.compile(" +[^ \n]*|\n[^ \n]*" if lines else " +[^ ]*").findall
-        self.ids_of: dict[str, bytes] = {}
-        self.text_of: dict[bytes, str] = {}
         self.keep, self.keep_chars = keep, keep_chars
+        self._clear()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian signed 32-bit ids of each text."""
-        rows = [self.cut(" " + text.replace(MARK, " ")) if text else [] for text in texts]
-        table = _known(self.ids_of, {c for row in rows for c in row}, self._segment, self.keep, self.keep_chars)
-        return [b"".join(map(table.__getitem__, row)) for row in rows]
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}  # a chunk's row in the table
+        self.starts, self.ids, self.chars = np.zeros(1, np.int64), np.zeros(0, np.int32), 0
 
-    def _segment(self, chunks: list[str]) -> list[bytes]:
+    def _learn(self, chunks: list[str]) -> None:
         # the library puts a marker before each text: it stands for the chunk's first, or is cut off again
         found = self.sp.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        return [np.array([self.mark_id] if c == " " else ids if c[0] == " " else ids[1:], "<i4").tobytes() for c, ids in zip(chunks, found)]
-
-    def decode(self, rows: list[np.ndarray]) -> list[str]:
-        """The text of each row of ids, as the library's decode gives it."""
-        cut = []
-        for ids in rows:
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(self.marked)):
-                raise ValueError("ids must be those of the model's pieces")
-            said = np.flatnonzero(~self.control[ids])
-            ids = ids[said[0] :] if len(said) else ids[:0]  # leading control ids leave no trace
-            at = np.flatnonzero(self.marked[ids]) * 4
-            stops = [*at[at > 0].tolist(), 4 * len(ids)]
-            raw = ids.astype("<i4").tobytes()
-            cut.append([raw[a:b] for a, b in zip([0, *stops], stops)])
-        table = _known(self.text_of, {c for row in cut for c in row}, self._spell, self.keep, 4 * self.keep_chars)
-        found = ["".join(map(table.__getitem__, row)) for row in cut]
-        # a chunk's text begins with its marker's space, which a row's first chunk loses
-        return [text[1:] if row[0] and self.marked[int.from_bytes(row[0][:4], "little")] else text for text, row in zip(found, cut)]
-
-    def _spell(self, chunks: list[bytes]) -> list[str]:
-        ids = [np.frombuffer(c, "<i4").tolist() for c in chunks]
-        return [(" " if i and self.marked[i[0]] else "") + text for i, text in zip(ids, self.sp.decode(ids) if ids else [])]
-
-
-def _known(kept: dict, wanted: set, work: Callable[[list], list], keep: int, keep_size: int) -> dict:
-    """Entries for all that is wanted: those kept, and the others, worked out now."""
-    new = [x for x in wanted if x not in kept]
-    if not new:
-        return kept
-    if len(kept) + len(new) > keep:
-        new = list(wanted)
-        kept.clear()
-    entries = dict(zip(new, work(new)))
-    long = {x: y for x, y in entries.items() if len(x) > keep_size}
-    kept.update(entries)
-    if not long:
-        return kept
-    table = dict(kept)
-    for x in long:
-        del kept[x]
-    return table
+        for i, chunk in enumerate(chunks):
+            if chunk == " ":
+                found[i] = [self.mark_id]
+            elif chunk[0] != " ":
+                found[i] = found[i][1:]
+        self.place.update(zip(chunks, range(len(self.place), len(self.place) + len(chunks))))
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))])
+        self.chars += sum(map(len, chunks))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all texts, one after the other."""
+        rows = [self.cut(" " + text.replace(MARK, " ")) if text else [] for text in texts]
+        chunks = list(chain.from_iterable(rows))
+        wanted = set(chunks)
+        new = wanted.difference(self.place)
+        if len(self.place) + len(new) > self.keep or self.chars + sum(map(len, new)) > self.keep_chars:
+            self._clear()
+            new = wanted
+        if new:
+            self._learn(list(new))
+        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        counts = self.starts[at + 1] - self.starts[at]
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+        ids = self.ids[np.repeat(self.starts[at] - before[:-1], counts) + np.arange(before[-1])]
+        return np.diff(before[np.cumsum([0, *map(len, rows)])]), ids
 
 
 @lru_cache(maxsize=1)
@@ -121,28 +102,28 @@ def encode(text: Column, model_path: str) -> Column:
     """
 
     def run(texts: pa.Array) -> pa.Array:
-        table, offsets, values = table_of(model_path), [np.zeros(1, np.int64)], []
+        table, counts, values = table_of(model_path), [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
         for a, b in _in_parts(pc.binary_length(texts).fill_null(0).to_pylist()):
-            found = table.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
-            offsets.append(offsets[-1][-1] + np.cumsum([len(x) // 4 for x in found], dtype=np.int64))
-            values.append(b"".join(found))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(np.frombuffer(b"".join(values), "<i4")))
+            n, ids = table.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
+            counts.append(n)
+            values.append(ids)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(values)))
 
     return F.arrow_udf(run, "array<int>")(text)
 
 
 def decode(ids: Column, model_path: str) -> Column:
-    """The text of each array of ids, as the library's decode gives it; null and empty arrays give the empty text.
+    """The text of each array of ids, by the library's decode; null and empty arrays give the empty text.
 
-    Ids are cut before each piece that starts with a marker, each distinct run is decoded once.
-    A null within an array is no id and is left out; an id outside the vocabulary is an error.
+    A null within an array is no id and is left out; an id outside the vocabulary is an error. Decoding goes through ids one by one and
+    needs no table.
     """
 
     def run(rows: pa.Array) -> pa.Array:
-        table, texts = table_of(model_path), []
+        decoder, texts = table_of(model_path).sp, []
         for a, b in _in_parts([4 * (n or 0) for n in rows.value_lengths().to_pylist()]):
-            part = [r.values.drop_null().to_numpy(zero_copy_only=False) if r.is_valid else np.zeros(0, np.int32) for r in rows.slice(a, b - a)]
-            texts.extend(table.decode(part))
+            part = [r.values.drop_null().to_numpy(zero_copy_only=False).tolist() if r.is_valid else [] for r in rows.slice(a, b - a)]
+            texts.extend(decoder.decode(part))
         return pa.array(texts, pa.string())
 
     return F.arrow_udf(run, "string")(ids)

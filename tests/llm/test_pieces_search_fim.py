@@ -64,12 +64,14 @@ def test_pieces_of_any_ids(spark):
 
 
 def test_tables_stay_bounded():
-    table = pieces.ChunkTable(tokenizers.path("piece_bpe_32k.model"), keep=10, keep_chars=5)
+    table = pieces.ChunkTable(tokenizers.path("piece_bpe_32k.model"), keep=40, keep_chars=400)
     r = random.Random(2)
     for _ in range(30):
-        texts = [" ".join(r.choice(["a", "bb", "cccccccc", f"n{r.random()}"]) for _ in range(20)) for _ in range(3)]
-        assert table.encode(texts) == [b"".join(i.to_bytes(4, "little") for i in ids) for ids in table.sp.encode(texts)]
-        assert all(len(c) <= 5 for c in table.ids_of)
+        texts = [" ".join(r.choice(["a", "bb", "cccccccc", f"n{r.random()}"]) for _ in range(20)) for _ in range(3)] + [""]
+        counts, ids = table.encode(texts)
+        assert counts.tolist() == [len(x) for x in table.sp.encode(texts)]
+        assert ids.tolist() == [i for x in table.sp.encode(texts) for i in x]
+        assert len(table.place) <= 60 and table.chars <= 1200  # a range's own chunks at most, or what is kept
 
 
 def plain_cut(doc_id, text):
