@@ -431,4 +431,4 @@ def self_declared_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the other modules of queries register theirs here
-from factloom.plans import build_queries, classify_queries, knowledge_queries, record_queries, scalar_queries, screen_queries  # noqa: E402, F401
+from factloom.plans import build_queries, classify_queries, knowledge_queries, passport_queries, record_queries, scalar_queries, screen_queries  # noqa: E402, F401
