@@ -15,84 +15,98 @@ once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def line_chunks(text: Column, window: int = 2, divisor: int = 2) -> Column:
-    """The text's chunks in order: an array of struct(text, n_lines).
+    """The text's chunks in order: an array of struct(text, n_lines), as ``_placed_chunks`` cuts them."""
+    return F.transform(_placed_chunks(text, window, divisor), lambda c: F.struct(c["text"].alias("text"), c["n_lines"].alias("n_lines")))
+
+
+def _placed_chunks(text: Column, window: int, divisor: int) -> Column:
+    """Chunks in order: an array of struct(first, n_lines, text), first being the number of the chunk's first line from 0.
 
     Lines end at line feeds. A chunk ends after a line where the rolling hash of the last
     ``window`` line hashes (lines before the first count as 0) is a multiple of ``divisor``, so
-    boundaries depend on the lines close by only, and reappear wherever a passage is moved to.
-    Chunks joined by line feeds are the text again; null gives null.
+    boundaries depend on the lines close by only, and reappear wherever a passage is moved to. Chunks joined by line feeds are the text again; null gives null.
     """
     lines = F.split(text, "\n", -1)
     hashes = lambda ls: F.transform(ls, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") % MODULUS)
     power = [pow(BASE, j, MODULUS) for j in range(window)]
 
-    def ends(hs: Column, n: Column) -> Column:
+    def ends(hs: Column) -> Column:
         def rolling(i: Column) -> Column:
             total = F.lit(0).cast("long")
             for j in range(window):
                 total = total + F.coalesce(F.get(hs, i - j), F.lit(0)) * F.lit(power[j]).cast("long") % MODULUS
             return total % MODULUS
 
-        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (rolling(i - 1) % divisor == 0))
+        return F.filter(F.sequence(F.lit(1), F.size(hs)), lambda i: (i == F.size(hs)) | (rolling(i - 1) % divisor == 0))
 
-    cut = lambda ls, es: F.transform(es, lambda e, i: once(F.coalesce(F.get(es, i - 1), F.lit(0)), lambda a: F.struct(F.array_join(F.slice(ls, a + 1, e - a), "\n").alias("text"), (e - a).alias("n_lines"))))
-    return once(lines, lambda ls: once(hashes(ls), lambda hs: once(ends(hs, F.size(ls)), lambda es: cut(ls, es))))
+    cut = lambda ls, es: F.transform(es, lambda e, i: once(F.coalesce(F.get(es, i - 1), F.lit(0)), lambda a: F.struct(a.alias("first"), (e - a).alias("n_lines"), F.array_join(F.slice(ls, a + 1, e - a), "\n").alias("text"))))
+    return once(lines, lambda ls: once(hashes(ls), lambda hs: once(ends(hs), lambda es: cut(ls, es))))
 
 
-def _interior(ranges: Column) -> Column:
-    """Numbers of the pairs of neighbouring lines that lie in ranges of struct(a, n)."""
-    return F.flatten(F.transform(ranges, lambda g: F.sequence(g["a"], g["a"] + g["n"] - 2)))
+def _units(chunks: Column) -> Column:
+    """The chunks of several lines, and each chunk of one line with the chunk after it: struct(a, n, chunk, before, after), with the two chunks on either side."""
 
+    def unit(c: Column, i: Column) -> Column:
+        follows = F.get(chunks, i + 1)
+        both = (c["n_lines"] == 1) & follows.isNotNull()
+        text = F.when(both, F.concat(c["text"], F.lit("\n"), follows["text"])).otherwise(c["text"])
+        pair = lambda near, far: F.concat_ws("\n", F.get(chunks, near)["text"], F.get(chunks, far)["text"])
+        after = i + F.when(both, 2).otherwise(1)
+        before = F.when(i > 0, pair(i - 2, i - 1))
+        return F.struct(c["first"].alias("a"), (c["n_lines"] + F.when(both, follows["n_lines"]).otherwise(0)).alias("n"), text.alias("chunk"), before.alias("before"), F.when(after < F.size(chunks), pair(after, after + 1)).alias("after"))
 
-def _pairs(text: Column, without: Column) -> Column:
-    """struct(i, pair) for each two neighbouring lines i and i + 1: SHA-256 of both; pairs numbered in ``without`` are left out."""
+    return F.transform(chunks, unit)
 
-    def of(ls: Column) -> Column:
-        at = F.when(F.size(ls) > 1, F.array_except(F.sequence(F.lit(0), F.size(ls) - 2), without)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("i"), F.unhex(F.sha2(F.concat(F.get(ls, i), F.lit("\n"), F.get(ls, i + 1)), 256)).alias("pair")))
 
-    return once(F.split(text, "\n", -1), of)
+def ink(text: Column) -> Column:
+    """Bytes that are no spaces, tabs or line ends; null has none."""
+    return F.coalesce(F.octet_length(F.translate(text, " \t\n\r", "")), F.lit(0))
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without later copies of repeated runs of lines, and array column ``chunks_cut``.
+def _shared(a: Column, b: Column, from_end: bool) -> Column:
+    """The lines that two texts share at their beginning or end, in their order; none if one is null."""
+    cut = lambda c: F.reverse(F.split(c, "\n", -1)) if from_end else F.split(c, "\n", -1)
+    turn = F.reverse if from_end else lambda c: c
+
+    def of(x: Column) -> Column:
+        differs = F.array_position(F.zip_with(x, cut(b), lambda p, q: p.eqNullSafe(q)), F.lit(False)).cast("int")
+        return turn(F.slice(x, F.lit(1), F.when(differs > 0, differs - 1).otherwise(F.size(x))))
 
-    A line goes if it lies in a run of at least two lines that stands at an earlier place too: of
-    a smaller document id, then of a smaller hash of the text, then earlier in the text. The two places may overlap, so of a line
-    repeated many times in a row one is left. ``chunks_cut`` lists the runs that went, (text, n_lines).
+    return F.when(a.isNotNull() & b.isNotNull(), once(cut(a), of)).otherwise(F.array().cast("array<string>"))
+
+
+def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2, min_bytes: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without later copies of repeated runs of lines, and array column ``chunks_cut``.
 
-    Content-defined chunks of at least ``min_lines`` lines are the candidates: hash counts choose
-    those that stand anywhere else, then their bytes are compared, and all but the first place go.
-    A passage's ends lie in chunks with other lines, so what is left is matched by pairs of
-    neighbouring lines, which grows every match to its full length and finds runs too short to
-    hold a chunk: of each pair that is there more than once, the first place stays.
+    Content-defined chunks of at least ``min_lines`` lines (a chunk of one line counts together with the next) choose the candidates: hash
+    counts find those that stand anywhere else, then their bytes are compared, and the first place stays: that of the smallest document id,
+    then of the smallest hash of the text, then of the earliest line. A later place grows line by line, while lines
+    are equal in bytes to those around the first one, into the two chunks before and after it; what is equal beyond them holds
+    repeated chunks itself. So matches reach the ends of the passage that they are in. The run that is found this way goes
+    if it has ``min_bytes`` bytes of ink (others than spaces and line ends), so that blank lines and closing braces, which repeat in most
+    texts, stay. A repeated run that holds no whole chunk is not found. Runs may overlap their first place, so a
+    repeating text keeps its first period. ``chunks_cut`` lists the runs that went, (text, n_lines).
 
     Rows of the same id and text are taken as the same document and treated alike, those of the
     same id and another text are other documents; rows of null id or text stay as they are (an
-    empty array). All columns are kept (one named chunks_cut is replaced); an empty table gives no rows. Chunks and pairs
+    empty array). All columns are kept (one named chunks_cut is replaced); an empty table gives no rows. Chunks
     are summed before they are shuffled, so that a passage which very many documents share costs a row a task;
     its places meet a written table of first places, in a join that Spark can split.
     """
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("k is not null and t is not null").withColumn("u", F.xxhash64("t"))
-    chunks = line_chunks(F.col("t"), window, divisor)
-    starts = lambda cs: F.transform(cs, lambda c, i: F.struct(F.aggregate(F.slice(cs, 1, i), F.lit(0), lambda n, x: n + x["n_lines"]).alias("a"), c["n_lines"].alias("n"), c["text"].alias("chunk")))
-    found = rows.select("k", "u", F.explode(once(chunks, lambda cs: F.filter(starts(cs), lambda c: c["n"] >= min_lines))).alias("c"))
-    places = found.select("k", "u", "c.a", "c.n", "c.chunk", F.xxhash64("c.chunk").alias("h"))
+    chunks = once(_placed_chunks(F.col("t"), window, divisor), lambda cs: F.filter(_units(cs), lambda c: c["n"] >= min_lines))
+    found = rows.select("k", "u", F.explode(chunks).alias("c"))
+    places = found.select("k", "u", "c.*", F.xxhash64("c.chunk").alias("h"))
 
     several = materialize(places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "several")
     candidates = places.join(broadcast_if_small(several), "h", "left_semi")
-    first = candidates.groupBy("h", "chunk").agg(F.min(F.struct("k", "u", "a")).alias("first"), F.count("*").alias("times")).where("times > 1").select("h", "chunk", "first")
-    first = broadcast_if_small(materialize(first, "chunks"), 1 << 24, F.octet_length("chunk") + 40)
-    later = candidates.join(first, ["h", "chunk"]).where(F.struct("k", "u", "a") != F.col("first"))
-    gone = materialize(later.groupBy("k", "u").agg(F.collect_set(F.struct("a", "n")).alias("ranges")), "gone")  # within one document
-
-    none = F.array().cast("array<struct<a:int,n:int>>")
-    known = rows.join(broadcast_if_small(gone, 1_000_000, F.size("ranges") + 2), ["k", "u"], "left").withColumn("ranges", F.coalesce("ranges", none))
-    pairs = known.select("k", "u", F.explode(_pairs(F.col("t"), _interior(F.col("ranges")))).alias("p")).select("k", "u", "p.i", "p.pair")
-    first_pair = pairs.groupBy("pair").agg(F.min(F.struct("k", "u", "i")).alias("first"), F.count("*").alias("times")).where("times > 1").select("pair", "first")
-    first_pair = broadcast_if_small(materialize(first_pair, "pairs"), 200_000)
-    more = pairs.join(first_pair, "pair").where(F.struct("k", "u", "i") != F.col("first")).select("k", "u", F.col("i").alias("a"), F.lit(2).alias("n"))
-    cut = more.unionByName(gone.select("k", "u", F.inline("ranges"))).groupBy("k", "u").agg(F.flatten(F.collect_list(F.sequence("a", F.col("a") + F.col("n") - 1))).alias("cut"))  # within one document
+    first = candidates.groupBy("h", "chunk").agg(F.min(F.struct("k", "u", "a", "before", "after")).alias("first"), F.count("*").alias("times")).where("times > 1").select("h", "chunk", "first")
+    first = broadcast_if_small(materialize(first, "chunks"), 1 << 24, F.octet_length("chunk") + F.coalesce(F.octet_length("first.before"), F.lit(0)) + F.coalesce(F.octet_length("first.after"), F.lit(0)) + 60)
+    later = candidates.join(first, ["h", "chunk"]).where(F.struct("k", "u", "a") != F.struct("first.k", "first.u", "first.a"))
+    grown = later.withColumns({"up": _shared(F.col("before"), F.col("first.before"), True), "down": _shared(F.col("after"), F.col("first.after"), False)})
+    runs = grown.where(ink(F.col("chunk")) + ink(F.array_join("up", "")) + ink(F.array_join("down", "")) >= min_bytes)
+    runs = runs.select("k", "u", (F.col("a") - F.size("up")).alias("a"), (F.col("n") + F.size("up") + F.size("down")).alias("n"))
+    cut = runs.groupBy("k", "u").agg(F.flatten(F.collect_set(F.sequence("a", F.col("a") + F.col("n") - 1))).alias("cut"))  # within one document
     cut = materialize(cut.select(F.col("k").alias("__k"), F.col("u").alias("__u"), F.array_sort(F.array_distinct("cut")).alias("__cut")), "cut")
 
     # texts of which nothing goes are not moved
@@ -104,7 +118,8 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: i
     lines = lambda f: once(F.split(F.col(text_col), "\n", -1), f)
     at = lambda ls, numbers: F.array_join(F.transform(numbers, lambda j: F.get(ls, j)), "\n")
     left = lines(lambda ls: at(ls, F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__cut"))))
-    begins, ends = (F.filter("__cut", lambda j: ~F.array_contains("__cut", j + step)) for step in (-1, 1))
+    edge = lambda step: F.filter("__cut", lambda j, i: ~F.get("__cut", i + step).eqNullSafe(j + step))
+    begins, ends = edge(-1), edge(1)
     runs = lines(lambda ls: F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda r: F.struct(at(ls, F.sequence(r["b"], r["e"])).alias("text"), (r["e"] - r["b"] + 1).alias("n_lines"))))
     some = some.withColumn("chunks_cut", runs).withColumn(text_col, left).select(*docs.drop("chunks_cut").columns, "chunks_cut")
     return rest.select(*some.columns).unionByName(some)

@@ -1,7 +1,10 @@
 """Passages of lines that stand elsewhere too, wherever they begin and end."""
 
+import hashlib
 import random
 
+import pytest
+
 from factloom.llm import line_dedup
 
 LINES = [f"line {i} of what is written" for i in range(400)]
@@ -17,16 +20,43 @@ def rows():
     return [*found, found[0], found[9], (3, "other\ntext"), (3, "\n".join([*LINES[300:304], "mine"])), (80, "\n".join(LINES[300:304])), (None, texts[0])]
 
 
-def expected(found):
-    """(id, text) to the lines left: those in no pair of lines that has an earlier place."""
-    order = sorted({(k, line_hash, t) for k, t, line_hash in found if k is not None and t is not None})
-    first, left = set(), {}
+def chunks_of(text):
+    """(first line, lines) of each chunk."""
+    lines, out, start = text.split("\n"), [], 0
+    hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % line_dedup.MODULUS for x in lines]
+    for i, h in enumerate(hashes):
+        if i == len(lines) - 1 or (h + (hashes[i - 1] * line_dedup.BASE % line_dedup.MODULUS if i else 0)) % line_dedup.MODULUS % 2 == 0:
+            out.append((start, lines[start : i + 1]))
+            start = i + 1
+    return out
+
+
+def expected(found, least=0):
+    """(id, text) to what is left and the numbers of the lines that go: later places of chunks, grown while lines are those around the first place."""
+    order = sorted({(k, text_hash, t) for k, t, text_hash in found if k is not None and t is not None})
+    first, left = {}, {}
     for k, _, t in order:
         ls, cut = t.split("\n"), set()
-        for i in range(len(ls) - 1):
-            if (ls[i], ls[i + 1]) in first:
-                cut |= {i, i + 1}
-            first.add((ls[i], ls[i + 1]))
+        cs = chunks_of(t)
+        for n, (a, chunk) in enumerate(cs):
+            before, rest = [x for _, c in cs[max(0, n - 2) : n] for x in c], [c for _, c in cs[n + 1 : n + 4]]
+            if len(chunk) == 1 and rest:
+                chunk = chunk + rest.pop(0)
+            after = [x for c in rest[:2] for x in c]
+            if len(chunk) < 2:
+                continue
+            if tuple(chunk) not in first:
+                first[tuple(chunk)] = before, after
+                continue
+            before0, after0 = first[tuple(chunk)]
+            up = down = 0
+            while up < min(len(before), len(before0)) and before[-1 - up] == before0[-1 - up]:
+                up += 1
+            while down < min(len(after), len(after0)) and after[down] == after0[down]:
+                down += 1
+            run = range(a - up, a + len(chunk) + down)
+            if sum(len("".join(ls[i].split()).encode()) for i in run) >= least:
+                cut |= set(run)
         left[k, t] = ("\n".join(x for i, x in enumerate(ls) if i not in cut), sorted(cut))
     return left
 
@@ -41,10 +71,11 @@ def runs(text, cut):
     return [("\n".join(text.split("\n")[j] for j in run), len(run)) for run in out]
 
 
-def test_dedup_passages(spark):
+@pytest.mark.parametrize("least", [0, 80])
+def test_dedup_passages(spark, least):
     docs = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows())], "doc_id long, text string, n int").repartition(3)
-    want = expected([(r["doc_id"], r["text"], r["u"]) for r in docs.selectExpr("*", "xxhash64(text) AS u").collect()])
-    got = line_dedup.dedup_lines(docs)
+    want = expected([(r["doc_id"], r["text"], r["u"]) for r in docs.selectExpr("*", "xxhash64(text) AS u").collect()], least)
+    got = line_dedup.dedup_lines(docs, min_bytes=least)
     assert got.columns == ["doc_id", "text", "n", "chunks_cut"]
     found = got.collect()
     assert len(found) == len(rows())
@@ -53,7 +84,7 @@ def test_dedup_passages(spark):
         left, cut = want.get((k, t), (t, []))
         assert (r["text"], [tuple(c) for c in r["chunks_cut"]]) == (left, runs(t, cut))
     by_n = {r["n"]: r["text"] for r in found}
-    assert all(not set(by_n[i].split("\n")) & set(LINES[:7]) for i in range(1, 8)) and by_n[10] == "again"
+    assert all(not set(by_n[i].split("\n")) & set(LINES[:7]) for i in range(1, 8))
     assert by_n[rows().index((3, "other\ntext"))] == "other\ntext"
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
@@ -73,3 +104,14 @@ def test_another_text_of_the_same_id_stays_whole(spark):
     t, u = "\n".join(f"t {i}" for i in range(40)), "\n".join(f"u {i}" for i in range(40))
     docs = spark.createDataFrame([(1, t), (2, t), (2, u)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()) == [(1, t), (2, ""), (2, u)]
+
+
+def test_trivial_runs_stay_and_chunks_decide(spark):
+    """Blank lines and closing braces repeat in most texts; chunks of one line each could not choose anything."""
+    texts = ["a = 1\n\n\nb = 2\n}\n}\n", "c = 3\n\n\nd = 4\n}\n}\ne", "x\n\n\ny"]
+    passage = "\n".join(LINES[20:32])
+    docs = spark.createDataFrame([*enumerate(texts), (10, f"p\n{passage}\nq"), (11, f"r\ns\n{passage}"), (12, f"{passage}\nt")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, min_bytes=80).collect()}
+    assert [got[i] for i in range(3)] == texts and got[10] == f"p\n{passage}\nq" and got[11] == "r\ns" and got[12] == "t"
+    alone = line_dedup.dedup_lines(docs, divisor=1_000_000_007, min_bytes=80).collect()  # every text is one chunk
+    assert all(not r["chunks_cut"] for r in alone)
