@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import langid, line_dedup, minhash, mixing, packing
 from factloom.llm.common import load, materialize
-from factloom.llm.queries import MIX_WEIGHTS, mix_levels, tokenizer_path
+from factloom.llm.queries import LEAST_INK, MIX_WEIGHTS, mix_levels, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +25,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of runs of lines; a document of which nothing is left goes.
+    """Texts without later copies of runs of lines of some length; a document of which nothing is left goes.
 
     Null and empty texts stay as they are, repeated rows are treated alike; an empty table gives no rows.
     """
-    found = line_dedup.dedup_lines(docs).where((F.size("chunks_cut") == 0) | (F.trim("text") != ""))
+    found = line_dedup.dedup_lines(docs, min_bytes=LEAST_INK).where((F.size("chunks_cut") == 0) | (F.trim("text") != ""))
     return found.select(*[F.when(F.size("chunks_cut") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
