@@ -14,17 +14,18 @@ MODULUS, BASE = 2_147_483_647, 31
 once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def line_chunks(text: Column, window: int = 2, divisor: int = 2) -> Column:
+def line_chunks(text: Column, window: int = 2, divisor: int = 2, repeats: bool = False) -> Column:
     """The text's chunks in order: an array of struct(text, n_lines), as ``_placed_chunks`` cuts them."""
-    return F.transform(_placed_chunks(text, window, divisor), lambda c: F.struct(c["text"].alias("text"), c["n_lines"].alias("n_lines")))
+    return F.transform(_placed_chunks(text, window, divisor, repeats), lambda c: F.struct(c["text"].alias("text"), c["n_lines"].alias("n_lines")))
 
 
-def _placed_chunks(text: Column, window: int, divisor: int) -> Column:
+def _placed_chunks(text: Column, window: int, divisor: int, repeats: bool) -> Column:
     """Chunks in order: an array of struct(first, n_lines, text), first being the number of the chunk's first line from 0.
 
     Lines end at line feeds. A chunk ends after a line where the rolling hash of the last
     ``window`` line hashes (lines before the first count as 0) is a multiple of ``divisor``, so
-    boundaries depend on the lines close by only, and reappear wherever a passage is moved to. Chunks joined by line feeds are the text again; null gives null.
+    boundaries depend on the lines close by only, and reappear wherever a passage is moved to. With ``repeats`` one ends
+    after a line that is the same as the one before it too, so that a line repeated many times is no single chunk. Chunks joined by line feeds are the text again; null gives null.
     """
     lines = F.split(text, "\n", -1)
     hashes = lambda ls: F.transform(ls, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long") % MODULUS)
@@ -37,7 +38,8 @@ def _placed_chunks(text: Column, window: int, divisor: int) -> Column:
                 total = total + F.coalesce(F.get(hs, i - j), F.lit(0)) * F.lit(power[j]).cast("long") % MODULUS
             return total % MODULUS
 
-        return F.filter(F.sequence(F.lit(1), F.size(hs)), lambda i: (i == F.size(hs)) | (rolling(i - 1) % divisor == 0))
+        again = lambda i: F.coalesce(F.get(hs, i - 1) == F.get(hs, i - 2), F.lit(False)) if repeats else F.lit(False)
+        return F.filter(F.sequence(F.lit(1), F.size(hs)), lambda i: (i == F.size(hs)) | (rolling(i - 1) % divisor == 0) | again(i))
 
     cut = lambda ls, es: F.transform(es, lambda e, i: once(F.coalesce(F.get(es, i - 1), F.lit(0)), lambda a: F.struct(a.alias("first"), (e - a).alias("n_lines"), F.array_join(F.slice(ls, a + 1, e - a), "\n").alias("text"))))
     return once(lines, lambda ls: once(hashes(ls), lambda hs: once(ends(hs), lambda es: cut(ls, es))))
@@ -82,7 +84,7 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: i
     counts find those that stand anywhere else, then their bytes are compared, and the first place stays: that of the smallest document id,
     then of the smallest hash of the text, then of the earliest line. A later place grows line by line, while lines
     are equal in bytes to those around the first one, into the two chunks before and after it; what is equal beyond them holds
-    repeated chunks itself. So matches reach the ends of the passage that they are in. The run that is found this way goes
+    repeated chunks itself. So matches reach the ends of the passage that they are in. A run of lines that are in matches goes
     if it has ``min_bytes`` bytes of ink (others than spaces and line ends), so that blank lines and closing braces, which repeat in most
     texts, stay. A repeated run that holds no whole chunk is not found. Runs may overlap their first place, so a
     repeating text keeps its first period. ``chunks_cut`` lists the runs that went, (text, n_lines).
@@ -94,7 +96,7 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: i
     its places meet a written table of first places, in a join that Spark can split.
     """
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("k is not null and t is not null").withColumn("u", F.xxhash64("t"))
-    chunks = once(_placed_chunks(F.col("t"), window, divisor), lambda cs: F.filter(_units(cs), lambda c: c["n"] >= min_lines))
+    chunks = once(_placed_chunks(F.col("t"), window, divisor, True), lambda cs: F.filter(_units(cs), lambda c: c["n"] >= min_lines))
     found = rows.select("k", "u", F.explode(chunks).alias("c"))
     places = found.select("k", "u", "c.*", F.xxhash64("c.chunk").alias("h"))
 
@@ -104,8 +106,7 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: i
     first = broadcast_if_small(materialize(first, "chunks"), 1 << 24, F.octet_length("chunk") + F.coalesce(F.octet_length("first.before"), F.lit(0)) + F.coalesce(F.octet_length("first.after"), F.lit(0)) + 60)
     later = candidates.join(first, ["h", "chunk"]).where(F.struct("k", "u", "a") != F.struct("first.k", "first.u", "first.a"))
     grown = later.withColumns({"up": _shared(F.col("before"), F.col("first.before"), True), "down": _shared(F.col("after"), F.col("first.after"), False)})
-    runs = grown.where(ink(F.col("chunk")) + ink(F.array_join("up", "")) + ink(F.array_join("down", "")) >= min_bytes)
-    runs = runs.select("k", "u", (F.col("a") - F.size("up")).alias("a"), (F.col("n") + F.size("up") + F.size("down")).alias("n"))
+    runs = grown.select("k", "u", (F.col("a") - F.size("up")).alias("a"), (F.col("n") + F.size("up") + F.size("down")).alias("n"))
     cut = runs.groupBy("k", "u").agg(F.flatten(F.collect_set(F.sequence("a", F.col("a") + F.col("n") - 1))).alias("cut"))  # within one document
     cut = materialize(cut.select(F.col("k").alias("__k"), F.col("u").alias("__u"), F.array_sort(F.array_distinct("cut")).alias("__cut")), "cut")
 
@@ -117,9 +118,12 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: i
 
     lines = lambda f: once(F.split(F.col(text_col), "\n", -1), f)
     at = lambda ls, numbers: F.array_join(F.transform(numbers, lambda j: F.get(ls, j)), "\n")
-    left = lines(lambda ls: at(ls, F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__cut"))))
     edge = lambda step: F.filter("__cut", lambda j, i: ~F.get("__cut", i + step).eqNullSafe(j + step))
     begins, ends = edge(-1), edge(1)
-    runs = lines(lambda ls: F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda r: F.struct(at(ls, F.sequence(r["b"], r["e"])).alias("text"), (r["e"] - r["b"] + 1).alias("n_lines"))))
-    some = some.withColumn("chunks_cut", runs).withColumn(text_col, left).select(*docs.drop("chunks_cut").columns, "chunks_cut")
+    runs = lines(lambda ls: F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda r: F.struct(r["b"].alias("b"), r["e"].alias("e"), at(ls, F.sequence(r["b"], r["e"])).alias("text"))))
+    some = some.withColumn("__runs", F.filter(runs, lambda r: ink(r["text"]) >= min_bytes))
+    gone = F.flatten(F.transform("__runs", lambda r: F.sequence(r["b"], r["e"])))
+    left = lines(lambda ls: at(ls, F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone)))
+    listed = F.transform("__runs", lambda r: F.struct(r["text"].alias("text"), (r["e"] - r["b"] + 1).alias("n_lines")))
+    some = some.withColumn("chunks_cut", listed).withColumn(text_col, left).select(*docs.drop("chunks_cut").columns, "chunks_cut")
     return rest.select(*some.columns).unionByName(some)

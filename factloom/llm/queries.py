@@ -205,7 +205,7 @@ WITH l AS (
 ), h AS (
   SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) % 2147483647 AS h FROM l
 ), r AS (
-  SELECT *, (h + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 31 % 2147483647) % 2147483647 % 2 = 0 AS hit FROM h
+  SELECT *, (h + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 31 % 2147483647) % 2147483647 % 2 = 0 OR coalesce(h = lag(h) OVER (PARTITION BY doc_id ORDER BY i), false) AS hit FROM h
 ), g AS (
   SELECT *, coalesce(sum(hit::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM r
 ), c AS (
@@ -221,9 +221,10 @@ WITH l AS (
     coalesce(list_max(list_filter(range(1, least(len(f), len(f0)) + 1), lambda j: f[1:j] = f0[1:j])), 0) AS down FROM o WHERE nth > 1
 ), x AS (
   SELECT DISTINCT doc_id, unnest(range(a - up, a + n + down)) AS i FROM m
-  WHERE strlen(translate(chunk || array_to_string(b[len(b) - up + 1:], '') || array_to_string(f[1:down], ''), ' ' || chr(9) || chr(10) || chr(13), '')) >= {LEAST_INK}
+), v AS (
+  SELECT *, sum(strlen(translate(line, ' ' || chr(9) || chr(13), ''))) OVER (PARTITION BY doc_id, run) AS ink FROM (SELECT x.*, l.line, x.i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM x JOIN l USING (doc_id, i))
 ), k AS (
-  SELECT l.*, x.i IS NOT NULL AS cut FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.i = l.i
+  SELECT l.*, v.i IS NOT NULL AS cut FROM l LEFT JOIN (FROM v WHERE ink >= {LEAST_INK}) v ON v.doc_id = l.doc_id AND v.i = l.i
 ), s AS (
   SELECT doc_id, count(*) FILTER (begins) AS n_chunks_cut, count(*) FILTER (cut) AS n_lines_cut,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT cut), '')) AS kept_sha256
