@@ -43,7 +43,7 @@ def build(decided: DataFrame, at: Column) -> dict[str, DataFrame]:
     from candidate ids, so that a batch that runs again gives the same rows. ``at`` is the time of the build. Needs
     candidate_id, entity_id, document_id, source_id, fact_type, raw_value, normalized_value, source_stage, confidence and
     metadata besides what ``decide`` adds; span_ids are kept if there are any. Repeated rows give repeated rows, null values
-    count as one value, an empty table gives five empty ones.
+    are no values, an empty table gives five empty ones.
     """
     rows = decided.withColumns({"fact_id": F.when(F.col("is_fact"), _id("fact", "candidate_id")), "evidence_id": _id("evidence", "candidate_id")})
     spans = F.col("span_ids") if "span_ids" in decided.columns else F.array().cast("array<string>")

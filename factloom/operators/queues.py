@@ -23,7 +23,7 @@ def job_step(state: dict, event: dict) -> dict:
     cancel: of any job. requeue: retrying after ``delay`` seconds. expire: a leased job whose lease is ``delay`` seconds old waits again;
     leases don't expire by themselves.
     """
-    action, at, delay = event["action"], event["moment"], event["delay"] or 0
+    action, at, delay = event["action"], event["moment"], int(event["delay"] or 0)
     status, applied = state.get("status"), True
     if action == "enqueue" and status is None:
         state |= {"status": "pending", "available_at": at, "retries": 0}

@@ -42,8 +42,8 @@ def import_batch(files: DataFrame, root: str, batch: str) -> bool:
 def import_stream(spark: SparkSession, folder: str, root: str, checkpoint: str) -> StreamingQuery:
     """Import the files that ``folder`` has and gets; the folder that a file lies in names its entity.
 
-    The checkpoint tells which files were seen and the ledger which batches count, so that a restart neither loses nor repeats one.
+    Spark's reader passes over empty files. The checkpoint tells which files were seen and the ledger which batches count, so that a restart neither loses nor repeats one.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
     shaped = files.select("path", "length", F.sha2("content", 256).alias("file_hash"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("entity_id"))
     return run_batches(shaped, lambda rows, n: import_batch(rows, root, f"import-{n}"), checkpoint)
