@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,16 +76,29 @@ def ocr_repair_digits(c: Column) -> Column:
     return F.translate(c, "OIBSGZQ", "0185620")
 
 
+def _lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a column of the table is the bits of one whole number."""
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    all_bits = row = (1 << len(a)) - 1
+    for ch in b:
+        hit = row & places.get(ch, 0)
+        row = (row + hit | row - hit) & all_bits
+    return len(a) - row.bit_count()
+
+
 def lcs_ratio(a: Column, b: Column) -> Column:
-    """2 * LCS / (len a + len b) on lower case; 1 if equal, 0 if one is empty."""
-    x, y = F.lower(a), F.lower(b)
-    chars = lambda c: F.filter(F.split(c, ""), lambda v: v != "")
-
-    def row(prev: Column, ch: Column) -> Column:
-        # one row of the table: each cell from its left neighbour, the cell above, and the one before that
-        cell = lambda acc, i: F.array_append(acc, F.greatest(F.element_at(acc, -1), F.get(prev, i), F.when(F.get(chars(y), i - 1) == ch, F.get(prev, i - 1) + 1).otherwise(0)))
-        return F.aggregate(F.sequence(F.lit(1), F.length(y)), F.array(F.lit(0)), cell)
-
-    table = F.aggregate(chars(x), F.array_repeat(F.lit(0), F.length(y) + 1), row)
-    ratio = F.element_at(table, -1) * 2.0 / (F.length(x) + F.length(y))
-    return F.when(x == y, 1.0).when((F.length(x) == 0) | (F.length(y) == 0), 0.0).otherwise(ratio)
+    """2 * LCS / (len a + len b) on lower case; 1 if equal, 0 if one is empty, null if one is null."""
+
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        out: list[float | None] = []
+        for x, y in zip(left.to_pylist(), right.to_pylist()):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            x, y = x.lower(), y.lower()
+            out.append(1.0 if x == y else 2 * _lcs(x, y) / (len(x) + len(y)) if x and y else 0.0)
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(run, "double")(a, b)

@@ -43,6 +43,19 @@ def matches(best: DataFrame, group: str = "group_id") -> DataFrame:
     return met.withColumn("confidence", confidence).withColumn("signal", signal).drop("ratio")
 
 
+def agreement(best: DataFrame, group: str = "group_id") -> DataFrame:
+    """For each group and fact type the pairs of clusters, the sum of their confidences, and whether they conflict.
+
+    Identifiers and dates agree or don't, so their values are counted and never met; other types' distinct values are compared.
+    """
+    values = best.withColumn("strategy", strategy(F.col("fact_type"))).where("strategy <> 'fuzzy' and value is not null")
+    held = values.groupBy(group, "fact_type", "value").agg(F.count("*").alias("n")).groupBy(group, "fact_type").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same"), F.count("*").alias("kinds"))
+    equal = held.where("n > 1").select(group, "fact_type", (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.col("same").alias("agreed"), (F.col("kinds") > 1).alias("conflict"))
+    met = matches(best.where(strategy(F.col("fact_type")) == "fuzzy"), group)
+    fuzzy = met.groupBy(group, "fact_type").agg(F.sum("pairs").cast("double").alias("pairs"), F.sum(F.col("confidence") * F.col("pairs")).alias("agreed"))
+    return equal.unionByName(fuzzy.withColumn("conflict", F.lit(False)))
+
+
 def resolve_groups(candidates: DataFrame, group: str = "group_id") -> DataFrame:
     """One row for each group: clusters, decision, score, the primary cluster and the fact types in conflict.
 
@@ -52,9 +65,8 @@ def resolve_groups(candidates: DataFrame, group: str = "group_id") -> DataFrame:
     """
     clusters = candidates.groupBy(group, "entity_id").agg(F.sum("confidence").alias("total"), F.min("ord").alias("first"))
     primary = clusters.groupBy(group).agg(F.count("*").alias("clusters"), F.max_by("entity_id", F.struct(F.round("total", 9).alias("t"), (-F.col("first")).alias("f"))).alias("primary_id"))
-    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("fact_type")], F.lit(0.5)) * F.col("pairs")
-    conflict = F.col("signal") == "CONFLICT"
-    found = matches(best_of_clusters(candidates, group), group).groupBy(group).agg((F.sum(F.col("confidence") * weight) / F.sum(weight)).alias("score"), F.array_sort(F.collect_set(F.when(conflict, F.col("fact_type")))).alias("conflict_types"))
+    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("fact_type")], F.lit(0.5))
+    found = agreement(best_of_clusters(candidates, group), group).groupBy(group).agg((F.sum(F.col("agreed") * weight) / F.sum(F.col("pairs") * weight)).alias("score"), F.array_sort(F.collect_set(F.when(F.col("conflict"), F.col("fact_type")))).alias("conflict_types"))
     met = primary.join(found, group, "left")
     hard, score = F.size(F.coalesce("conflict_types", F.array().cast("array<string>"))) > 0, F.coalesce("score", F.lit(0.0))
     decision = F.when(F.col("clusters") == 1, "single").when(hard, "conflict").when(score < MERGE_LEAST, "apart").otherwise("merged")

@@ -50,6 +50,27 @@ def entity_pair_matches(spark: SparkSession, d: str) -> DataFrame:
     return resolution.matches(best).select("group_id", "fact_type", "value_a", "value_b", "pairs", "strategy", "confidence", "signal")
 
 
+#: Names that differ in several places, by customer; groups of them meet.
+_NAMES_SQL = "SELECT c_nationkey AS group_id, c_custkey AS entity_id, 'full_name' AS fact_type, c_custkey AS ord, 0.5 AS confidence, concat(CASE c_custkey % 4 WHEN 0 THEN 'Anna ' WHEN 1 THEN 'Ann-Marie ' WHEN 2 THEN 'HANNAH ' ELSE '' END, CASE c_custkey % 5 WHEN 0 THEN 'Muster' WHEN 1 THEN 'Musterman' WHEN 2 THEN 'Mustard' WHEN 3 THEN 'Sumter' ELSE 'of the Mill' END, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' jr.' ELSE ' B' END) AS value FROM {customer}"
+
+
+@query(
+    f"""WITH RECURSIVE held AS (SELECT DISTINCT group_id, value FROM ({_NAMES_SQL.replace('{customer}', 'customer')})),
+    pairs AS (SELECT DISTINCT a.value AS value_a, b.value AS value_b FROM held a JOIN held b USING (group_id) WHERE a.value < b.value),
+    t AS (
+      SELECT value_a, value_b, 0 AS i, list_transform(range(0, len(value_b) + 1), lambda j: 0) AS r FROM pairs
+      UNION ALL
+      SELECT value_a, value_b, i + 1, list_reduce(range(1, len(value_b) + 1), lambda acc, j: list_append(acc, greatest(acc[-1], r[j + 1], CASE WHEN lower(value_a)[i + 1] = lower(value_b)[j] THEN r[j] + 1 ELSE 0 END)), [0]) FROM t WHERE i < len(value_a)
+    ), l AS (SELECT value_a, value_b, 2.0::DOUBLE * r[-1] / (len(value_a) + len(value_b)) AS ratio FROM t WHERE i = len(value_a)),
+    scored AS (SELECT group_id, a.value AS value_a, b.value AS value_b, CASE WHEN ratio < 0.6 THEN ratio / 2 ELSE ratio END AS confidence FROM held a JOIN held b USING (group_id) JOIN l ON l.value_a = a.value AND l.value_b = b.value)
+    SELECT *, CASE WHEN confidence >= 0.9 THEN 'STRONG' WHEN confidence >= 0.7 THEN 'MODERATE' WHEN confidence >= 0.4 THEN 'WEAK' ELSE 'UNKNOWN' END AS signal FROM scored"""
+)
+def fuzzy_name_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct names of each group compared, by a longest common subsequence that the check works out cell by cell."""
+    names = spark.sql(_NAMES_SQL, customer=S.read(spark, d, "customer"))
+    return resolution.matches(names).where("value_a <> value_b").select("group_id", "value_a", "value_b", "confidence", "signal")
+
+
 _RESOLVED_SQL = """
     clusters AS (
       SELECT group_id, entity_id, sum(confidence) AS total, min(ord) AS first FROM candidates GROUP BY ALL

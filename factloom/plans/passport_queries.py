@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import mrz, passport
+from factloom.operators import labelled, mrz, passport
 from factloom.plans.catalog import VIEWS, query
 from factloom.sources import passports as _  # noqa: F401  registers zone_texts and passport_texts
 from factloom.sources.records import record, sql
 from factloom.sources.tables import spread
 
-VIEWS |= {name: sql(name) for name in ("zone_texts", "passport_texts")}
+VIEWS |= {name: sql(name) for name in ("zone_texts", "passport_texts", "card_texts")}
 #: Today, for the queries.
 AS_OF = "2010-01-01"
 
@@ -115,3 +115,35 @@ _PASSPORT_SQL = f"""
 @query(f"WITH {_PASSPORT_SQL} SELECT * FROM labels UNION ALL SELECT * FROM zone_facts UNION ALL SELECT * FROM beside UNION ALL SELECT * FROM anywhere", "passport_texts")
 def passport_facts(spark: SparkSession, d: str) -> DataFrame:
     return passport.passport_facts(spread(record(spark, d, "passport_texts")), F.lit(AS_OF).cast("date"))
+
+
+_EYES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labelled.EYE_CODES.items())
+_PERMITS = " ".join(f"WHEN regexp_matches(raw, '(?i){p}') THEN '{code}'" for p, code in labelled.PERMITS)
+#: Values and confidences of a card's labels, by kind.
+_CARD_VALUES = {
+    "text": (_SQUEEZED.format("raw"), f"{labelled.CARD}::DOUBLE"),
+    "date": (f"coalesce({_DATE.format('raw')}, {_SQUEEZED.format('raw')})", f"CASE WHEN {_DATE.format('raw')} IS NOT NULL THEN {labelled.CARD} ELSE {labelled.LOW} END::DOUBLE"),
+    "can": ("translate(raw, 'OIl', '011')", f"{labelled.CARD}::DOUBLE"),
+    "height": ("CAST(CAST(raw AS INT) AS VARCHAR) || 'cm'", f"CASE WHEN CAST(raw AS INT) BETWEEN 80 AND 250 THEN {labelled.CARD} ELSE {labelled.ODD_HEIGHT} END::DOUBLE"),
+    "eyes": (f"CASE lower(raw) {_EYES} ELSE lower(raw) END", f"{labelled.CARD}::DOUBLE"),
+    "permit": (rf"CASE {_PERMITS} ELSE trim(regexp_replace(lower(trim(raw)), '[-\s_]+', '_', 'g'), '_') END", f"{labelled.CARD}::DOUBLE"),
+}
+
+
+def _card_sql(table: tuple[labelled.Labelled, ...]) -> str:
+    parts = []
+    for fact in table:
+        found = ", ".join(f"nullif(trim(regexp_extract(text, '(?i){p}', 1), ' ' || chr(9) || chr(10)), '')" for p in fact.patterns)
+        value, sure = _CARD_VALUES[fact.kind]
+        parts.append(f"SELECT doc_id, '{fact.fact_type}' AS fact_type, {value} AS value, {sure} AS confidence FROM (SELECT doc_id, coalesce({found}) AS raw FROM card_texts) WHERE raw IS NOT NULL")
+    return " UNION ALL ".join(parts)
+
+
+@query(_card_sql(labelled.ID_CARD), "card_texts")
+def id_card_facts(spark: SparkSession, d: str) -> DataFrame:
+    return labelled.card_facts(spread(record(spark, d, "card_texts")), "id_card").where("source = 'label'").drop("source")
+
+
+@query(_card_sql(labelled.PERMIT), "card_texts")
+def residence_permit_facts(spark: SparkSession, d: str) -> DataFrame:
+    return labelled.card_facts(spread(record(spark, d, "card_texts")), "residence_permit").where("source = 'label'").drop("source")

@@ -146,7 +146,7 @@ def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH u AS (SELECT document_id + CASE WHEN document_id % 2 = 0 THEN 0 ELSE 100000000 END AS document_id, document_id AS file_key FROM document_rows WHERE document_id % 10 < 2 AND document_id <= 1000)
+    """WITH u AS (SELECT document_id + CASE WHEN document_id % 2 = 0 THEN 0 ELSE 100000000 END AS document_id, document_id AS file_key FROM document_rows WHERE document_id % 10 < 2)
     SELECT CASE WHEN u.document_id IS NULL THEN b.document_id ELSE u.document_id END AS document_id, b.document_id AS file_key, CASE WHEN u.document_id IS NULL THEN 'old' ELSE 'new' END AS state
     FROM document_rows b LEFT JOIN u ON u.file_key = b.document_id""",
     "document_rows",
@@ -154,7 +154,7 @@ def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
 def double_target_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Even documents are met by their id, odd ones come with a new id and are met by their file."""
     base = record(spark, d, "document_rows").select("document_id", F.col("document_id").alias("file_key"), F.lit("old").alias("state"))
-    some = base.where("document_id % 10 < 2 and document_id <= 1000")
+    some = base.where("document_id % 10 < 2")
     updates = some.withColumns({"document_id": F.when(F.col("document_id") % 2 == 0, F.col("document_id")).otherwise(F.col("document_id") + 100_000_000), "state": F.lit("new")})
     return dml.upsert_by_either(base, updates, "document_id", "file_key")
 
@@ -177,7 +177,7 @@ def form_cascade_delete(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    cases = record(spark, d, "case_rows").where("case_id < 997").withColumn("fact_id", F.col("case_id") * 4 + 1)
+    cases = record(spark, d, "case_rows").withColumn("fact_id", F.col("case_id") * 4 + 1)
     facts = record(spark, d, "fact_rows").select("fact_id", "entity_id", "field_name", "value", "status")
     return dml.apply_decisions(cases, record(spark, d, "decision_rows"), facts, tuple(x for x in PROFILE_NAMES if x != "hobby"))
 
@@ -187,7 +187,7 @@ _DECIDED_SQL = """
     x AS (
       SELECT c.case_id, c.entity_id, c.case_id * 4 + 1 AS fact_id, outcome, CASE WHEN fact_type = 'hobby' THEN 'other' ELSE fact_type END AS field_name,
         CASE outcome WHEN 'accept' THEN coalesce(nullif(trim(edited_value), ''), normalized_value) WHEN 'edit' THEN nullif(trim(edited_value), '') END AS value
-      FROM case_rows c JOIN last USING (case_id) WHERE c.case_id < 997
+      FROM case_rows c JOIN last USING (case_id)
     ), results AS (
       SELECT *, CASE WHEN outcome = 'edit' AND value IS NULL THEN 'Edited value is empty' WHEN outcome = 'escalate' THEN 'Unknown decision' END AS error FROM x
     )"""
@@ -212,7 +212,7 @@ def facts_after_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT case_id, CASE WHEN case_id % 3 = 0 THEN 'supplier#1' WHEN case_id % 3 = 1 THEN upper('Customer#00000000') || (case_id % 9 + 1) ELSE '' END AS n FROM case_rows WHERE case_id < 5000),
+    """WITH s AS (SELECT case_id, CASE WHEN case_id % 3 = 0 THEN 'supplier#1' WHEN case_id % 3 = 1 THEN upper('Customer#00000000') || (case_id % 9 + 1) ELSE '' END AS n FROM case_rows),
     k AS (SELECT s.case_id, n, e.entity_id FROM s LEFT JOIN entity_rows e ON lower(e.display_name) = lower(n) AND e.entity_type = 'person' AND e.status = 'active')
     SELECT case_id, CASE WHEN n <> '' THEN coalesce(CAST(entity_id AS VARCHAR), 'new-' || substr(sha256(lower(n) || '|person'), 1, 16)) END AS owner_id, n <> '' AND entity_id IS NULL AS is_new FROM k""",
     "case_rows",
@@ -221,7 +221,7 @@ def facts_after_decisions(spark: SparkSession, d: str) -> DataFrame:
 def decision_owners(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("case_id")
     name = F.when(key % 3 == 0, " supplier#1").when(key % 3 == 1, F.concat(F.lit("CUSTOMER#00000000"), (key % 9 + 1).cast("string"))).otherwise(" ")
-    selections = record(spark, d, "case_rows").where("case_id < 5000").select("case_id", name.alias("owner_name"), F.lit("person").alias("owner_type"))
+    selections = record(spark, d, "case_rows").select("case_id", name.alias("owner_name"), F.lit("person").alias("owner_type"))
     return dml.owners(selections, record(spark, d, "entity_rows"))
 
 

@@ -35,3 +35,14 @@ _LINES = (
 RECORDS["passport_texts"] = f"""
     SELECT o_orderkey AS doc_id, concat({', chr(10), '.join(case(number, lines) for number, lines in _LINES)}, chr(10), CASE WHEN o_orderkey % 7 = 2 THEN '' ELSE text END) AS text
     FROM {{orders}} JOIN ({RECORDS['zone_texts']}) t ON o_orderkey = t.doc_id"""
+_CARD_LINES = (
+    ("o_orderkey % 5", ("Geburtsort: Köln", "place of birth  New Town", "Geburtsort Bad Ort-Süd", "", "Geburtsort:")),
+    ("o_custkey % 4", ("Ausstellungsdatum: 01.02.2015", "date of issue 31.02.2015", "", "date of issue: 3-4-19")),
+    ("o_custkey % 3", ("Ausstellende Behörde: Stadt Erfurt", "issuing authority   Town Hall, 2nd floor", "")),
+    ("o_orderkey % 4", ("Anschrift: Am Ring 5", "", "Wohnort  Ulm", "address: 5 Mill Lane")),
+    ("o_custkey % 6", ("CAN: 4O1I56", "card access number 123456", "can 99l999", "", "CAN 12345", "can: 654321")),
+    ("o_orderkey % 6", ("Augenfarbe: grün", "eye colour: BROWN", "Augenfarbe violett", "", "eye color: Haselnuss", "Augenfarbe:")),
+    ("o_custkey % 5", ("Größe: 172 cm", "height 300", "Körpergröße: 81cm", "", "groesse: 25")),
+    ("o_orderkey % 7", ("Aufenthaltstitel: Niederlassungserlaubnis", "permit type: Blue Card", "Art des Aufenthaltstitels: Duldung nach Paragraph", "Blaue Karte EU", "", "permit type: Student  Pass", "Aufenthaltserlaubnis")),
+)
+RECORDS["card_texts"] = f"SELECT o_orderkey AS doc_id, concat({', chr(10), '.join(case(number, lines) for number, lines in _CARD_LINES)}) AS text FROM {{orders}}"
