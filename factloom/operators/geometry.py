@@ -59,10 +59,20 @@ def envelope(spans: DataFrame, keys: list[str], box: str = "box") -> DataFrame:
     return spans.groupBy(*keys).agg(_box(F.min(x), F.min(y), F.max(x2), F.max(y2)).alias("box"))
 
 
+def conf_parts(confidence: Column) -> Column:
+    """Hundred-millionths, whole: their sums don't depend on the order of rows."""
+    return F.round(confidence * 100_000_000).cast("long")
+
+
+def mean4(total: Column, n: Column) -> Column:
+    """The mean of n confidences whose parts sum to total, to four digits, halves upwards; null if there are none."""
+    return F.floor(F.try_divide(2 * total + n * 10_000, 2 * n * 10_000)) / 10_000.0
+
+
 def page_confidence(parts: DataFrame) -> DataFrame:
     """Mean per document of the rounded means of its pages; parts(doc_id, page, conf)."""
-    pages = parts.groupBy("doc_id", "page").agg(F.round(F.avg("conf"), 4).alias("conf"))
-    return pages.groupBy("doc_id").agg(F.coalesce(F.round(F.avg("conf"), 4), F.lit(0.0)).alias("conf"), F.count("*").alias("pages"))
+    pages = parts.groupBy("doc_id", "page").agg(mean4(F.sum(conf_parts(F.col("conf"))), F.count("conf")).alias("conf"))
+    return pages.groupBy("doc_id").agg(F.coalesce(mean4(F.sum(conf_parts(F.col("conf"))), F.count("conf")), F.lit(0.0)).alias("conf"), F.count("*").alias("pages"))
 
 
 def page_text(blocks: DataFrame) -> DataFrame:

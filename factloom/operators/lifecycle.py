@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.fold import fold
+
 #: The steps that each kind of record allows.
 JOB_STEPS = [("PENDING", "RUNNING"), ("PENDING", "CANCELLED"), ("RUNNING", "COMPLETED"), ("RUNNING", "FAILED"), ("RUNNING", "CANCELLED"), ("RUNNING", "RETRYING"), ("FAILED", "RETRYING"), ("FAILED", "CANCELLED"), ("RETRYING", "RUNNING"), ("RETRYING", "CANCELLED")]
 DOCUMENT_STEPS = [("PENDING", "PROCESSING"), ("PENDING", "FAILED"), ("PROCESSING", "PROCESSED"), ("PROCESSING", "FAILED")]
@@ -17,22 +19,19 @@ def fold_cases(actions: DataFrame) -> DataFrame:
     actions(case_id, at, action): assign from any state, start from ASSIGNED, complete and escalate from
     IN_REVIEW (escalate: back to PENDING, CRITICAL), cancel from any open state. Others change nothing.
     """
-    steps = actions.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("at", "action"))).alias("steps"))
-    start = F.struct(F.lit("PENDING").alias("status"), F.lit("NORMAL").alias("priority"), F.lit(0).alias("refused"))
-
-    def step(state: Column, s: Column) -> Column:
-        now, do = state["status"], s["action"]
-        to = (
-            F.when(do == "assign", "ASSIGNED")
-            .when((do == "start") & (now == "ASSIGNED"), "IN_REVIEW")
-            .when((do == "complete") & (now == "IN_REVIEW"), "COMPLETED")
-            .when((do == "escalate") & (now == "IN_REVIEW"), "PENDING")
-            .when((do == "cancel") & ~now.isin("COMPLETED", "CANCELLED"), "CANCELLED")
-        )
-        raised = (do == "escalate") & to.isNotNull()
-        return F.struct(F.coalesce(to, now).alias("status"), F.when(raised, "CRITICAL").otherwise(state["priority"]).alias("priority"), (state["refused"] + F.when(to.isNull(), 1).otherwise(0)).alias("refused"))
-
-    return steps.select("case_id", F.aggregate("steps", start, step).alias("s")).select("case_id", "s.*")
+    def step(state: dict, row: dict) -> dict:
+        now, do = state.setdefault("status", "PENDING"), row["action"]
+        to = {("start", "ASSIGNED"): "IN_REVIEW", ("complete", "IN_REVIEW"): "COMPLETED", ("escalate", "IN_REVIEW"): "PENDING"}.get((do, now))
+        if do == "assign":
+            to = "ASSIGNED"
+        elif do == "cancel" and now not in ("COMPLETED", "CANCELLED"):
+            to = "CANCELLED"
+        state |= {"status": to or now, "priority": "CRITICAL" if to and do == "escalate" else state.get("priority", "NORMAL"), "refused": state.get("refused", 0) + (to is None), "n": state.get("n", 0) + 1}
+        return {"__status": state["status"], "__priority": state["priority"], "__refused": state["refused"], "__n": state["n"]}
+
+    after = fold(actions.select("case_id", "at", "action"), ["case_id"], ["at", "action"], dict, step, "__status string, __priority string, __refused int, __n long")
+    last = after.groupBy("case_id").agg(F.max_by(F.struct(F.col("__status").alias("status"), F.col("__priority").alias("priority"), F.col("__refused").alias("refused")), "__n").alias("s"))
+    return last.select("case_id", "s.*")
 
 
 def open_cases_only_once(incoming: DataFrame, cases: DataFrame) -> DataFrame:

@@ -5,24 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.geometry import conf_parts, mean4
+
 #: A page's blocks and tables as ``flatten_pages`` takes them.
 PAGE = """array<struct<block_id:string,confidence:double,lines:array<struct<line_id:string,words:array<struct<word_id:string,text:string,confidence:double>>>>>>"""
 CELLS = "array<struct<table_id:string,row:int,col:int,text:string,confidence:double>>"
 
 
-def _parts(confidence: Column) -> Column:
-    """Hundred-millionths, whole: their sums don't depend on the order of rows."""
-    return F.round(confidence * 100_000_000).cast("long")
-
-
-def _mean4(total: Column, n: Column) -> Column:
-    """The mean of n confidences whose parts sum to total, to four digits, halves upwards."""
-    return F.floor((2 * total + n * 10_000) / (2 * n * 10_000)) / 10_000.0
-
-
 def _mean(words: Column, otherwise: Column) -> Column:
-    total = F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s + _parts(w["confidence"]))
-    return F.when(F.size(words) > 0, _mean4(total, F.size(words))).otherwise(otherwise)
+    total = F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s + conf_parts(w["confidence"]))
+    return F.when(F.size(words) > 0, mean4(total, F.size(words))).otherwise(otherwise)
 
 
 def flatten_pages(pages: DataFrame) -> DataFrame:
@@ -79,14 +71,14 @@ def table_cells(boxes: DataFrame, page: list[str] = ["doc_id", "page"]) -> DataF
     rows = _islands(known, page, F.col("y"), F.col("y") + F.col("height"), "row")
     both = _islands(rows, page, F.col("x"), F.col("x") + F.col("width"), "col")
     parts = F.array_sort(F.collect_list(F.struct("x", "y", F.coalesce("text", F.lit("")).alias("text"))))
-    cells = both.groupBy(*page, "row", "col").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), _mean4(F.sum(_parts(F.col("confidence"))), F.count("confidence")).alias("confidence"))
+    cells = both.groupBy(*page, "row", "col").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), mean4(F.sum(conf_parts(F.col("confidence"))), F.count("confidence")).alias("confidence"))
     return cells
 
 
 def table_stats(cells: DataFrame, page: list[str] = ["doc_id", "page"]) -> DataFrame:  # noqa: B006
     """Rows, columns (the most cells of a row), cells, the mean of the rows' mean confidences, whether it is sure (0.8 or more) or poor (below 0.5)."""
-    rows = cells.groupBy(*page, "row").agg(F.count("*").alias("n"), _mean4(F.sum(_parts(F.col("confidence"))), F.count("confidence")).alias("c"))
-    stats = rows.groupBy(*page).agg(F.count("*").alias("n_rows"), F.max("n").alias("n_columns"), F.sum("n").alias("n_cells"), _mean4(F.sum(_parts(F.col("c"))), F.count("c")).alias("mean_confidence"))
+    rows = cells.groupBy(*page, "row").agg(F.count("*").alias("n"), mean4(F.sum(conf_parts(F.col("confidence"))), F.count("confidence")).alias("c"))
+    stats = rows.groupBy(*page).agg(F.count("*").alias("n_rows"), F.max("n").alias("n_columns"), F.sum("n").alias("n_cells"), mean4(F.sum(conf_parts(F.col("c"))), F.count("c")).alias("mean_confidence"))
     return stats.withColumns({"sure": F.col("mean_confidence") >= 0.8, "poor": F.col("mean_confidence") < 0.5})
 
 

@@ -45,17 +45,15 @@ def query(sql: str | None = None, *views: str):
 
 
 #: The universal patterns as RE2 writes them: type, pattern, confidence.
-PATTERNS_SQL = " UNION ALL ".join(
-    f"SELECT doc_id, '{kind}' AS fact_type, unnest(regexp_extract_all(text, '{regex}')) AS value, CAST({confidence} AS DOUBLE) AS confidence FROM texts"
-    for kind, regex, confidence in (
-        ("email", r"(?i)\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b", 0.80),
-        ("iban", r"(?i)\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b", 0.82),
-        ("phone_number", r"(?:\+?\d[\d\s()./-]{7,}\d)", 0.55),
-        ("date", r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", 0.55),
-        ("amount", r"(?i)\b\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{2})\s?(?:EUR|€)", 0.45),
-        ("document_number", r"(?i)\b[A-Z]{1,3}\d{5,10}\b", 0.45),
-    )
+PATTERNS = (
+    ("email", r"(?i)\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b", 0.80),
+    ("iban", r"(?i)\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b", 0.82),
+    ("phone_number", r"(?:\+?\d[\d\s()./-]{7,}\d)", 0.55),
+    ("date", r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", 0.55),
+    ("amount", r"(?i)\b\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{2})\s?(?:EUR|€)\b", 0.45),
+    ("document_number", r"(?i)\b[A-Z]{1,3}\d{5,10}\b", 0.45),
 )
+PATTERNS_SQL = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS fact_type, unnest(regexp_extract_all(text, '{regex}')) AS value, CAST({confidence} AS DOUBLE) AS confidence FROM texts" for kind, regex, confidence in PATTERNS)
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +188,7 @@ def evidence_by_document(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT entity_id, field_name, count(DISTINCT value) AS n_values, len(list(DISTINCT fact_id)) AS n_facts FROM facts GROUP BY ALL HAVING count(DISTINCT value) > 1", "facts")
 def conflict_details(spark: SparkSession, d: str) -> DataFrame:
-    return K.conflicts(S.facts(spark, d), ["entity_id", "field_name"]).select("entity_id", "field_name", "n_values", F.size("fact_ids").cast("long").alias("n_facts"))
+    return S.facts(spark, d).groupBy("entity_id", "field_name").agg(F.count_distinct("value").alias("n_values"), F.count_distinct("fact_id").alias("n_facts")).where("n_values > 1")
 
 
 @query("SELECT fact_id, entity_id, field_name FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY created_at, fact_id) AS r FROM facts WHERE status = 'pending') p WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM facts a WHERE a.status = 'accepted' AND a.entity_id = p.entity_id AND a.field_name = p.field_name)", "facts")
@@ -431,4 +429,4 @@ def self_declared_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the other modules of queries register theirs here
-from factloom.plans import build_queries, classify_queries, knowledge_queries, passport_queries, record_queries, scalar_queries, screen_queries, store_queries  # noqa: E402, F401
+from factloom.plans import build_queries, classify_queries, gate_sql, knowledge_queries, passport_queries, record_queries, scalar_queries, screen_queries, store_queries  # noqa: E402, F401
