@@ -120,3 +120,22 @@ def birth_date_ok(day: Column, as_of: Column) -> Column:
 def expiry_date_ok(day: Column, as_of: Column) -> Column:
     """In the future, in 30 years at most."""
     return F.coalesce((day > as_of) & (day <= F.add_months(as_of, 360)), F.lit(False))
+
+
+def utc_time(c: Column) -> Column:
+    """The instant of an ISO 8601 text, in UTC where it names no zone; null for blank and other texts."""
+    return F.try_to_timestamp(F.nullif(F.trim(c), F.lit("")))
+
+
+def utc_text(c: Column) -> Column:
+    """An instant as yyyy-mm-ddThh:mm:ss.ffffffZ; the session's zone must be UTC."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    return (F.unix_micros(end) - F.unix_micros(start)) / 1_000_000.0
+
+
+def is_expired(c: Column, now: Column, seconds: Column) -> Column:
+    """Whether an instant is at least so many seconds old."""
+    return seconds_between(c, now) >= seconds

@@ -144,4 +144,5 @@ def passport_facts(docs: DataFrame, as_of: Column, id_col: str = "doc_id", text_
         return T.once(T.once(mrz.read_text(text, fuzzy=True), lambda z: from_zone(z, as_of)), after_zone)
 
     found = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), T.once(plain(F.col(text_col)), staged).alias("__f"))
-    return found.select("doc_id", F.inline("__f"))
+    # an outer generator, since Spark would work the facts out a second time to filter texts without any
+    return found.select("doc_id", F.inline_outer("__f")).where("fact_type is not null")

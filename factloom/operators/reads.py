@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.text import normalize_key
+from factloom.sources.shared import written
+
 CLOSED_CASES = ("COMPLETED", "CANCELLED", "ACCEPTED", "REJECTED")
 #: What a screen shows for each status of a case.
 SHOWN = {"PENDING": "pending", "ASSIGNED": "pending", "IN_REVIEW": "pending", "COMPLETED": "accepted", "CANCELLED": "rejected"}
@@ -29,11 +32,69 @@ def search(rows: DataFrame, text: str, columns: list[str]) -> DataFrame:
     return rows.where(hit)
 
 
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with ``place``, their number from 1 in the order of all rows; equal rows are numbered as they come.
+
+    Rows are dealt in ranges of the order and written, each range numbers its own, and the ranges' sizes, one number each, say where it begins.
+    """
+    dealt = written(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["__range"], r["n"]) for r in dealt.groupBy("__range").agg(F.count("*").alias("n")).collect())
+    offsets, before = [], 0
+    for number, n in sizes:
+        offsets.append((number, before))
+        before += n
+    starts = F.broadcast(rows.sparkSession.createDataFrame(offsets, "__range int, __before long"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.join(starts, "__range").withColumn("place", (F.col("__before") + own).cast("int")).drop("__range", "__before")
+
+
+def latest_of_type(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last row of each key in the order in which rows were added."""
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), order).alias("__last"))
+    return last.select(*keys, "__last.*").select(*rows.columns)
+
+
+def connected(relationships: DataFrame, entities: DataFrame, facts: DataFrame) -> DataFrame:
+    """A row for each accepted fact of an entity that another is related to, in ``place`` order within the pair; entities without any have one row of null facts.
+
+    relationships(source_id, target_id, relation_type), entities(entity_id, display_name), facts(entity_id, fact_id, field_name, value,
+    status). Facts stand in rows, not in a list, so that an entity of very many facts is no row of its own.
+    """
+    targets = entities.select(F.col("entity_id").alias("target_id"), "display_name")
+    held = facts.where("status = 'accepted'").select(F.col("entity_id").alias("target_id"), "fact_id", "field_name", "value")
+    met = relationships.join(targets, "target_id").join(held, "target_id", "left")
+    place = F.row_number().over(Window.partitionBy("source_id", "target_id", "relation_type").orderBy("field_name", "fact_id"))
+    return met.select("source_id", "relation_type", "target_id", "display_name", "fact_id", "field_name", "value", F.when(F.col("fact_id").isNotNull(), place).alias("place"))
+
+
+def merged_first(lists: list[DataFrame], keys: list[Column], owner: str, most: int | None = None) -> DataFrame:
+    """Rows of several lists, those of an earlier list and then of smaller ``ord`` first, without later ones of the same key, at most ``most`` for each owner."""
+    out = None
+    for n, rows in enumerate(lists):
+        part = rows.withColumn("__list", F.lit(n))
+        out = part if out is None else out.unionByName(part)
+    first = out.withColumn("__r", F.row_number().over(Window.partitionBy(owner, *keys).orderBy("__list", "ord"))).where("__r = 1")
+    if most is not None:
+        first = first.withColumn("__r", F.row_number().over(Window.partitionBy(owner).orderBy("__list", "ord"))).where(F.col("__r") <= most)
+    return first.drop("__r", "__list")
+
+
+def requested(rows: DataFrame, types: list[str], column: str = "fact_type") -> DataFrame:
+    """Rows of the types asked for; none asked for are all."""
+    return rows.where(F.col(column).isin(*types)) if types else rows
+
+
+def profile_view(facts: DataFrame) -> DataFrame:
+    """Accepted facts with their field's normalised name and the first value that isn't blank of canonical and display; blank ones are left out."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return facts.where("status = 'accepted'").withColumns({"field_name": normalize_key(F.col("field_name")), "value": F.coalesce(blank("canonical_value"), blank("display_value"))}).where("value is not null")
+
+
 def active_entities(entities: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """Active entities, newest first; with ``wanted`` (entity_id), each resolved to itself or the first active one."""
     active = entities.where("status = 'active'")
     if wanted is None:
-        return active.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), "display_name")))
+        return numbered(active, [F.desc("created_at"), F.col("display_name")])
     first = active.orderBy(F.desc("created_at"), "display_name").limit(1).select(F.col("entity_id").alias("first_id"))
     found = wanted.join(active.select("entity_id", F.lit(True).alias("known")), "entity_id", "left").crossJoin(F.broadcast(first))  # one row
     return found.select("entity_id", F.when(F.col("known"), F.col("entity_id")).otherwise(F.col("first_id")).alias("resolved_id"))

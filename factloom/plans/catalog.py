@@ -429,4 +429,4 @@ def self_declared_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the other modules of queries register theirs here
-from factloom.plans import build_queries, classify_queries, gate_sql, knowledge_queries, passport_queries, record_queries, scalar_queries, screen_queries, store_queries  # noqa: E402, F401
+from factloom.plans import build_queries, classify_queries, gate_sql, knowledge_queries, passport_queries, read_queries, record_queries, scalar_queries, screen_queries, store_queries  # noqa: E402, F401
