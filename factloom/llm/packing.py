@@ -82,9 +82,9 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str) -> ChunkEncoder:
+def encoder_of(path: str, cache_size: int) -> ChunkEncoder:
     """One encoder per worker process: later tasks start from the words that earlier ones learned."""
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, cache_size)
 
 
 def _tier(n: int) -> int:
@@ -178,18 +178,18 @@ class Packer:
         self.docs = {k: v for k, v in self.docs.items() if k in open_docs}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_length: int = 4096, buffer_tokens: int = 1 << 20, step_tokens: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_length: int = 4096, buffer_tokens: int = 1 << 20, step_tokens: int = 1 << 17, cache_size: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, its ids (little-endian
     unsigned 32-bit), the sequence's window and step group.
 
     Needs no shuffle: each partition packs its own rows through a buffer of ``buffer_tokens``
     tokens, so neither a hot source nor a long text gathers anywhere. A null or empty text is the
-    end id alone. Repeated rows are packed once each; a null id stays null; other columns are not
+    end id alone. ``cache_size`` bounds the chunks and words that a worker keeps, about 150 bytes each; it changes no result. Repeated rows are packed once each; a null id stays null; other columns are not
     read; an empty table gives no pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_path)
+        encoder = encoder_of(tokenizer_path, cache_size)
         packer = Packer(TaskContext.get().partitionId(), max_length, buffer_tokens, step_tokens)
         end = np.array([end_id], "<u4").tobytes()
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]

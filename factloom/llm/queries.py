@@ -77,7 +77,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path("word_bpe_49k.json"))
+    pieces = packing.pack(spread(load(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path("word_bpe_49k.json"), cache_size=150_000)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
 
 
