@@ -1,6 +1,7 @@
 import datetime
 import hashlib
 import hmac
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +58,23 @@ def test_text(spark):
     assert one(spark, T.normalize_key(F.lit(" Birth-Date  of__X "))) == "birth_date_of_x"
     assert one(spark, T.normalize_text(F.lit("Größe: [Ä]"))) == "groesse ae"
     assert one(spark, T.clean_lines(F.lit("a  b\r\n\nsee http://x\n c "))) == ["a b", "c"]
+
+
+def test_lcs_by_bits_is_the_table(spark):
+    r = random.Random(1)
+
+    def table(a, b):
+        before = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[-1]))
+            before = row
+        return before[-1]
+
+    pairs = [("", ""), ("a", ""), ("Ab", "aB"), (None, "a"), ("xxa", "yya")] + [("".join(r.choice("ab cÄ") for _ in range(r.randrange(40))), "".join(r.choice("ab cÄ") for _ in range(r.randrange(40)))) for _ in range(200)] + [("ab" * 300, "ba" * 290)]
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", T.lcs_ratio(F.col("a"), F.col("b")).alias("v")).collect()
+    for row in got:
+        a, b = pairs[row["i"]]
+        want = None if a is None else 1.0 if a.lower() == b.lower() else 0.0 if not a or not b else 2 * table(a.lower(), b.lower()) / (len(a) + len(b))
+        assert row["v"] == want
