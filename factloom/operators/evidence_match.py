@@ -19,11 +19,6 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, F.lit(GRAM))))
 
 
-def _probe(c: Column) -> Column:
-    """One of a text's grams: that of the least hash, so that texts that begin alike don't all meet at one key."""
-    return F.array_min(F.transform(_grams(c), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
-
-
 def match_evidence(items: DataFrame, candidates: DataFrame) -> DataFrame:
     """item_id and the first candidate of its document (by ord) that it matches: (doc_id, item_id, candidate_id, how).
 
@@ -32,22 +27,32 @@ def match_evidence(items: DataFrame, candidates: DataFrame) -> DataFrame:
     texts: array of strings), candidates(doc_id, candidate_id, ord, texts, has_spans). Blank texts match nothing; item ids are
     unique in a document; repeated candidates count once.
 
-    A text that is contained in another shares all its four-letter grams, so texts meet at one gram of the shorter one, found among all
-    grams of the longer one, and what meets is verified: joins on (document, gram) and (document, text), no pair of all texts.
+    Texts that repeat in a document are met once: of equal candidates the first stands for all, items take what their distinct texts
+    found. A text that is contained in another shares all its four-letter grams, so distinct texts meet at one gram of the shorter one, found
+    among all grams of the longer one, and what meets is verified: joins on (document, gram) and (document, text), no pair of all texts. The
+    gram is the one that the fewest of the document's longer texts hold, so that a word which all of them share is no meeting place.
     """
     def values(df: DataFrame, *keep: str) -> DataFrame:
         texts = F.array_distinct(F.filter(F.transform("texts", match_text), lambda t: t != ""))
         return df.select("doc_id", *keep, F.explode(texts).alias("t"))
 
-    wanted = values(items, "item_id").withColumnRenamed("t", "s")
-    known = values(candidates, "candidate_id", "ord").withColumnRenamed("t", "c")
-    equal = wanted.join(known, (wanted.doc_id == known.doc_id) & (wanted.s == known.c)).select(wanted.doc_id, "item_id", "candidate_id", "ord")
-    long = lambda df, c: df.where(F.length(c) >= GRAM)
-    at = lambda df, c: long(df, c).withColumn("gram", _probe(F.col(c)))
-    spread = lambda df, c: long(df, c).withColumn("gram", F.explode(_grams(F.col(c))))
-    inside = at(wanted, "s").join(spread(known, "c"), ["doc_id", "gram"]).where(F.contains("c", "s")).select("doc_id", "item_id", "candidate_id", "ord")
-    around = spread(wanted, "s").join(at(known, "c"), ["doc_id", "gram"]).where(F.contains("s", "c")).select("doc_id", "item_id", "candidate_id", "ord")
-    first = equal.unionByName(inside).unionByName(around).groupBy("doc_id", "item_id").agg(F.min(F.struct("ord", "candidate_id")).alias("m"))
+    asked = values(items, "item_id").withColumnRenamed("t", "s")
+    wanted = asked.select("doc_id", "s").distinct()
+    known = values(candidates, "candidate_id", "ord").groupBy("doc_id", F.col("t").alias("c")).agg(F.min(F.struct("ord", "candidate_id")).alias("m"))
+    equal = wanted.join(known, (wanted.doc_id == known.doc_id) & (wanted.s == known.c)).select(wanted.doc_id, "s", "m")
+    spread = lambda df, c: df.where(F.length(c) >= GRAM).withColumn("gram", F.explode(_grams(F.col(c))))
+
+    def within(short: DataFrame, a: str, long: DataFrame, b: str) -> DataFrame:
+        """doc_id, s and m of the texts of short that stand in one of long."""
+        held = spread(long, b)
+        rare = held.groupBy("doc_id", "gram").agg(F.count("*").alias("__n"))
+        # a text one of whose grams no longer text holds stands in none; the left join leaves it the count 0 and it meets nothing
+        probes = spread(short, a).join(rare, ["doc_id", "gram"], "left").groupBy(*short.columns).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("gram"))).alias("__p"))
+        at = probes.where("__p.n > 0").select(*short.columns, F.col("__p.gram").alias("gram"))
+        return at.join(held, ["doc_id", "gram"]).where(F.contains(b, a)).select("doc_id", "s", "m")
+
+    met = equal.unionByName(within(wanted, "s", known, "c")).unionByName(within(known, "c", wanted, "s")).groupBy("doc_id", "s").agg(F.min("m").alias("m"))
+    first = asked.join(met, ["doc_id", "s"]).groupBy("doc_id", "item_id").agg(F.min("m").alias("m"))
     spans = candidates.where("has_spans").groupBy("doc_id").agg(F.min(F.struct("ord", "candidate_id")).alias("f"))
     met = items.select("doc_id", "item_id").join(first, ["doc_id", "item_id"], "left").join(spans, "doc_id", "left")
     how = F.when(F.col("m").isNotNull(), "match").when(F.col("f").isNotNull(), "fallback")
