@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from factloom.operators import evidence_match
+from pyspark.sql import functions as F
+
+from factloom.functions import text as T
+from factloom.operators import evidence_match, universal
 from factloom.operators import geometry as G
+from factloom.sources import candidates as _  # noqa: F401  registers its records
+from factloom.sources import passports as __  # noqa: F401
+from factloom.sources.records import record
 
 
 def _joined_rows(spark, df):
@@ -41,3 +47,17 @@ def test_span_letters_keep_their_number_in_upper_case(spark):
     spans = spark.createDataFrame([(1, "a", "weiß ŉ"), (1, "b", "lass"), (1, "c", "ʼn ᾈ")], "doc_id long, span_id string, text string")
     found = {r["candidate_id"]: r["span_ids"] for r in G.spans_with_value(cands, spans).collect()}
     assert found == {10: ["b"], 11: ["a"], 12: [], 13: ["a"], 14: ["c"]}
+
+
+def test_many_labels_asks_no_pattern_made_from_each_row(spark):
+    values = ["name", "given name", "surname only", "nothing here", "enamel", "staatsangehörigkeit", "valid until geb", None]
+    found = spark.createDataFrame([(v,) for v in values], "v string").select(universal.many_labels(T.normalize_text(F.col("v"))).alias("m"))
+    # the German word has two spellings in the table that are one label once normalised
+    assert [r["m"] or False for r in found.collect()] == [False, True, False, False, False, True, True, False]
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_of_a_table_of_one_row_group_are_many_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for name in ("texts", "labelled_texts", "card_texts", "candidate_rows"):
+        assert record(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() >= 4 * cores, name
