@@ -77,7 +77,35 @@ def _shared(a: Column, b: Column, from_end: bool) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), once(cut(a), of)).otherwise(F.array().cast("array<string>"))
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2, min_bytes: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _interior(ranges: Column) -> Column:
+    """Numbers of the pairs of neighbouring lines that lie in ranges of struct(a, n)."""
+    return F.flatten(F.transform(ranges, lambda g: F.sequence(g["a"], g["a"] + g["n"] - 2)))
+
+
+def _pairs(text: Column, without: Column) -> Column:
+    """struct(i, pair) for each two neighbouring lines i and i + 1: SHA-256 of both; pairs numbered in ``without`` are left out."""
+
+    def of(ls: Column) -> Column:
+        at = F.when(F.size(ls) > 1, F.array_except(F.sequence(F.lit(0), F.size(ls) - 2), without)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("i"), F.unhex(F.sha2(F.concat(F.get(ls, i), F.lit("\n"), F.get(ls, i + 1)), 256)).alias("pair")))
+
+    return once(F.split(text, "\n", -1), of)
+
+
+def _later_pairs(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """k, u, a, n = 2 of each pair of neighbouring lines outside of the runs that stands at a smaller k, u or line too.
+
+    A pair within a run is no first place, so the first places of all pairs are among those that are looked at.
+    """
+    gone = runs.groupBy("k", "u").agg(F.collect_set(F.struct("a", "n")).alias("ranges"))  # within one document
+    known = rows.join(broadcast_if_small(gone, 1_000_000, F.size("ranges") + 2), ["k", "u"], "left").withColumn("ranges", F.coalesce("ranges", F.array().cast("array<struct<a:int,n:int>>")))
+    places = known.select("k", "u", F.explode(_pairs(F.col("t"), _interior(F.col("ranges")))).alias("p")).select("k", "u", "p.i", "p.pair")
+    first = places.groupBy("pair").agg(F.min(F.struct("k", "u", "i")).alias("first"), F.count("*").alias("times")).where("times > 1").select("pair", "first")
+    first = broadcast_if_small(materialize(first, "pairs"), 200_000)
+    return places.join(first, "pair").where(F.struct("k", "u", "i") != F.col("first")).select("k", "u", F.col("i").alias("a"), F.lit(2).alias("n"))
+
+
+def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2, min_bytes: int = 0, pairs: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without later copies of repeated runs of lines, and array column ``chunks_cut``.
 
     Content-defined chunks of at least ``min_lines`` lines (a chunk of one line counts together with the next) choose the candidates: hash
@@ -86,8 +114,9 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: i
     are equal in bytes to those around the first one, into the two chunks before and after it; what is equal beyond them holds
     repeated chunks itself. So matches reach the ends of the passage that they are in. A run of lines that are in matches goes
     if it has ``min_bytes`` bytes of ink (others than spaces and line ends), so that blank lines and closing braces, which repeat in most
-    texts, stay. A repeated run that holds no whole chunk is not found. Runs may overlap their first place, so a
-    repeating text keeps its first period. ``chunks_cut`` lists the runs that went, (text, n_lines).
+    texts, stay. A repeated run that holds no whole chunk is found with ``pairs`` only: what the chunks left is then matched by
+    pairs of neighbouring lines (SHA-256 of both), of each of which the first place stays, so that every later run of two lines or more is in
+    matches. Runs may overlap their first place, so a repeating text keeps its first period. ``chunks_cut`` lists the runs that went, (text, n_lines).
 
     Rows of the same id and text are taken as the same document and treated alike, those of the
     same id and another text are other documents; rows of null id or text stay as they are (an
@@ -107,6 +136,9 @@ def dedup_lines(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: i
     later = candidates.join(first, ["h", "chunk"]).where(F.struct("k", "u", "a") != F.struct("first.k", "first.u", "first.a"))
     grown = later.withColumns({"up": _shared(F.col("before"), F.col("first.before"), True), "down": _shared(F.col("after"), F.col("first.after"), False)})
     runs = grown.select("k", "u", (F.col("a") - F.size("up")).alias("a"), (F.col("n") + F.size("up") + F.size("down")).alias("n"))
+    if pairs:
+        runs = materialize(runs, "runs")
+        runs = runs.unionByName(_later_pairs(rows, runs))
     cut = runs.groupBy("k", "u").agg(F.flatten(F.collect_set(F.sequence("a", F.col("a") + F.col("n") - 1))).alias("cut"))  # within one document
     cut = materialize(cut.select(F.col("k").alias("__k"), F.col("u").alias("__u"), F.array_sort(F.array_distinct("cut")).alias("__cut")), "cut")
 

@@ -20,7 +20,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), size=2, threshold=80)
 
 
-#: A repeated run of lines goes if it has this many bytes that are no white space.
+#: In the pipeline a repeated run of lines goes if it has this many bytes that are no white space.
 LEAST_INK = 80
 #: Targets of the mix: weights of domains and languages; sources of a leaf count alike.
 MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
@@ -60,7 +60,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    found = line_dedup.dedup_lines(docs, min_bytes=LEAST_INK)
+    found = line_dedup.dedup_lines(docs, pairs=True)
     cut_lines = F.aggregate("chunks_cut", F.lit(0).cast("long"), lambda n, c: n + c["n_lines"])
     return found.select("doc_id", F.size("chunks_cut").cast("long").alias("n_chunks_cut"), cut_lines.alias("n_lines_cut"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
@@ -199,36 +199,22 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
 FROM d LEFT JOIN a USING (doc_id)
 """ % ",\n".join(f"({n}, '{t.label}', '{t.words}', '{t.key}')" for n, t in enumerate([*licenses.BASE, *licenses.NOTICES]))
 
-OP5_SQL = f"""
+OP5_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents
-), h AS (
-  SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) % 2147483647 AS h FROM l
+), p AS (
+  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM l
 ), r AS (
-  SELECT *, (h + coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 31 % 2147483647) % 2147483647 % 2 = 0 OR coalesce(h = lag(h) OVER (PARTITION BY doc_id ORDER BY i), false) AS hit FROM h
-), g AS (
-  SELECT *, coalesce(sum(hit::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM r
+  SELECT doc_id, i, row_number() OVER (PARTITION BY line, after ORDER BY doc_id, i) > 1 AS again FROM p WHERE after IS NOT NULL
 ), c AS (
-  SELECT doc_id, g, min(i) AS a, count(*) AS n, list(line ORDER BY i) AS ls FROM g GROUP BY doc_id, g
-), q AS (
-  SELECT *, coalesce(lag(ls, 2) OVER w, []) || coalesce(lag(ls) OVER w, []) AS b, coalesce(lead(ls) OVER w, []) AS f1, coalesce(lead(ls, 2) OVER w, []) AS f2, coalesce(lead(ls, 3) OVER w, []) AS f3 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY g)
-), p AS (
-  SELECT doc_id, a, b, CASE WHEN n = 1 THEN array_to_string(ls || f1, chr(10)) ELSE array_to_string(ls, chr(10)) END AS chunk, CASE WHEN n = 1 THEN n + len(f1) ELSE n END AS n, CASE WHEN n = 1 THEN f2 || f3 ELSE f1 || f2 END AS f FROM q
-), o AS (
-  SELECT *, row_number() OVER w AS nth, first(b) OVER w AS b0, first(f) OVER w AS f0 FROM p WHERE n >= 2 WINDOW w AS (PARTITION BY chunk ORDER BY doc_id, a)
-), m AS (
-  SELECT *, coalesce(list_max(list_filter(range(1, least(len(b), len(b0)) + 1), lambda j: b[len(b) - j + 1:] = b0[len(b0) - j + 1:])), 0) AS up,
-    coalesce(list_max(list_filter(range(1, least(len(f), len(f0)) + 1), lambda j: f[1:j] = f0[1:j])), 0) AS down FROM o WHERE nth > 1
-), x AS (
-  SELECT DISTINCT doc_id, unnest(range(a - up, a + n + down)) AS i FROM m
-), v AS (
-  SELECT *, sum(strlen(translate(line, ' ' || chr(9) || chr(13), ''))) OVER (PARTITION BY doc_id, run) AS ink FROM (SELECT x.*, l.line, x.i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM x JOIN l USING (doc_id, i))
-), k AS (
-  SELECT l.*, v.i IS NOT NULL AS cut FROM l LEFT JOIN (FROM v WHERE ink >= {LEAST_INK}) v ON v.doc_id = l.doc_id AND v.i = l.i
+  SELECT l.*, coalesce(a.again, false) OR coalesce(b.again, false) AS cut FROM l
+  LEFT JOIN r a ON a.doc_id = l.doc_id AND a.i = l.i LEFT JOIN r b ON b.doc_id = l.doc_id AND b.i = l.i - 1
+), e AS (
+  SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM c
 ), s AS (
   SELECT doc_id, count(*) FILTER (begins) AS n_chunks_cut, count(*) FILTER (cut) AS n_lines_cut,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT cut), '')) AS kept_sha256
-  FROM (SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM k) GROUP BY doc_id
+  FROM e GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_chunks_cut, 0) AS n_chunks_cut, coalesce(n_lines_cut, 0) AS n_lines_cut, kept_sha256
 FROM documents LEFT JOIN s USING (doc_id)

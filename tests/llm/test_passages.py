@@ -116,3 +116,16 @@ def test_trivial_runs_stay_and_chunks_decide(spark):
     assert [got[i] for i in range(3)] == texts and got[10] == f"p\n{passage}\nq" and got[11] == "r\ns" and got[12] == "t"
     alone = line_dedup.dedup_lines(docs, divisor=1_000_000_007, min_bytes=80).collect()  # every text is one chunk
     assert all(not r["chunks_cut"] for r in alone)
+
+
+def test_every_later_pair_of_lines_goes(spark):
+    docs = spark.createDataFrame([(1, "a\n}\n\nb\nc"), (2, "x\n}\n\ny"), (3, "b\nc\nq\n}\n\nb\nc")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, pairs=True).collect()}
+    assert got == {1: "a\n}\n\nb\nc", 2: "x\ny", 3: "q"}
+
+
+def test_the_query_of_line_dedup_keeps_no_short_runs(spark, tmp_path):
+    from factloom.llm.queries import op5_line_dedup
+
+    spark.createDataFrame([(1, "a\n}\n\nb"), (2, "x\n}\n\ny")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: (r["n_chunks_cut"], r["n_lines_cut"]) for r in op5_line_dedup(spark, str(tmp_path)).collect()} == {1: (0, 0), 2: (1, 2)}
