@@ -295,8 +295,11 @@ def first_rule(rules: list[Rule]) -> Column:
 
 
 def _held(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with further columns, worked out once each: the optimizer doesn't write them out again where later columns or filters use them."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+    """rows with further columns, worked out once each: the optimizer doesn't write them out again where later columns or filters use them.
+
+    The transform keeps a stage's long lists of rules out of one generated method, which would be too long for the JVM to compile.
+    """
+    return rows.select("*", F.inline(F.transform(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])), lambda x: x)))
 
 
 def decide(candidates: DataFrame, as_of: Column) -> DataFrame:
@@ -313,13 +316,15 @@ def decide(candidates: DataFrame, as_of: Column) -> DataFrame:
     field = F.when(F.coalesce(metadata["target_field"], F.lit("")) != "", target).otherwise(F.lower(F.trim(text("fact_type"))))
     context = context_text(text("fact_type"), text("raw_value"), text("normalized_value"), text("source_stage"), metadata)
     new = ("field_name", "field_rule", "date_rule", "is_fact", "fact_rule", "reject_reason")
-    rows = _held(candidates.drop(*new), __value=value, __context=context, __field=field, __target=target, __day=F.coalesce(knowledge_date(text("normalized_value")), knowledge_date(text("raw_value"))))
-    rows = _held(rows, __in_value=hint_bits(F.lower("__value")), __in_context=hint_bits(F.col("__context")))
+    dated = field.isin(*FIELDS["date"]) | F.lower(F.trim(text("fact_type"))).isin(*FIELDS["date"]) | looks_like_date(text("normalized_value"))
+    # only dates are read for days, and a raw value that is the normalized one isn't read again
+    day = F.coalesce(knowledge_date(text("normalized_value")), F.when(text("raw_value") != text("normalized_value"), knowledge_date(text("raw_value"))))
+    rows = _held(candidates.drop(*new), __value=value, __context=context, __field=field, __target=target, __dated=dated)
+    rows = _held(rows, __day=F.when(F.col("__dated"), day), __in_value=hint_bits(F.lower("__value")), __in_context=hint_bits(F.col("__context")))
     s = Signals(F.col("__value"), F.lower("__value"), F.col("__context"), F.col("__in_value"), F.col("__in_context"))
-    dated = F.col("__field").isin(*FIELDS["date"]) | F.lower(F.trim(text("fact_type"))).isin(*FIELDS["date"]) | looks_like_date(text("normalized_value"))
-    by_date = F.when(dated, first_rule(date_rules(s, F.col("__field"), F.col("__target"), F.col("__day"), as_of)))
-    rows = _held(rows, __date=by_date, __own=F.when(~dated, first_rule(field_rules(s, F.col("__field")))))
+    by_date = F.when(F.col("__dated"), first_rule(date_rules(s, F.col("__field"), F.col("__target"), F.col("__day"), as_of)))
+    rows = _held(rows, __date=by_date, __own=F.when(~F.col("__dated"), first_rule(field_rules(s, F.col("__field")))))
     rows = _held(rows, field_name=F.coalesce("__date.result", "__own.result"))
     rows = _held(rows, __fact=first_rule(fact_rules(s, F.col("field_name"), text("fact_type"), text("source_stage"), metadata)))
     made = {"field_rule": F.coalesce("__own.name", F.lit("date")), "date_rule": F.col("__date.name"), "is_fact": F.col("__fact.result"), "fact_rule": F.col("__fact.number"), "reject_reason": F.when(~F.col("__fact.result"), F.col("__fact.name"))}
-    return rows.withColumns(made).drop("__value", "__context", "__field", "__target", "__day", "__in_value", "__in_context", "__date", "__own", "__fact")
+    return rows.withColumns(made).drop("__value", "__context", "__field", "__target", "__dated", "__day", "__in_value", "__in_context", "__date", "__own", "__fact")
