@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
@@ -12,6 +12,8 @@ KINDS = {"TD1": (3, 30), "TD2": (2, 36), "TD3": (2, 44)}
 #: Codes of documents, and what OCR takes for digits and for letters.
 CODES = ("P", "I", "ID", "A", "C", "V")
 AS_DIGITS, AS_LETTERS = ("OoIilBSsGZQ", "00111855620"), ("01", "OI")
+#: What characters count in a check digit, from 0.
+VALUES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Pairs of characters that OCR takes for each other, one way and the other.
 CONFUSED = ("0O", "O0", "1I", "I1", "8B", "B8", "5S", "S5", "6G", "G6", "2Z", "Z2", "0Q", "Q0")
 #: Where fields stand, as (line, first, end) from 0, for the kinds of zone.
@@ -31,22 +33,27 @@ TEXT_FIELDS = ("document_code", "issuing_country", "surname", "given_names", "do
 
 def check_digit(c: Column) -> Column:
     """Weights 7, 3, 1; letters from 10, the filler and anything else 0."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    value = lambda x: F.when(x.rlike("[0-9]"), F.ascii(x) - 48).when(x.rlike("[A-Z]"), F.ascii(x) - 55).otherwise(0)
-    return F.aggregate(F.transform(chars, lambda x, i: value(x) * F.element_at(F.array(F.lit(7), F.lit(3), F.lit(1)), i % 3 + 1)), F.lit(0), lambda s, v: s + v) % 10
+    value = lambda x: F.greatest(F.position(x, F.lit(VALUES)) - 1, F.lit(0))
+    return F.aggregate(F.transform(F.split(c, ""), lambda x, i: value(x) * F.element_at(F.array(F.lit(7), F.lit(3), F.lit(1)), i % 3 + 1)), F.lit(0), lambda s, v: s + v) % 10
 
 
 def lines_of(text: Column) -> Column:
     """The lines that may belong to a zone: two or more of 15 to 44 of its characters; else with them those of 25 characters or more, three
     letters or digits in a row and a filler in twenty. Fewer than two in all are none."""
-    clean = F.transform(F.split(text, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]", -1), lambda x: F.regexp_replace(F.upper(F.regexp_replace(x, r"(?U)\s+", "")), "[.,;]", ""))
+    # white space of all widths and .,; go from the whole text at once; only breaks of lines stay
+    packed = F.regexp_replace(text, r"[.,;\t\p{Zs}]+", "")
+    clean = F.transform(F.split(packed, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]", -1), F.upper)
     good = lambda x: x.rlike("^[A-Z0-9<]{15,44}$")
     fillers = lambda x: F.length(F.regexp_replace(x, "[^<]", ""))
+    relaxed = lambda x: ~good(x) & (F.length(x) >= 25) & x.rlike("[A-Z0-9]{3}") & (fillers(x) * 20 >= F.length(x))
+    none = F.array().cast("array<string>")
 
     def admitted(ls: Column) -> Column:
-        strict = F.filter(ls, good)
-        relaxed = F.filter(ls, lambda x: ~good(x) & (F.length(x) >= 25) & x.rlike("[A-Z0-9]{3}") & (fillers(x) * 20 >= F.length(x)))
-        return F.when(F.size(strict) >= 2, strict).when(F.size(strict) + F.size(relaxed) >= 2, F.concat(strict, relaxed)).otherwise(F.array().cast("array<string>"))
+        def joined(strict: Column) -> Column:
+            more = T.once(F.filter(ls, relaxed), lambda found: F.when(F.size(strict) + F.size(found) >= 2, F.concat(strict, found)).otherwise(none))
+            return F.when(F.size(strict) >= 2, strict).otherwise(more)
+
+        return T.once(F.filter(ls, good), joined)
 
     return T.once(clean, admitted)
 
@@ -95,14 +102,14 @@ def _cut(kind: str, lines: Column) -> Column:
     return T.once(padded, made)
 
 
-def parse(lines: Column, nearest: bool = True) -> Column:
+def parse(lines: Column, nearest: bool = True, repair: bool = True) -> Column:
     """A zone's struct: kind, lines, TEXT_FIELDS, checks (name, ok), n_errors, confidence, status, check_ok, number_repaired; null if there is none.
 
     Lines are filled up or cut to the kind's length. Letters in dates are taken for digits, zero and one in countries and numbers
     for letters; check digits are those of what stands there. confidence is the share of right ones; VALID is a zone without any
     error (check digits, sex, days), then PARTIAL from a half on, OCR_CORRUPTED above 0, INVALID. number_repaired is
     the one document number with a right check digit among those that differ in one character that OCR confuses; null if the
-    number's digit is right, or if none or several are.
+    number's digit is right, or if none or several are, and always without ``repair``.
     """
 
     def chosen(kind: Column) -> Column:
@@ -113,24 +120,26 @@ def parse(lines: Column, nearest: bool = True) -> Column:
         spaced = lambda c: F.trim(F.translate(c, "<", " "))
         letters = lambda k: F.translate(r[k], *AS_LETTERS).alias(k)
         stripped = lambda k: F.btrim(r[k], F.lit("<")).alias(k)
-        names = F.split(r["names"], "<<", 2)
-        dates = {k: F.translate(r[k], *AS_DIGITS) for k in ("date_of_birth", "expiry_date")}
+        dates = [F.translate(r[k], *AS_DIGITS).alias(k) for k in ("date_of_birth", "expiry_date")]
+        checked = F.transform(r["checks"], lambda c: F.struct(c["name"].alias("name"), (check_digit(c["covered"]).cast("string") == c["digit"]).alias("ok")))
         day = lambda c: ~c.rlike("^[0-9]{6}$") | F.try_to_date(F.concat(F.lit("20"), c), "yyyyMMdd").isNull()
-        wrong = (~r["sex"].isin("M", "F", "X", "<")).cast("int") + sum(day(c).cast("int") for c in dates.values())
-        fields = [
-            F.rtrim(r["document_code"], F.lit("<")).alias("document_code"), letters("issuing_country"), spaced(names[0]).alias("surname"), F.coalesce(spaced(F.get(names, F.lit(1))), F.lit("")).alias("given_names"),
-            letters("document_number"), letters("nationality"), dates["date_of_birth"].alias("date_of_birth"), r["sex"].alias("sex"), dates["expiry_date"].alias("expiry_date"), r["personal_number"].alias("personal_number"), stripped("optional_1"), stripped("optional_2"),
-        ]
-
-        def told(cs: Column) -> Column:
-            right = F.size(F.filter(cs, lambda c: c["ok"]))
-            share, errors = F.round(right / F.size(cs), 4), F.size(cs) - right + wrong
+
+        def counted(k: Column) -> Column:
+            wrong = (~r["sex"].isin("M", "F", "X", "<")).cast("int") + day(k["date_of_birth"]).cast("int") + day(k["expiry_date"]).cast("int")
+            return F.struct(k.alias("k"), F.size(F.filter(k["checks"], lambda c: c["ok"])).alias("right"), wrong.alias("wrong"))
+
+        def told(t: Column) -> Column:
+            k, right, cs = t["k"], t["right"], t["k"]["checks"]
+            share, errors = F.round(right / F.size(cs), 4), F.size(cs) - right + t["wrong"]
             status = F.when(errors == 0, "VALID").when(share >= 0.5, "PARTIAL").when(share > 0, "OCR_CORRUPTED").otherwise("INVALID")
-            repaired = F.when(~cs[0]["ok"], T.once(swaps(r["document_number"], r["checks"][0]["digit"]), lambda found: F.when(F.size(found) == 1, found[0])))
+            fields = [
+                F.rtrim(r["document_code"], F.lit("<")).alias("document_code"), letters("issuing_country"), spaced(k["names"][0]).alias("surname"), F.coalesce(spaced(F.get(k["names"], F.lit(1))), F.lit("")).alias("given_names"),
+                letters("document_number"), letters("nationality"), k["date_of_birth"].alias("date_of_birth"), r["sex"].alias("sex"), k["expiry_date"].alias("expiry_date"), r["personal_number"].alias("personal_number"), stripped("optional_1"), stripped("optional_2"),
+            ]
+            repaired = F.when(~cs[0]["ok"], T.once(swaps(r["document_number"], r["checks"][0]["digit"]), lambda found: F.when(F.size(found) == 1, found[0]))) if repair else F.lit(None).cast("string")
             return F.struct(r["kind"].alias("kind"), r["lines"].alias("lines"), *fields, cs.alias("checks"), errors.alias("n_errors"), share.alias("confidence"), status.alias("status"), (right == F.size(cs)).alias("check_ok"), repaired.alias("number_repaired"))
 
-        checked = F.transform(r["checks"], lambda c: F.struct(c["name"].alias("name"), (check_digit(c["covered"]).cast("string") == c["digit"]).alias("ok")))
-        return F.when(r.isNotNull(), T.once(checked, told))
+        return F.when(r.isNotNull(), T.once(T.once(F.struct(checked.alias("checks"), F.split(r["names"], "<<", 2).alias("names"), *dates), counted), told))
 
     return T.once(T.once(kind_of(lines, nearest), chosen), finished)
 
@@ -138,14 +147,24 @@ def parse(lines: Column, nearest: bool = True) -> Column:
 def fuzzy_text(text: Column) -> Column:
     """The text, headed by the first two of its lines that hold many fillers when all else is left out of them (44 characters each)."""
     compact = F.transform(F.split(text, r"\r\n|[\n\r]", -1), lambda x: F.regexp_replace(F.upper(x), "[^A-Z0-9<]", ""))
-    zeros = F.transform(compact, lambda x: F.when(x.rlike("[0-9]"), F.translate(x, "O", "0")).otherwise(x))
+    zeros = F.transform(compact, lambda x: F.when(x.rlike("[0-9]"), F.replace(x, F.lit("O"), F.lit("0"))).otherwise(x))
     likely = F.filter(zeros, lambda x: (x.contains("<<") | (F.length(F.regexp_replace(x, "[^<]", "")) >= 4)) & F.length(x).between(30, 50))
     return T.once(F.slice(F.transform(likely, lambda x: F.rpad(F.substring(x, 1, 44), 44, "<")), 1, 2), lambda found: F.array_join(F.concat(found, F.array(text)), "\n"))
 
 
-def read_text(text: Column, fuzzy: bool = False, nearest: bool = True) -> Column:
+def read_text(text: Column, fuzzy: bool = False, nearest: bool = True, repair: bool = True) -> Column:
     """The zone of a whole text, as ``parse`` gives it; with ``fuzzy``, where there is none, that of its fuzzy_text."""
     lines = lines_of(text)
     if fuzzy:
         lines = T.once(lines, lambda ls: F.when(kind_of(ls, nearest).isNotNull(), ls).otherwise(lines_of(fuzzy_text(text))))
-    return T.once(lines, lambda ls: parse(ls, nearest))
+    return T.once(lines, lambda ls: parse(ls, nearest, repair))
+
+
+def add_zone(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the zone of a column's text or, where there is none, of its fuzzy_text, as ``read_text`` gives it but without number_repaired.
+
+    Lines are columns of their own before they are parsed.
+    """
+    df = df.withColumn("__ls", lines_of(F.col(text)))
+    df = df.withColumn("__ls", F.when(kind_of(F.col("__ls")).isNotNull(), F.col("__ls")).otherwise(lines_of(fuzzy_text(F.col(text)))))
+    return df.withColumn(name, parse(F.col("__ls"), repair=False)).drop("__ls")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators import evidence_match, universal
+from factloom.operators import evidence_match, passport, universal
 from factloom.operators import geometry as G
 from factloom.sources import candidates as _  # noqa: F401  registers its records
 from factloom.sources import passports as __  # noqa: F401
@@ -61,3 +61,12 @@ def test_texts_of_a_table_of_one_row_group_are_many_tasks(spark):
     cores = spark.sparkContext.defaultParallelism
     for name in ("texts", "labelled_texts", "card_texts", "candidate_rows"):
         assert record(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() >= 4 * cores, name
+
+
+def test_passport_patterns_are_asked_outside_of_lambdas_and_of_texts_that_may_match(spark):
+    texts = ["Paſſport No: C01X00T47", "GİVEN NAMES: Ada", "Date of issue: 31.02.2015", "Surname: Muster.", "in MÜNCHEN am 5.6.21", None, ""]
+    found = passport.passport_facts(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), F.lit("2010-01-01").cast("date"))
+    got = {(r["doc_id"], r["fact_type"], r["value"]) for r in found.collect() if r["source"] != "label"}
+    assert {(0, "passport_number", "C01X00T47"), (1, "given_names", "Ada"), (2, "date_of_issue", "31.02.2015"), (3, "surname", "Muster"), (4, "possible_location", "MÜNCHEN"), (4, "possible_date", "2021-06-05")} <= got
+    lines = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "passnummer" in x and "regexp_extract" in x]
+    assert lines and not any("lambda" in x for x in lines)
