@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.text import once
 from factloom.operators.geometry import conf_parts, mean4
 
 #: A page's blocks and tables as ``flatten_pages`` takes them.
@@ -37,14 +38,15 @@ def flatten_pages(pages: DataFrame) -> DataFrame:
 
     def of_line(block: Column, line: Column) -> Column:
         words = F.transform(line["words"], lambda w: span("word", w["text"], w["confidence"], block_id=block["block_id"], line_id=line["line_id"], word_ids=F.array(w["word_id"])))
-        head = span("line", line_text(line), _mean(line["words"], F.lit(0.0)), block_id=block["block_id"], line_id=line["line_id"], word_ids=ids(line["words"]))
-        return F.when(F.trim(line_text(line)) != "", F.concat(F.array(head), shown(words))).otherwise(F.slice(F.array(head), 1, 0))
+        head = lambda text: span("line", text, _mean(line["words"], F.lit(0.0)), block_id=block["block_id"], line_id=line["line_id"], word_ids=ids(line["words"]))
+        return once(line_text(line), lambda text: F.when(F.trim(text) != "", F.concat(F.array(head(text)), shown(words))).otherwise(F.slice(F.array(head(text)), 1, 0)))
 
     def of_block(block: Column) -> Column:
         words = F.flatten(F.transform(block["lines"], lambda x: x["words"]))
-        text = F.array_join(F.transform(block["lines"], line_text), "\n")
-        head = span("block", text, _mean(words, block["confidence"]), block_id=block["block_id"], line_id=block["lines"][0]["line_id"], word_ids=ids(words))
-        return F.when(F.trim(F.replace(text, F.lit("\n"), F.lit(" "))) != "", F.concat(F.array(head), F.flatten(F.transform(block["lines"], lambda x: of_line(block, x))))).otherwise(F.slice(F.array(head), 1, 0))
+        joined = F.array_join(F.transform(block["lines"], line_text), "\n")
+        head = lambda text: span("block", text, _mean(words, block["confidence"]), block_id=block["block_id"], line_id=block["lines"][0]["line_id"], word_ids=ids(words))
+        inner = F.flatten(F.transform(block["lines"], lambda x: of_line(block, x)))
+        return once(joined, lambda text: F.when(F.trim(F.replace(text, F.lit("\n"), F.lit(" "))) != "", F.concat(F.array(head(text)), inner)).otherwise(F.slice(F.array(head(text)), 1, 0)))
 
     blocks = F.filter(F.coalesce("blocks", F.from_json(F.lit("[]"), PAGE)), lambda b: F.size(b["lines"]) > 0)
     cells = F.transform(F.coalesce("cells", F.from_json(F.lit("[]"), CELLS)), lambda c: span("table_cell", c["text"], c["confidence"], table_id=c["table_id"], row=c["row"], col=c["col"]))
@@ -70,7 +72,7 @@ def table_cells(boxes: DataFrame, page: list[str] = ["doc_id", "page"]) -> DataF
     known = boxes.where("x is not null and y is not null and width is not null and height is not null")
     rows = _islands(known, page, F.col("y"), F.col("y") + F.col("height"), "row")
     both = _islands(rows, page, F.col("x"), F.col("x") + F.col("width"), "col")
-    parts = F.array_sort(F.collect_list(F.struct("x", "y", F.coalesce("text", F.lit("")).alias("text"))))
+    parts = F.sort_array(F.collect_list(F.struct("x", "y", F.coalesce("text", F.lit("")).alias("text"))))
     cells = both.groupBy(*page, "row", "col").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), mean4(F.sum(conf_parts(F.col("confidence"))), F.count("confidence")).alias("confidence"))
     return cells
 

@@ -49,12 +49,12 @@ def ocr_cell_lookup(spark: SparkSession, d: str) -> DataFrame:
 def _pages(boxes: DataFrame) -> DataFrame:
     """Pages of nested blocks, lines and words; every third document's words are cells of its pages' tables as well."""
     word = F.struct(F.concat_ws(".", "line", "word").alias("word_id"), "text", "confidence")
-    lines = boxes.groupBy("doc_id", "page", "block", "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", word.alias("w")))), lambda s: s["w"]).alias("words"))
-    blocks = lines.groupBy("doc_id", "page", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "words"))), lambda s: F.struct(s["line"].cast("string").alias("line_id"), s["words"].alias("words"))).alias("lines"))
+    lines = boxes.groupBy("doc_id", "page", "block", "line").agg(F.transform(F.sort_array(F.collect_list(F.struct("word", word.alias("w")))), lambda s: s["w"]).alias("words"))
+    blocks = lines.groupBy("doc_id", "page", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "words"))), lambda s: F.struct(s["line"].cast("string").alias("line_id"), s["words"].alias("words"))).alias("lines"))
     block = F.struct(F.col("block").cast("string").alias("block_id"), F.lit(0.5).alias("confidence"), "lines")
-    pages = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(block)).cast(ocr.PAGE).alias("blocks"))
+    pages = blocks.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(block)).cast(ocr.PAGE).alias("blocks"))
     cell = F.struct(F.lit("t").alias("table_id"), F.col("line").alias("row"), F.col("word").alias("col"), "text", "confidence")
-    cells = boxes.where("doc_id % 3 = 0").groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "word", cell.alias("c")))), lambda s: s["c"]).cast(ocr.CELLS).alias("cells"))
+    cells = boxes.where("doc_id % 3 = 0").groupBy("doc_id", "page").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "word", cell.alias("c")))), lambda s: s["c"]).cast(ocr.CELLS).alias("cells"))
     return pages.join(cells, ["doc_id", "page"], "left")
 
 

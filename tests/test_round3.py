@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as T
 from factloom.operators import evidence_match, passport, universal
 from factloom.operators import geometry as G
+from factloom.plans import catalog
 from factloom.sources import candidates as _  # noqa: F401  registers its records
 from factloom.sources import passports as __  # noqa: F401
 from factloom.sources.records import record
@@ -70,3 +71,10 @@ def test_passport_patterns_are_asked_outside_of_lambdas_and_of_texts_that_may_ma
     assert {(0, "passport_number", "C01X00T47"), (1, "given_names", "Ada"), (2, "date_of_issue", "31.02.2015"), (3, "surname", "Muster"), (4, "possible_location", "MÜNCHEN"), (4, "possible_date", "2021-06-05")} <= got
     lines = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "passnummer" in x and "regexp_extract" in x]
     assert lines and not any("lambda" in x for x in lines)
+
+
+def test_boxes_are_met_by_page_without_moving_them_again(spark):
+    for name in ("page_spans", "ocr_table_cells"):
+        found = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") - plan.count("Exchange hashpartitioning(l_orderkey") == 0, name
