@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,17 +89,6 @@ def looks_like_label(v: Column) -> Column:
     return (F.length(v) < 2) | v.rlike(_LABEL_IN) | ((F.size(F.split(v, " ")) > 5) & ~v.rlike(r"\d"))
 
 
-def _holds(low: Column, words: tuple[str, ...]) -> Column:
-    """Whether the text in small letters holds one of the words, as patterns that ignore case see letters: a long s is an s, a dotless i an i."""
-    return reduce(or_, [low.contains(w) for w in words])
-
-
-def _folded(low: Column) -> Column:
-    for a, b in (("ſ", "s"), ("ı", "i"), ("i\u0307", "i")):
-        low = F.replace(low, F.lit(a), F.lit(b))
-    return low
-
-
 def _fact(kind: str, raw: Column, value: Column, confidence: Column | float, source: str) -> Column:
     sure = F.lit(confidence) if isinstance(confidence, float) else confidence
     return F.struct(F.lit(kind).alias("fact_type"), raw.alias("raw"), value.alias("value"), sure.cast("double").alias("confidence"), F.lit(source).alias("source")).cast(FACT)
@@ -161,7 +147,7 @@ def _raws(df: DataFrame, found: dict[str, Column]) -> DataFrame:
 def beside_labels(df: DataFrame, zone: list[str]) -> DataFrame:
     """df(text, folded) with the facts beside labels as s_ columns, of types that the zone didn't give."""
     open_ = lambda k: F.col(f"z_{k}").isNull() if k in zone else F.lit(True)
-    df = _raws(df, {k: F.when(open_(k) & _holds(F.col("folded"), NEEDED[k]), _match(F.col("text"), p)) for k, p in BESIDE.items()})
+    df = _raws(df, {k: F.when(open_(k) & T.holds(F.col("folded"), NEEDED[k]), _match(F.col("text"), p)) for k, p in BESIDE.items()})
     rows = {}
     for kind in BESIDE:
         raw, v = F.col(f"r_{kind}"), F.col(f"b_{kind}")
@@ -178,7 +164,7 @@ def anywhere(df: DataFrame, zone: list[str]) -> DataFrame:
         asked = F.col(f"z_{k}").isNull() if k in zone else F.lit(True)
         if k in BESIDE:
             asked = asked & ~F.coalesce(F.col(f"s_{k}.fact_type") == k, F.lit(False))
-        return asked & _holds(F.col("folded"), NEEDED[k]) if k in NEEDED and k not in BESIDE else asked
+        return asked & T.holds(F.col("folded"), NEEDED[k]) if k in NEEDED and k not in BESIDE else asked
 
     found = {f"{k}_{n}": F.when(open_(k), _match(F.col("text"), p)) for k, patterns in ANYWHERE.items() for n, p in enumerate(patterns)}
     df = _raws(df, found)
@@ -199,7 +185,7 @@ def passport_facts(docs: DataFrame, as_of: Column, id_col: str = "doc_id", text_
     no rows, repeated rows the same rows again. ``as_of`` is today's date, by which dates of the zone are checked.
     """
     df = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), plain(F.col(text_col)).alias("text"))
-    df = mrz.add_zone(df.withColumn("low", F.lower("text")), "text", "zone").withColumn("folded", _folded(F.col("low")))
+    df = mrz.add_zone(df.withColumn("low", F.lower("text")), "text", "zone").withColumn("folded", T.folded(F.col("low")))
     df, zone = from_zone(df, F.col("zone"), as_of)
     df = anywhere(beside_labels(df, zone), zone)
     facts = F.array(*labels(F.col("low")).values(), *[F.col(f"z_{k}") for k in zone], *[F.col(f"s_{k}") for k in BESIDE], *[F.col(f"a_{k}") for k in ANYWHERE])

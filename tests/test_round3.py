@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.operators import evidence_match, passport, universal
+from factloom.operators import classify, evidence_match, passport, universal
 from factloom.operators import geometry as G
 from factloom.plans import catalog
 from factloom.sources import candidates as _  # noqa: F401  registers its records
@@ -78,3 +78,16 @@ def test_boxes_are_met_by_page_without_moving_them_again(spark):
         found = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") - plan.count("Exchange hashpartitioning(l_orderkey") == 0, name
+
+
+def test_kinds_of_odd_letters_are_found_outside_of_lambdas(spark):
+    texts = ["REİSEPASS", "bank\tſtatement", "x" * 29 + " id<abc", "İ" + "A1<" * 10, "Pay\n Slip", "  ", None, "K" * 29]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = classify.add_by_pattern(docs, "text", "kind")
+    assert [r["kind"] for r in found.orderBy("doc_id").collect()] == ["passport", "bank_statement", "id_card", "passport", "payslip", None, None, None]
+    scored = classify.add_by_score(spark.createDataFrame([(0, "bank \t«statement»"), (1, "Document—No"), (2, None), (3, "tax  iban")], "doc_id int, text string"), "text", "kind")
+    assert [r["kind"] for r in scored.orderBy("doc_id").collect()] == ["bank_statement", "passport", "other", "bank_statement"]
+    for name in ("doc_type_regex", "doc_type_score"):
+        assert "lambda" not in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString(), name
+    # a text in small letters is asked for words first, so that most texts meet no pattern
+    assert "Contains" in found._jdf.queryExecution().optimizedPlan().toString()
