@@ -93,6 +93,23 @@ def _in_parts(sizes: list[int], limit: int = 1 << 21) -> Iterator[tuple[int, int
         yield start, len(sizes)
 
 
+def _ids(texts: pa.Array, model_path: str) -> pa.ListArray:
+    table, counts, values = table_of(model_path), [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+    for a, b in _in_parts(pc.binary_length(texts).fill_null(0).to_pylist()):
+        n, ids = table.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
+        counts.append(n)
+        values.append(ids)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(values)))
+
+
+def _texts(rows: pa.ListArray, model_path: str) -> pa.StringArray:
+    decoder, texts = table_of(model_path).sp, []
+    for a, b in _in_parts([4 * (n or 0) for n in rows.value_lengths().to_pylist()]):
+        part = [r.values.drop_null().to_numpy(zero_copy_only=False).tolist() if r.is_valid else [] for r in rows.slice(a, b - a)]
+        texts.extend(decoder.decode(part))
+    return pa.array(texts, pa.string())
+
+
 def encode(text: Column, model_path: str) -> Column:
     """Ids of each whole text as array<int>, as the SentencePiece library gives them without begin and end ids.
 
@@ -101,15 +118,7 @@ def encode(text: Column, model_path: str) -> Column:
     position; tables belong to a worker, are bounded, and are worked out again where one is lost.
     """
 
-    def run(texts: pa.Array) -> pa.Array:
-        table, counts, values = table_of(model_path), [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
-        for a, b in _in_parts(pc.binary_length(texts).fill_null(0).to_pylist()):
-            n, ids = table.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
-            counts.append(n)
-            values.append(ids)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(values)))
-
-    return F.arrow_udf(run, "array<int>")(text)
+    return F.arrow_udf(lambda texts: _ids(texts, model_path), "array<int>")(text)
 
 
 def decode(ids: Column, model_path: str) -> Column:
@@ -119,11 +128,17 @@ def decode(ids: Column, model_path: str) -> Column:
     needs no table.
     """
 
-    def run(rows: pa.Array) -> pa.Array:
-        decoder, texts = table_of(model_path).sp, []
-        for a, b in _in_parts([4 * (n or 0) for n in rows.value_lengths().to_pylist()]):
-            part = [r.values.drop_null().to_numpy(zero_copy_only=False).tolist() if r.is_valid else [] for r in rows.slice(a, b - a)]
-            texts.extend(decoder.decode(part))
-        return pa.array(texts, pa.string())
+    return F.arrow_udf(lambda rows: _texts(rows, model_path), "string")(ids)
+
+
+def round_trip(text: Column, model_path: str) -> Column:
+    """struct(ids, text): what ``encode`` gives, and what ``decode`` makes of it.
+
+    Where both are asked for, ``decode(encode(text))`` beside ``encode(text)`` is put into one evaluation by Spark, which encodes each text twice.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        ids = _ids(texts, model_path)
+        return pa.StructArray.from_arrays([ids, _texts(ids, model_path)], names=["ids", "text"])
 
-    return F.arrow_udf(run, "string")(ids)
+    return F.arrow_udf(run, "ids array<int>, text string")(text)

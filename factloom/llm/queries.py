@@ -88,8 +88,8 @@ def op9_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
-    ids = spread(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", pieces.encode(F.col("text"), path).alias("ids"))
-    found = ids.withColumn("decoded", pieces.decode(F.col("ids"), path))
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = docs.select("doc_id", pieces.round_trip(F.col("text"), path).alias("found")).select("doc_id", "found.ids", F.col("found.text").alias("decoded"))
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

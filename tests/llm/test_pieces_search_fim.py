@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import fim, lexical, pieces
+from factloom.llm.queries import op11_sentencepiece
 
 tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, ids string, n int, item long, score double, form string"
@@ -49,6 +50,21 @@ def test_pieces_as_the_library(odd, empty):
     assert empty.select(pieces.encode(F.col("text"), path)).count() == 0
 
 
+def test_round_trip_encodes_once(spark, odd, empty):
+    from sentencepiece import SentencePieceProcessor
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    sp = SentencePieceProcessor(model_file=path)
+    got = odd.select("text", pieces.round_trip(F.col("text"), path).alias("found")).select("text", "found.ids", F.col("found.text").alias("back")).collect()
+    assert len(got) == len(rows())
+    for r in got:
+        assert r["ids"] == sp.encode(r["text"] or "") and r["back"] == sp.decode(r["ids"]), repr(r["text"])[:80]
+    assert empty.select(pieces.round_trip(F.col("text"), path)).count() == 0
+    plan = op11_sentencepiece(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    calls = re.search(r"ArrowEvalPython \[(.*?)\], \[", plan)[1]
+    assert calls.count("run(") == 1, calls  # it was run(text), run(run(text)): each text was encoded twice
+
+
 def test_pieces_of_any_ids(spark):
     from sentencepiece import SentencePieceProcessor
 
