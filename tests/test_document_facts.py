@@ -84,6 +84,28 @@ def test_cards(spark):
     assert (found["date_of_birth"][0], found["date_of_expiry"][0]) == ("1974-08-12", "2012-04-15")
 
 
+def test_cards_ask_each_pattern_once_and_join_nothing(spark):
+    docs = spark.createDataFrame([(1, "Größe: 172 cm"), (2, "KÖRPERGRÖßE: 80cm\ncan 12345\ncan\n99l999"), (3, "ſ Wohnort  Ulm, ADDRESS: 5"), (None, "place of birth: Ulm")], "doc_id long, text string")
+    label = labelled.card_facts(docs, "id_card").where("source = 'label'")
+    plan = label._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # no type comes from both lines and labels
+    for fact in labelled.ID_CARD:
+        for p in fact.patterns:
+            assert plan.count(p) == 1, p  # it was two: once to see whether it is empty, once for the value
+    got = {(r["doc_id"], r["fact_type"]): r["value"] for r in label.collect()}
+    assert got == {(1, "height"): "172cm", (2, "height"): "80cm", (2, "can"): "991999", (3, "residence_address"): "Ulm, ADDRESS: 5", (None, "place_of_birth"): "Ulm"}
+
+
+def test_a_look_ahead_changes_no_match():
+    for table in (*labelled.TABLES.values(), *labelled.CARD_TABLES.values()):
+        for p in (p for fact in table for p in fact.patterns):
+            led = labelled.led(p)
+            if "(?=[" in led[:8]:
+                # every alternative's first letter is in the class
+                assert led.endswith(p) and {w[0] for w in p[3 : p.index(")")].split("|")} == set(led[8 : led.index("]")]), p
+    assert labelled.led("a|b") == "(?iu)a|b" and labelled.led("(?:a?b|c)d") == "(?iu)(?:a?b|c)d" and labelled.led("(?:ab|c)?d") == "(?iu)(?:ab|c)?d"
+
+
 def test_resolution(spark):
     rows = [("one", 1, "city", "Ulm", 0.5, 1), ("hard", 1, "iban", "DE1", 0.5, 1), ("hard", 2, "iban", "DE2", 0.9, 2), ("soft", 1, "city", "Berlin", 0.5, 1), ("soft", 2, "city", "berlin", 0.6, 2), ("apart", 1, "city", "Ulm", 0.5, 1), ("apart", 2, "city", "Bonn", 0.5, 2), ("none", 1, "city", "Ulm", 0.5, 1), ("none", 2, "job", "Ulm", 0.5, 2)]
     c = spark.createDataFrame(rows, "group_id string, entity_id long, fact_type string, value string, confidence double, ord long")
