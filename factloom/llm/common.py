@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,18 @@ def _clean() -> None:
             pass
 
 
+def in_parts(sizes: list[int], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes sum to about ``limit``, so that what is made from a batch never stands in memory together."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= limit:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.llm.common import in_parts
+
 MARK = "▁"
 
 
@@ -81,21 +82,9 @@ def table_of(path: str) -> ChunkTable:
     return ChunkTable(path)
 
 
-def _in_parts(sizes: list[int], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose sizes sum to about ``limit``, so that a batch's chunks never stand in memory together."""
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        held += n
-        if held >= limit:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def _ids(texts: pa.Array, model_path: str) -> pa.ListArray:
     table, counts, values = table_of(model_path), [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
-    for a, b in _in_parts(pc.binary_length(texts).fill_null(0).to_pylist()):
+    for a, b in in_parts(pc.binary_length(texts).fill_null(0).to_pylist()):
         n, ids = table.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
         counts.append(n)
         values.append(ids)
@@ -104,7 +93,7 @@ def _ids(texts: pa.Array, model_path: str) -> pa.ListArray:
 
 def _texts(rows: pa.ListArray, model_path: str) -> pa.StringArray:
     decoder, texts = table_of(model_path).sp, []
-    for a, b in _in_parts([4 * (n or 0) for n in rows.value_lengths().to_pylist()]):
+    for a, b in in_parts([4 * (n or 0) for n in rows.value_lengths().to_pylist()]):
         part = [r.values.drop_null().to_numpy(zero_copy_only=False).tolist() if r.is_valid else [] for r in rows.slice(a, b - a)]
         texts.extend(decoder.decode(part))
     return pa.array(texts, pa.string())

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize
+from factloom.llm.common import in_parts, materialize
 from factloom.llm.graph import broadcast_if_small
 
 GRAM = 96  # bytes of an anchor
@@ -18,6 +19,7 @@ WORD_GRAM = 8  # words of an anchor
 PRIME = 0x100000001B3 | 1
 NO_ID = -(1 << 63)
 SMALL = 300_000  # rows of a hash that may be broadcast
+PART = 1 << 17  # bytes of texts that are looked at together; their hashes stay in a core's cache
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -25,26 +27,39 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _least(h: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The least of each ``wide`` neighbouring hashes, the leftmost of equals, as runs: key, place, first and last."""
+def _least(h: np.ndarray, wide: int, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The least of each ``wide`` neighbouring hashes that are ``inside`` one text, the leftmost of equals, as runs: key, place, first and last."""
     low, have = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
     while have * 2 <= wide:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
     if wide > have:
         low = np.minimum(low[: len(low) - (wide - have)], low[wide - have :])
-    place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-    last = np.append(first[1:] - 1, len(place) - 1)
-    return h[place[first]].view(np.int64), place[first], first, last
+    window = np.flatnonzero(inside)
+    place = (low[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(place, prepend=-1))  # texts have no place in common
+    return h[place[cut]].view(np.int64), place[cut], window[cut], window[np.append(cut[1:], len(window))[: len(cut)] - 1]
 
 
-def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The anchor of each window of ``length`` bytes, as runs of windows: key, place, first and last window.
+def joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Texts with a space between them, where each starts, and their sizes."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return b" ".join(texts), np.cumsum(sizes + 1) - sizes - 1, sizes
+
+
+def anchors(text: np.ndarray, base: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The anchor of each window of ``length`` bytes of each of the joined texts, as runs of windows: text, key, place, first and last window.
 
     A window's anchor is its gram of least hash, the leftmost of equals: equal windows have equal
     anchors at equal places in them.
     """
+    held = sizes >= length
+    if not held.any():
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    step = np.zeros(len(text) - length + 2, np.int8)
+    step[base[held]] = 1
+    step[base[held] + sizes[held] - length + 1] = -1
+    inside = np.cumsum(step[:-1], dtype=np.int8) > 0
     x = text.astype(np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
         power, size, halves = PRIME, 1, {1: x}
@@ -56,7 +71,9 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
         p32 = pow(PRIME, 32, 1 << 64)
         n = len(text) - GRAM + 1
         h = _mixed(halves[64][:n] * np.uint64(p32) + halves[32][64 : 64 + n])
-    return _least(h, length - GRAM + 1)
+    key, *at = _least(h, length - GRAM + 1, inside)
+    owner = np.searchsorted(base, at[1], "right") - 1
+    return owner, key, *(v - base[owner] for v in at)
 
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -79,23 +96,24 @@ def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
         return _mixed((sums[ends] - sums[starts]) * down[starts])
 
 
-def word_hashes(text: np.ndarray) -> np.ndarray:
-    """A hash of each word ``[^\\x20\\x09-\\x0D]+``."""
+def word_hashes(text: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each word ``[^\\x20\\x09-\\x0D]+`` of joined texts, and its hash."""
     inside = np.concatenate([[False], (text != 32) & ((text < 9) | (text > 13)), [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return _spans(text.astype(np.uint64) + np.uint64(1), edges[::2], edges[1::2])
+    return np.searchsorted(base, edges[::2], "right") - 1, _spans(text.astype(np.uint64) + np.uint64(1), edges[::2], edges[1::2])
 
 
-def word_anchors(text: np.ndarray, words: int) -> tuple[np.ndarray, ...] | None:
-    """As ``anchors``, of windows of ``words`` words, whatever white space is between them, and the windows'
-    hashes; None if there are too few words."""
-    hashes = word_hashes(text)
+def word_anchors(text: np.ndarray, base: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """As ``anchors``, of windows of ``words`` words, whatever white space is between them."""
+    owner, hashes = word_hashes(text, base)
     if len(hashes) < words:
-        return None
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     at = np.arange(len(hashes) + 1)
     grams = _spans(hashes, at[: -WORD_GRAM], at[WORD_GRAM:])
-    key, place, first, last = _least(grams, words - WORD_GRAM + 1)
-    return key, place, first, last, _spans(hashes, at[:-words], at[words:])
+    key, *found = _least(grams, words - WORD_GRAM + 1, owner[: len(owner) - words + 1] == owner[words - 1 :])
+    text_of = owner[found[1]]
+    before = np.searchsorted(owner, np.arange(len(base)))
+    return text_of, key, *(v - before[text_of] for v in found)
 
 
 def _ranks(joined: np.ndarray, length: int) -> dict[int, np.ndarray]:
@@ -189,67 +207,76 @@ def find_anchors(rows: DataFrame, length: int, passage_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            uids, out, held = [], [[] for _ in range(5)], 0
-
-            def batch() -> pa.RecordBatch:
-                times = np.array([len(k) for k in out[1]])
-                return _batch([pa.array(uids, pa.binary()).take(pa.array(np.repeat(np.arange(len(uids)), times))), *(np.concatenate(c) for c in out)], FOUND)
-
-            for uid, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
-                found = [(False, *anchors(raw, length))] if len(raw) >= length else []
-                if passage_words and (own := word_anchors(raw, passage_words)):
-                    found.append((True, *own[:4]))
-                for words, *own in found:
-                    uids.append(uid)
-                    for col, v in zip(out, (np.full(len(own[0]), words), *own)):
-                        col.append(v)
-                    held += len(own[0])
-                if held > 50_000:
-                    yield batch()
-                    uids, out, held = [], [[] for _ in range(5)], 0
-            if held:
-                yield batch()
+            for i, j in in_parts(pc.binary_length(b.column(1)).to_pylist(), PART):
+                raw, base, sizes = joined(b.column(1).slice(i, j - i).cast(pa.binary()).to_pylist())
+                text = np.frombuffer(raw, np.uint8)
+                kinds = [anchors(text, base, sizes, length), *([word_anchors(text, base, passage_words)] if passage_words else [])]
+                owner, *found = (np.concatenate(c) for c in zip(*kinds))
+                if len(owner):
+                    yield _batch([b.column(0).slice(i, j - i).take(pa.array(owner)), np.arange(len(owner)) >= len(kinds[0][0]), *found], FOUND)
 
     return rows.mapInArrow(run, FOUND)
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. of each start, as many as its count, one after the other."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def _unsigned(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).view(np.int64)
+
+
 def cut_segments(marked: DataFrame, length: int, passage_words: int) -> DataFrame:
     """(uid, doc_id, m, text, anchors) to segments of windows of bytes and to runs of windows of words, with hashes of their contents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    def segments(texts: list[bytes], owner: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        from xxhash import xxh3_64_digest, xxh3_128_digest
+
+        # of an anchor's windows, the j-th segment has those from place - WIDE * j - WIDE + 1 to place - WIDE * j
+        most, least = (place - first) // WIDE, (place - last) // WIDE
+        of = np.repeat(np.arange(len(place)), most - least + 1)
+        j = least[of] + _ranges(np.zeros(len(place), np.int64), most - least + 1)
+        core_at = place[of] - WIDE * j
+        low, high = np.maximum(first[of], core_at - WIDE + 1), np.minimum(last[of], core_at)
+        own, whole, core = owner[of], [], []
+        for o, a, z, c, seed in zip(own.tolist(), low.tolist(), (high + length).tolist(), core_at.tolist(), j.tolist()):
+            raw = texts[o]
+            whole.append(xxh3_128_digest(raw[a:z], seed))
+            core.append(xxh3_64_digest(raw[c : c + length - WIDE + 1], seed))
+        pairs = _unsigned(whole)
+        return own, _unsigned(core), pairs[::2], pairs[1::2], low, core_at - low, high - low + 1
+
+    def runs(texts: list[bytes], owner: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        from xxhash import xxh3_128_digest
+
+        raw, base, _ = joined(texts)
+        text_of, hashes = word_hashes(np.frombuffer(raw, np.uint8), base)
+        at = np.arange(len(hashes) + 1)
+        windows = _spans(hashes, at[:-passage_words], at[passage_words:])
+        start, count = np.searchsorted(text_of, owner) + first, last - first + 1
+        pairs = _unsigned([xxh3_128_digest(windows[a:z].tobytes()) for a, z in zip(start.tolist(), (start + count).tolist())])
+        zero = np.zeros(len(owner), np.int64)
+        return owner, zero, pairs[::2], pairs[1::2], first, zero, count, windows[_ranges(start, count)].view(np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                uid, doc_id, m, raw = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py(), b.column(3)[i].as_buffer().to_pybytes()
-                unsigned, out, windows, found = [[], [], []], [[], [], []], [], b.column(4)[i].as_py()
-                for place, first, last in sorted((a["place"], a["first"], a["last"]) for a in found if not a["words"]):
-                    low = first
-                    while low <= last:
-                        j = (place - low) // WIDE  # windows from place - WIDE * j - WIDE + 1 to place - WIDE * j
-                        high = min(last, place - WIDE * j)
-                        core_at = place - WIDE * j
-                        d = xxhash.xxh3_128_intdigest(raw[low : high + length], j)
-                        unsigned[0].append(xxhash.xxh3_64_intdigest(raw[core_at : core_at + length - WIDE + 1], j))
-                        unsigned[1].append(d >> 64)
-                        unsigned[2].append(d & 0xFFFFFFFFFFFFFFFF)
-                        for col, v in zip(out, (low, core_at - low, high - low + 1)):
-                            col.append(v)
-                        windows.append(None)
-                        low = high + 1
-                runs = sorted((a["first"], a["last"]) for a in found if a["words"])
-                if runs:
-                    hashes = word_anchors(np.frombuffer(raw, np.uint8), passage_words)[4]
-                    for first, last in runs:
-                        own = hashes[first : last + 1]
-                        d = xxhash.xxh3_128_intdigest(own.tobytes())
-                        for col, v in zip((*unsigned, *out), (0, d >> 64, d & 0xFFFFFFFFFFFFFFFF, first, 0, last - first + 1)):
-                            col.append(v)
-                        windows.append(own.view(np.int64))
-                signed = [np.array(u, np.uint64).view(np.int64) for u in unsigned]
-                n = len(windows)
-                yield _batch([*signed, [uid] * n, np.full(n, doc_id), np.full(n, m), *out, windows], SEGMENTS)
+            for i, j in in_parts(pc.binary_length(b.column(3)).to_pylist(), PART):
+                part = b.slice(i, j - i)
+                texts, lists = part.column(3).cast(pa.binary()).to_pylist(), part.column(4)
+                offsets = lists.offsets.to_numpy()
+                own = slice(offsets[0], offsets[-1])
+                words, place, first, last = (lists.values.field(f).to_numpy(zero_copy_only=False)[own] for f in ("words", "place", "first", "last"))
+                owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+                found, windows = [segments(texts, *(v[~words] for v in (owner, place, first, last)))], np.zeros(0, np.int64)
+                if words.any():
+                    *told, windows = runs(texts, *(v[words] for v in (owner, first, last)))
+                    found.append(told)
+                owner, *columns = (np.concatenate(c) for c in zip(*found))
+                n = len(found[0][0])
+                counts = np.where(np.arange(len(owner)) < n, 0, columns[-1])
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(windows), mask=pa.array(np.arange(len(owner)) < n))
+                yield _batch([*columns[:3], *(part.column(c).take(pa.array(owner)) for c in range(3)), *columns[3:], listed], SEGMENTS)
 
     return marked.mapInArrow(run, SEGMENTS)
 

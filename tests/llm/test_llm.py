@@ -462,3 +462,48 @@ def test_longest_previous_factors():
     common = [0] + [lcp(a, b) for a, b in zip(order, order[1:])]
     assert suffix_dedup.longest_previous(order, common) == [max((lcp(i, j) for j in range(i)), default=0) for i in order]
     assert suffix_dedup.longest_previous([-i for i in order], common) == [max((lcp(i, j) for j in range(i + 1, len(text))), default=0) for i in order]
+
+
+class _Rows:
+    """Stands for a table whose mapInArrow is called at once."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
+def test_texts_are_cut_together_as_they_are_alone(monkeypatch):
+    """Anchors and segments of many texts at once are those of each text, and come in batches of texts (it was a batch for each)."""
+    pa = pytest.importorskip("pyarrow")
+    texts = ["", "a", "x" * 399, "x" * 400, "w " * 60, " é " * 300, *(prose(i, 20 + 40 * i) for i in range(12)), prose(3, 200) + "\n\t" + prose(4, 90), "x" * 1500]
+    uids = [b"%d" % i for i in range(len(texts))]
+
+    def found(part):
+        rows = pa.RecordBatch.from_arrays([pa.array([uids[i] for i in part], pa.binary()), pa.array([texts[i] for i in part], pa.string())], names=["uid", "text"])
+        return suffix_dedup.find_anchors(_Rows(rows), 400, 51)
+
+    def cut(part, anchors):
+        lists = pa.array([anchors.get(uids[i], []) for i in part], pa.list_(pa.struct([("words", pa.bool_()), ("place", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])))
+        ids = pa.array(part, pa.int64())
+        rows = pa.RecordBatch.from_arrays([pa.array([uids[i] for i in part], pa.binary()), ids, ids, pa.array([texts[i] for i in part], pa.string()), lists], names=["uid", "doc_id", "m", "text", "anchors"])
+        return suffix_dedup.cut_segments(_Rows(rows), 400, 51)
+
+    flat = lambda batches: sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=repr)
+    every = range(len(texts))
+    together = found(every)
+    assert len(together) == 1 and flat(together) == flat(b for i in every for b in found([i]))
+    anchors = defaultdict(list)
+    for b in together:
+        for r in b.to_pylist():
+            anchors[r["uid"]].append({k: r[k] for k in ("words", "place", "first", "last")})
+            assert r["first"] >= 0 and (r["words"] or r["last"] + 400 <= len(texts[int(r["uid"])].encode()))
+    segments = cut(every, anchors)
+    assert len(segments) == 1 and flat(segments) == flat(b for i in every for b in cut([i], anchors))
+    monkeypatch.setattr(suffix_dedup, "PART", 3000)
+    assert flat(found(every)) == flat(together) and flat(cut(every, anchors)) == flat(segments)
+    # each window of bytes lies in one segment of its text
+    for i in every:
+        starts = [k for r in flat(segments) if r[3] == uids[i] and r[9] is None for k in range(r[6], r[6] + r[8])]
+        assert sorted(starts) == list(range(max(0, len(texts[i].encode()) - 399)))
