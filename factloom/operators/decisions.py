@@ -1,17 +1,18 @@
 """Which field a candidate belongs to, whether it becomes a fact, and which rule said so.
 
-Hint words are looked up in one pass over a text: a pattern made from the trie of all words finds the longest one that starts
-at each place, and every other word that starts there is a prefix of it. A word's number says which families it and its
-prefixes belong to, so that a text's families are one whole number. Rules are ordered lists of (name, condition, result);
-the first that holds decides, and its place in the list and its name stay with the candidate.
+Hint words are looked up by Arrow, a batch of texts at once and each distinct text of a batch once: one pattern of all words
+says which texts hold any, and one for each family which of these hold one of its words, so that a text's families are the bits
+of one whole number. Rules are ordered lists of (name, condition, result); the first that holds decides, and its place in the
+list and its name stay with the candidate.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,42 +23,26 @@ FAMILIES = tuple(HINTS)
 Rule = tuple[str, Column, Column]
 
 
-def trie_pattern(words: list[str]) -> str:
-    """A pattern that matches at a place the longest of the words that starts there."""
-    trie: dict = {}
-    for word in words:
-        node = trie
-        for letter in word:
-            node = node.setdefault(letter, {})
-        node[""] = {}
-
-    def pattern(node: dict) -> str:
-        ways = [re.escape(letter) + pattern(rest) for letter, rest in sorted(node.items()) if letter]
-        if not ways:
-            return ""
-        return f"(?:{'|'.join(ways)})" + ("?" if "" in node else "")
-
-    return pattern(trie)
-
-
-def _families_of_words() -> dict[str, int]:
-    own = {w: sum(1 << i for i, f in enumerate(FAMILIES) if w in HINTS[f]) for words in HINTS.values() for w in words}
-    found = {}
-    for word in own:
-        bits = 0
-        for prefix, more in own.items():
-            if word.startswith(prefix):
-                bits |= more
-        found[word] = bits
-    return found
+def _any_of(words: tuple[str, ...]) -> str:
+    return "|".join(re.escape(w) for w in words)
 
 
 def hint_bits(text: Column) -> Column:
     """The families of which a word stands in a lower-case text, as bits; null and empty texts have none."""
-    words = _families_of_words()
-    known = F.from_json(F.lit(json.dumps(words)), "map<string,bigint>")  # one literal in the plan, not 1,200
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({trie_pattern(list(words))}))"), F.lit(1)))
-    return F.coalesce(F.aggregate(found, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(known[w].cast("long"))), F.lit(0))
+    of_family = [(1 << i, _any_of(HINTS[f])) for i, f in enumerate(FAMILIES)]
+    of_all = _any_of(tuple(dict.fromkeys(w for f in FAMILIES for w in HINTS[f])))
+
+    def run(texts: pa.Array) -> pa.Array:
+        coded = texts.dictionary_encode()
+        some = pc.indices_nonzero(pc.match_substring_regex(coded.dictionary, of_all))
+        held = coded.dictionary.take(some)
+        bits = pa.repeat(pa.scalar(0, pa.int64()), len(held))
+        for bit, words in of_family:
+            bits = pc.bit_wise_or(bits, pc.multiply(pc.match_substring_regex(held, words).cast(pa.int64()), bit))
+        place = pc.index_in(coded.indices, some.cast(coded.indices.type))
+        return pc.fill_null(bits.take(place), 0)
+
+    return F.arrow_udf(run, "bigint")(text)
 
 
 def has(bits: Column, *families: str) -> Column:
@@ -294,12 +279,15 @@ def first_rule(rules: list[Rule]) -> Column:
     return out
 
 
-def _held(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with further columns, worked out once each: the optimizer doesn't write them out again where later columns or filters use them.
+def held(rows: DataFrame, *kept: str, **columns: Column) -> DataFrame:
+    """The columns ``kept`` of rows and further ones, worked out once each: the optimizer doesn't write them out again where later columns or filters use them.
 
-    The transform keeps a stage's long lists of rules out of one generated method, which would be too long for the JVM to compile.
+    A select with a lambda in it, here one over an array of one, is generated in pieces instead of as part of one method for the whole
+    stage, which would be too long for the JVM to compile; what stands inside of a lambda isn't generated at all. The columns therefore
+    stand beside the lambda, as a struct that is unpacked as often as that array is long.
     """
-    return rows.select("*", F.inline(F.transform(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])), lambda x: x)))
+    beside = rows.select(*kept, F.struct(*[c.alias(name) for name, c in columns.items()]).alias("__held"), F.transform(F.array(F.lit(0)), lambda x: x).alias("__once"))
+    return beside.select(*kept, F.inline(F.array_repeat("__held", F.size("__once"))))
 
 
 def decide(candidates: DataFrame, as_of: Column) -> DataFrame:
@@ -319,12 +307,14 @@ def decide(candidates: DataFrame, as_of: Column) -> DataFrame:
     dated = field.isin(*FIELDS["date"]) | F.lower(F.trim(text("fact_type"))).isin(*FIELDS["date"]) | looks_like_date(text("normalized_value"))
     # only dates are read for days, and a raw value that is the normalized one isn't read again
     day = F.coalesce(knowledge_date(text("normalized_value")), F.when(text("raw_value") != text("normalized_value"), knowledge_date(text("raw_value"))))
-    rows = _held(candidates.drop(*new), __value=value, __context=context, __field=field, __target=target, __dated=dated)
-    rows = _held(rows, __day=F.when(F.col("__dated"), day), __in_value=hint_bits(F.lower("__value")), __in_context=hint_bits(F.col("__context")))
-    s = Signals(F.col("__value"), F.lower("__value"), F.col("__context"), F.col("__in_value"), F.col("__in_context"))
-    by_date = F.when(F.col("__dated"), first_rule(date_rules(s, F.col("__field"), F.col("__target"), F.col("__day"), as_of)))
-    rows = _held(rows, __date=by_date, __own=F.when(~F.col("__dated"), first_rule(field_rules(s, F.col("__field")))))
-    rows = _held(rows, field_name=F.coalesce("__date.result", "__own.result"))
-    rows = _held(rows, __fact=first_rule(fact_rules(s, F.col("field_name"), text("fact_type"), text("source_stage"), metadata)))
-    made = {"field_rule": F.coalesce("__own.name", F.lit("date")), "date_rule": F.col("__date.name"), "is_fact": F.col("__fact.result"), "fact_rule": F.col("__fact.number"), "reject_reason": F.when(~F.col("__fact.result"), F.col("__fact.name"))}
-    return rows.withColumns(made).drop("__value", "__context", "__field", "__target", "__dated", "__day", "__in_value", "__in_context", "__date", "__own", "__fact")
+    rows = candidates.drop(*new)
+    rows = held(rows, *rows.columns, __value=value, __lowered=F.lower(value), __context=context, __field=field, __target=target, __dated=dated, __day=F.when(dated, day))
+    rows = rows.withColumns({"__in_value": hint_bits(F.col("__lowered")), "__in_context": hint_bits(F.col("__context"))})
+    s = Signals(F.col("__value"), F.col("__lowered"), F.col("__context"), F.col("__in_value"), F.col("__in_context"))
+    by_date = first_rule(date_rules(s, F.col("__field"), F.col("__target"), F.col("__day"), as_of))
+    rows = held(rows, *rows.columns, __rule=F.when(F.col("__dated"), by_date).otherwise(first_rule(field_rules(s, F.col("__field")))))
+    rows = rows.withColumn("field_name", F.col("__rule.result"))
+    rows = held(rows, *rows.columns, __fact=first_rule(fact_rules(s, F.col("field_name"), text("fact_type"), text("source_stage"), metadata)))
+    own = F.when(~F.col("__dated"), F.col("__rule.name")).otherwise("date")
+    made = {"field_rule": own, "date_rule": F.when(F.col("__dated"), F.col("__rule.name")), "is_fact": F.col("__fact.result"), "fact_rule": F.col("__fact.number"), "reject_reason": F.when(~F.col("__fact.result"), F.col("__fact.name"))}
+    return rows.withColumns(made).drop("__value", "__lowered", "__context", "__field", "__target", "__dated", "__day", "__in_value", "__in_context", "__rule", "__fact")

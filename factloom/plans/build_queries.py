@@ -19,6 +19,7 @@ AS_OF = "2024-06-15"
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = spread(record(spark, d, "candidate_rows"))
+    rows = decisions.held(rows, **{c: F.col(c) for c in rows.columns})  # long lists of cases
     keys = {"target_field": "target_field", "line_text": "around", "source": "source", "auto_accept": "auto_accept", "role": "role", "is_person_fact": "is_person", "store_as_knowledge_evidence": "as_evidence"}
     metadata = F.map_filter(F.create_map(*[x for k, c in keys.items() for x in (F.lit(k), F.col(c))]), lambda k, v: v.isNotNull())
     return rows.select("candidate_id", "entity_id", "document_id", "source_id", "fact_type", F.col("value").alias("raw_value"), F.col("value").alias("normalized_value"), "source_stage", "confidence", metadata.alias("metadata"))
