@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.sources.ledger import write_batch
@@ -59,9 +59,10 @@ def build(decided: DataFrame, at: Column) -> dict[str, DataFrame]:
     step = F.struct(F.lit(0).alias("step_order"), F.lit("extracted").alias("action"), actor(F.col("source_stage")).alias("actor"), at.alias("occurred_at"), F.col("evidence_id"), note.alias("note"))
     summary = F.concat(F.lit("Fact '"), "field_name", F.lit("' extracted from source '"), F.col("source_id").cast("string"), F.lit("' with confidence "), said)
     provenance = kept.select(_id("provenance", "candidate_id").alias("provenance_id"), "fact_id", "entity_id", F.array(step).alias("decision_chain"), summary.alias("summary"))
-    groups = rows.groupBy("entity_id", "fact_type").agg(F.min("normalized_value").alias("__low"), F.max("normalized_value").alias("__high"), F.count_if(F.col("is_fact")).alias("n_facts"))
-    split = groups.where("__low <> __high and n_facts >= 2").select("entity_id", "fact_type", "n_facts")
-    conflict = kept.join(split, ["entity_id", "fact_type"]).select(_id("conflict", "entity_id", "fact_type").alias("conflict_id"), "entity_id", F.col("fact_type").alias("field_name"), "fact_id", "n_facts")
+    group = Window.partitionBy("entity_id", "fact_type")  # a join with the groups would decide every candidate twice
+    sides = {"__low": F.min("normalized_value").over(group), "__high": F.max("normalized_value").over(group), "n_facts": F.count_if(F.col("is_fact")).over(group)}
+    split = rows.where("entity_id is not null and fact_type is not null").select("entity_id", "fact_type", "normalized_value", "is_fact", "fact_id").withColumns(sides).where("is_fact and __low <> __high and n_facts >= 2")
+    conflict = split.select(_id("conflict", "entity_id", "fact_type").alias("conflict_id"), "entity_id", F.col("fact_type").alias("field_name"), "fact_id", "n_facts")
     return {"facts": facts, "evidence": evidence, "links": links, "provenance": provenance, "conflict_facts": conflict}
 
 

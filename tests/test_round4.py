@@ -37,3 +37,11 @@ def test_days_of_odd_texts(spark):
     texts = {"03.04.2019\n": day(2019, 4, 3), "1.1.31": day(1931, 1, 1), "1/1-30": day(2030, 1, 1), "1.1.123": day(123, 1, 1), "2020-1.2": day(2020, 1, 2), "19.50.1012": None, "a20010203b": day(2001, 2, 3), "14022025": day(2025, 2, 14), "010203": day(2003, 2, 1), "29.2.1900": None, "soon": None, "": None}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", dates.knowledge_date(F.col("t")).alias("d"))
     assert {r["t"]: r["d"] for r in rows.collect()} == texts
+
+
+def test_conflicts_decide_a_candidate_once(spark):
+    """Groups and facts come from one pass; rows without an entity or a type are in no conflict, repeated rows count."""
+    rows = [(1, "surname", "Mustermann"), (1, "surname", "Sommer"), (1, "surname", "Sommer"), (2, "surname", "Mustermann"), (2, "surname", "Mustermann"), (None, "surname", "Mustermann"), (None, "surname", "Sommer"), (3, "surname", "Mustermann"), (3, "surname", "")]
+    found = build.build(_decided(spark, rows), F.lit("2024-06-15").cast("timestamp"))["conflict_facts"]
+    assert _plan(found).count("ArrowEvalPython") == 1
+    assert sorted((r["entity_id"], r["field_name"], r["n_facts"]) for r in found.collect()) == [(1, "surname", 3)] * 3
